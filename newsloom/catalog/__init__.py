@@ -4,5 +4,6 @@ from newsloom.catalog.base import ORACLES, QUERIES
 
 import newsloom.catalog.events  # noqa: F401, E402
 import newsloom.catalog.texts  # noqa: F401, E402
+import newsloom.catalog.feeds  # noqa: F401, E402
 
 __all__ = ["ORACLES", "QUERIES"]

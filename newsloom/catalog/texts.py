@@ -103,6 +103,7 @@ def _quality_input(t):
     return scored.select("doc_id", "text", F.lit("uz").alias("geo"), F.concat_ws("|", F.lit("tech"), "lang").alias("persona"), F.col("quality").alias("model"))
 
 
+TENS = "({0}) // 10 + CASE WHEN ({0}) % 10 > 5 OR (({0}) % 10 = 5 AND (({0}) // 10) % 2 = 1) THEN 1 ELSE 0 END"
 QUALITY = f"""src AS (SELECT d.doc_id, text, 'uz' AS geo, 'tech|' || lang AS persona, quality AS model,
     {D.strip_artifacts('text')} AS clean, {D.strip_artifacts(D.strip_artifacts('text'))} AS cleaned FROM documents d LEFT JOIN labels l USING (doc_id)),
 feats AS (SELECT *, lower(clean) AS lo, regexp_extract_all(lower(clean), '[\\p{{L}}\\p{{N}}_]+') AS ws, len({D.sentences('clean', '.!?;')}) AS ns,
@@ -110,22 +111,22 @@ feats AS (SELECT *, lower(clean) AS lo, regexp_extract_all(lower(clean), '[\\p{{
     {D.language_hint("(text || ' ' || persona || ' ' || geo)")} AS hint,
     list_filter(regexp_split_to_array(lower(persona), '[^\\p{{L}}\\p{{N}}_]+'), lambda x: len(x) >= 3) AS pt FROM src),
 quality AS (SELECT doc_id, model, clean, CASE WHEN pos > neg THEN 'positive' WHEN neg > pos THEN 'negative' ELSE 'neutral' END AS sentiment,
-  CASE WHEN len(ws) >= 200 THEN 2.2::DOUBLE ELSE least(2.2::DOUBLE, len(ws) / 200 * 2.2::DOUBLE) END
-  + CASE WHEN np >= 4 THEN 1.8::DOUBLE WHEN np = 3 THEN 1.2::DOUBLE ELSE 0 END
-  + CASE WHEN hint <> 'ru' THEN 0.8::DOUBLE WHEN regexp_matches(clean, {D.q(L.CYRILLIC)}) THEN 1.2::DOUBLE ELSE 0.2::DOUBLE END
-  + CASE WHEN len(pt) = 0 OR len(list_filter(pt[1:4], lambda x: contains(lo, x))) > 0 THEN 1.1::DOUBLE ELSE 0 END + 0.8::DOUBLE
-  + CASE WHEN NOT regexp_matches(text, '\\p{{Nd}}') OR regexp_matches(clean, '\\p{{Nd}}') THEN 1.0::DOUBLE ELSE 0 END
-  + CASE WHEN len(list_distinct(ws)) / greatest(len(ws), 1) BETWEEN 0.35 AND 0.78 THEN 0.9::DOUBLE ELSE 0.4::DOUBLE END
-  + CASE WHEN len(ws) / greatest(ns, 1) BETWEEN 8.0 AND 26.0 THEN 0.8::DOUBLE ELSE 0.3::DOUBLE END
-  + CASE WHEN regexp_matches(clean, '(?i)\\[\\+[0-9]+\\s+chars\\]|\\b(?:lid|yanglik)\\b') THEN 0 ELSE 0.8::DOUBLE END
-  + CASE WHEN pos > neg AND {D.any_of('lo', L.CONGRATULATIONS)} THEN 0.8::DOUBLE WHEN neg > pos AND {D.any_of('lo', L.CONDOLENCES)} THEN 0.8::DOUBLE
-      WHEN pos = neg THEN 0.4::DOUBLE ELSE 0 END
-  + CASE WHEN {D.any_of('lo', L.USER_FACT_PHRASES)} THEN 0.8::DOUBLE ELSE 0 END AS s FROM feats),
-bounded AS (SELECT *, CASE WHEN clean = '' THEN 0.0 ELSE round_even(greatest(0.0, least(10.0, s)), 2) END AS q,
+  least(2200, len(ws) * 2200 // 200)
+  + CASE WHEN np >= 4 THEN 1800 WHEN np = 3 THEN 1200 ELSE 0 END
+  + CASE WHEN hint <> 'ru' THEN 800 WHEN regexp_matches(clean, {D.q(L.CYRILLIC)}) THEN 1200 ELSE 200 END
+  + CASE WHEN len(pt) = 0 OR len(list_filter(pt[1:4], lambda x: contains(lo, x))) > 0 THEN 1100 ELSE 0 END + 800
+  + CASE WHEN NOT regexp_matches(text, '\\p{{Nd}}') OR regexp_matches(clean, '\\p{{Nd}}') THEN 1000 ELSE 0 END
+  + CASE WHEN len(list_distinct(ws)) / greatest(len(ws), 1) BETWEEN 0.35 AND 0.78 THEN 900 ELSE 400 END
+  + CASE WHEN len(ws) / greatest(ns, 1) BETWEEN 8.0 AND 26.0 THEN 800 ELSE 300 END
+  + CASE WHEN regexp_matches(clean, '(?i)\\[\\+[0-9]+\\s+chars\\]|\\b(?:lid|yanglik)\\b') THEN 0 ELSE 800 END
+  + CASE WHEN pos > neg AND {D.any_of('lo', L.CONGRATULATIONS)} THEN 800 WHEN neg > pos AND {D.any_of('lo', L.CONDOLENCES)} THEN 800
+      WHEN pos = neg THEN 400 ELSE 0 END
+  + CASE WHEN {D.any_of('lo', L.USER_FACT_PHRASES)} THEN 800 ELSE 0 END AS s FROM feats),
+bounded AS (SELECT *, CASE WHEN clean = '' THEN 0 ELSE {TENS.format('least(10000, s)')} END AS q,
   CASE WHEN coalesce(nullif(model, 0), 7.5) BETWEEN 0 AND 1 THEN coalesce(nullif(model, 0), 7.5) * 10.0 ELSE coalesce(nullif(model, 0), 7.5) END AS m FROM quality)"""
 register("quality_score",
          lambda t: shape(text.quality_score(_quality_input(t), "text", "text", "persona", "geo", "model").select("doc_id", "sentiment", "quality_score", "combined_score")),
-         "", "SELECT doc_id, sentiment, CAST(q AS DOUBLE) AS quality_score, CAST(round_even(CAST(m AS DOUBLE) * 0.4::DOUBLE + q * 0.6::DOUBLE, 2) AS DOUBLE) AS combined_score FROM bounded", QUALITY)
+         "", f"SELECT doc_id, sentiment, q / 100 AS quality_score, ({TENS.format('CAST(round(m * 100) AS BIGINT) * 4 + q * 6')}) / 100 AS combined_score FROM bounded", QUALITY)
 
 CATEGORY = "CASE greatest({0}) WHEN 0 THEN 'other' {1} END".format(
     ", ".join(D.contained(LOW, k) for k in L.CATEGORY_KEYWORDS.values()),
@@ -217,7 +218,7 @@ for _phrase in L.PROMO_PHRASES:
 SNIPPET = f"""CASE WHEN text = '' THEN '' ELSE {D.strip(f"substr(array_to_string(list_filter(list_transform(string_split({PROMO}, '.'), lambda p: {D.strip('p')}), lambda p: len(p) > 40), '. '), 1, 400)")} || '...' END"""
 register("snippets",
          lambda t: shape(t.documents.select("doc_id", text.snippet(F.col("text")).alias("snippet"), text.drop_cut_word(F.substring("text", 1, 400)).alias("cut"))),
-         "", f"""SELECT doc_id, {SNIPPET} AS snippet, CASE WHEN NOT regexp_matches(h, '[.!?]$') AND contains(h, ' ') THEN regexp_replace(h, ' [^ ]*$', '') ELSE h END AS cut
+         "", f"""SELECT doc_id, {SNIPPET} AS snippet, CASE WHEN NOT regexp_matches(h, '[.!?]\\z') AND contains(h, ' ') THEN regexp_replace(h, ' [^ ]*\\z', '') ELSE h END AS cut
 FROM (SELECT doc_id, text, substr(text, 1, 400) AS h FROM documents)""")
 
 FIT = f"""p0 AS (SELECT doc_id, {D.strip("replace(text, chr(13), chr(10))")} AS raw, {D.strip_artifacts('text')} AS ca FROM documents),
@@ -260,8 +261,8 @@ def embedding_ctes(name: str, source: str, id_col: str, body: str, dim: int = DI
 {name} AS (SELECT id, idx, round_even(CAST(units AS DOUBLE) / sqrt(CAST(sum(units * units) OVER (PARTITION BY id) AS DOUBLE)), 8) AS weight FROM {name}_u)"""
 
 
-register("hash_embedding", lambda t: shape(text.hash_embedding(t.documents, "doc_id", "text", DIM), weight=6),
-         "", "SELECT id AS doc_id, idx, round(weight, 6) AS weight FROM emb", embedding_ctes("emb", "documents", "doc_id", "text"))
+register("hash_embedding", lambda t: shape(text.hash_embedding(t.documents, "doc_id", "text", DIM)),
+         "", "SELECT id AS doc_id, idx, weight FROM emb", embedding_ctes("emb", "documents", "doc_id", "text"))
 
 
 def _enriched(t):

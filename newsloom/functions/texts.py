@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import json
+from collections.abc import Callable, Sequence
 from functools import reduce
 from html.entities import html5
 
@@ -12,6 +13,11 @@ from pyspark.sql import functions as F
 from newsloom.functions import lexicon as L
 
 
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once per row, however often it is used."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def collapse_space(c: Column) -> Column:
     return F.regexp_replace(c, L.SPACE + "+", " ")
 
@@ -52,6 +58,7 @@ def normalize_apostrophes(c: Column) -> Column:
 # The standard's named references, from the standard library: names that need
 # the semicolon, and the few legacy ones that work without it.
 _NAMED = {n[:-1]: v for n, v in html5.items() if n.endswith(";")}
+_NAMED_JSON = json.dumps(_NAMED)
 _LEGACY = sorted((n for n in html5 if not n.endswith(";")), key=len, reverse=True)
 _ENTITY = rf"^(#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[A-Za-z][A-Za-z0-9]*;|{'|'.join(_LEGACY)})"
 
@@ -69,7 +76,8 @@ def unescape_html(c: Column) -> Column:
     The text is cut at ``&`` and each piece resolves its own reference; texts
     without ``&`` skip the work.
     """
-    table = F.create_map(*[F.lit(x) for kv in _NAMED.items() for x in kv])
+    # one foldable literal instead of thousands of expression nodes
+    table = F.from_json(F.lit(_NAMED_JSON), "map<string,string>")
 
     def resolve(piece: Column, i: Column) -> Column:
         ref = F.regexp_extract(piece, _ENTITY, 1)
@@ -82,11 +90,10 @@ def unescape_html(c: Column) -> Column:
             .otherwise(F.try_element_at(table, name))
         )
         rest = F.substring(piece, F.length(ref) + 1, F.length(piece))
-        done = F.when((ref != "") & char.isNotNull(), F.concat(char, rest)).otherwise(F.concat(F.lit("&"), piece))
-        return F.when(i == 0, piece).otherwise(done)
+        # an unknown reference makes the concat null and keeps the piece as it is
+        return F.when(i == 0, piece).otherwise(F.coalesce(F.concat(char, rest), F.concat(F.lit("&"), piece)))
 
-    resolved = F.array_join(F.transform(F.split(c, "&"), resolve), "")
-    return F.when(c.contains("&"), resolved).otherwise(c)
+    return bind(c, lambda x: F.when(x.contains("&"), F.array_join(F.transform(F.split(x, "&"), resolve), "")).otherwise(x))
 
 
 def strip_tags(c: Column, replacement: str = "") -> Column:
@@ -120,13 +127,22 @@ def strip_artifacts(c: Column) -> Column:
 
 def paragraphs(c: Column) -> Column:
     """Blank-line blocks, else lines when there are three or more, else one block."""
-    raw = strip(F.translate(F.coalesce(c, F.lit("")), "\r", "\n"))
     blank = rf"\n{L.SPACE}*\n"
-    blocks = F.filter(F.transform(F.split(raw, blank), strip_artifacts), lambda p: p != "")
-    cleaned = strip_artifacts(raw)
-    lines = F.filter(F.split(cleaned, "\n"), lambda p: p != "")
-    flat = F.when(F.size(lines) >= 3, lines).when(cleaned != "", F.array(cleaned)).otherwise(F.array().cast("array<string>"))
-    return F.when(raw.rlike(blank) & (F.size(blocks) > 0), blocks).otherwise(flat)
+    none = F.array().cast("array<string>")
+
+    def filled(parts: Column) -> Column:
+        return F.filter(parts, lambda p: p != "")
+
+    def blocks(raw: Column) -> Column:
+        cleaned = filled(F.transform(F.split(raw, blank), strip_artifacts))
+        return F.when(raw.rlike(blank), bind(cleaned, lambda b: F.when(F.size(b) > 0, b)))
+
+    def lines(cleaned: Column) -> Column:
+        whole = F.when(cleaned != "", F.array(cleaned)).otherwise(none)
+        return bind(filled(F.split(cleaned, "\n")), lambda x: F.when(F.size(x) >= 3, x).otherwise(whole))
+
+    raw = strip(F.translate(F.coalesce(c, F.lit("")), "\r", "\n"))
+    return bind(raw, lambda r: F.coalesce(blocks(r), bind(strip_artifacts(r), lines)))
 
 
 def tokenize(c: Column) -> Column:

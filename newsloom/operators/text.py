@@ -192,32 +192,40 @@ def quality_score(df: DataFrame, text: str, raw_text: str, persona: str, geo: st
     has_digit = r"\p{Nd}"
     artifacts = F.col("_clean").rlike(rf"(?iU){L.TRUNCATION_MARK}|\b(?:lid|yanglik)\b")
     tone_bonus = (
-        F.when((F.col("sentiment") == "positive") & X.contains_any(lowered, L.CONGRATULATIONS), 0.8)
-        .when((F.col("sentiment") == "negative") & X.contains_any(lowered, L.CONDOLENCES), 0.8)
-        .when(F.col("sentiment") == "neutral", 0.4)
-        .otherwise(0.0)
+        F.when((F.col("sentiment") == "positive") & X.contains_any(lowered, L.CONGRATULATIONS), 800)
+        .when((F.col("sentiment") == "negative") & X.contains_any(lowered, L.CONDOLENCES), 800)
+        .when(F.col("sentiment") == "neutral", 400)
+        .otherwise(0)
     )
+    # every term is a whole number of thousandths, so the sum is exact
     score = (
-        F.when(n >= L.MIN_QUALITY_WORDS, 2.2).otherwise(F.least(F.lit(2.2), n / L.MIN_QUALITY_WORDS * 2.2))
-        + F.when(F.col("_n_par") >= 4, 1.8).when(F.col("_n_par") == 3, 1.2).otherwise(0.0)
-        + F.when(F.col("_hint") != "ru", 0.8).when(X.contains_cyrillic(F.col("_clean")), 1.2).otherwise(0.2)
-        + F.when(hit(tokens(F.col(persona), 4)), 1.1).otherwise(0.0)
-        + F.when(hit(tokens(F.col(geo), 3)), 0.8).otherwise(0.0)
-        + F.when(~F.coalesce(F.col(raw_text), F.lit("")).rlike(has_digit) | F.col("_clean").rlike(has_digit), 1.0).otherwise(0.0)
-        + F.when(diversity.between(0.35, 0.78), 0.9).otherwise(0.4)
-        + F.when(per_sentence.between(8.0, 26.0), 0.8).otherwise(0.3)
-        + F.when(artifacts, 0.0).otherwise(0.8)
+        F.least(F.lit(2200), F.floor(n * 2200 / L.MIN_QUALITY_WORDS))
+        + F.when(F.col("_n_par") >= 4, 1800).when(F.col("_n_par") == 3, 1200).otherwise(0)
+        + F.when(F.col("_hint") != "ru", 800).when(X.contains_cyrillic(F.col("_clean")), 1200).otherwise(200)
+        + F.when(hit(tokens(F.col(persona), 4)), 1100).otherwise(0)
+        + F.when(hit(tokens(F.col(geo), 3)), 800).otherwise(0)
+        + F.when(~F.coalesce(F.col(raw_text), F.lit("")).rlike(has_digit) | F.col("_clean").rlike(has_digit), 1000).otherwise(0)
+        + F.when(diversity.between(0.35, 0.78), 900).otherwise(400)
+        + F.when(per_sentence.between(8.0, 26.0), 800).otherwise(300)
+        + F.when(artifacts, 0).otherwise(800)
         + tone_bonus
-        + F.when(X.contains_any(lowered, L.USER_FACT_PHRASES), 0.8).otherwise(0.0)
+        + F.when(X.contains_any(lowered, L.USER_FACT_PHRASES), 800).otherwise(0)
     )
-    bounded = F.greatest(F.lit(0.0), F.least(F.lit(10.0), score))
-    out = out.withColumn("quality_score", F.when(F.col("_clean") == "", 0.0).otherwise(F.bround(bounded, 2)))
+    hundredths = F.when(F.col("_clean") == "", 0).otherwise(tens_half_even(F.least(F.lit(10000), score)))
+    out = out.withColumn("_quality", hundredths).withColumn("quality_score", F.col("_quality") / 100)
     if model_score:
-        model = normalize_model_score(F.col(model_score))
-        out = out.withColumn("combined_score", F.bround(model * 0.4 + F.col("quality_score") * 0.6, 2))
+        model = F.round(normalize_model_score(F.col(model_score)) * 100).cast("bigint")
+        out = out.withColumn("combined_score", tens_half_even(model * 4 + F.col("_quality") * 6) / 100)
+    out = out.drop("_quality")
     return out.drop("_clean", "_lowered", "_words", "_n_sent", "_n_par", "_hint", "_n", "_unique")
 
 
+def tens_half_even(n: Column) -> Column:
+    """Whole number divided by ten, rounded half to even without floating point."""
+    tens, rest = F.floor(n / 10), F.pmod(n, F.lit(10))
+    return tens + F.when((rest > 5) | ((rest == 5) & (F.pmod(tens, F.lit(2)) == 1)), 1).otherwise(0)
+
+
 def normalize_model_score(score: Column, fallback: float = 7.5) -> Column:
     """Zero or missing becomes the fallback; scores in 0..1 stretch to 0..10."""
     value = F.coalesce(F.nullif(score.cast("double"), F.lit(0.0)), F.lit(fallback))
@@ -251,14 +259,17 @@ def extractive_summary(text: Column, n: int = 3) -> Column:
 
     scored = F.transform(long_ones, lambda p: F.struct((-informative(p["s"])).alias("key"), p["pos"].alias("pos"), p["s"].alias("s")))
     top = F.array_sort(F.transform(F.slice(F.array_sort(scored), 1, n), lambda p: F.struct(p["pos"], p["s"])))
-    # at most n entries, so comparing each with the earlier ones is cheap
-    kept = F.filter(
-        top,
-        lambda p, i: ~F.exists(F.slice(top, 1, i), lambda e: F.substring(e["s"], 1, 50) == F.substring(p["s"], 1, 50)),
-    )
-    joined = F.concat(F.array_join(F.transform(kept, lambda p: p["s"]), ". "), F.lit("."))
+
+    def unlike_earlier(items: Column) -> Column:
+        # at most n entries, so comparing each with the earlier ones is cheap
+        return F.filter(
+            items,
+            lambda p, i: ~F.exists(F.slice(items, 1, i), lambda e: F.substring(e["s"], 1, 50) == F.substring(p["s"], 1, 50)),
+        )
+
+    joined = F.array_join(F.transform(X.bind(top, unlike_earlier), lambda p: p["s"]), ". ")
     fallback = F.concat(X.strip(F.substring(body, 1, 400)), F.lit("..."))
-    return F.when(body == "", "").when(F.size(kept) == 0, fallback).otherwise(joined)
+    return F.when(body == "", "").otherwise(F.coalesce(F.concat(F.nullif(joined, F.lit("")), F.lit(".")), fallback))
 
 
 def fact_sentences(text: Column, n: int = 3) -> Column:
@@ -268,8 +279,11 @@ def fact_sentences(text: Column, n: int = 3) -> Column:
     def quantified(s: Column) -> Column:
         return s.rlike(r"\p{Nd}") | X.contains_any(F.lower(s), L.QUANTITY_TOKENS)
 
-    ordered = F.concat(F.filter(found, quantified), F.filter(found, lambda s: ~quantified(s)))
-    return distinct_folded(ordered, n)
+    def ordered(ss: Column) -> Column:
+        marked = F.transform(ss, lambda s: F.struct(quantified(s).alias("q"), s.alias("s")))
+        return X.bind(marked, lambda m: F.concat(F.filter(m, lambda e: e["q"]), F.filter(m, lambda e: ~e["q"])))
+
+    return distinct_folded(F.transform(X.bind(found, ordered), lambda e: e["s"]), n)
 
 
 def distinct_folded(items: Column, n: int) -> Column:
@@ -288,8 +302,10 @@ def distinct_folded(items: Column, n: int) -> Column:
 
 def user_fact(text: Column, interest: Column, hint: Column) -> Column:
     """One fact sentence with a localized lead; the one that names the interest if any."""
-    facts = fact_sentences(text, 5)
-    named = F.filter(facts, lambda f: (F.coalesce(interest, F.lit("")) != "") & F.contains(F.lower(f), F.lower(interest)))
+
+    def best(facts: Column) -> Column:
+        named = F.filter(facts, lambda f: (F.coalesce(interest, F.lit("")) != "") & F.contains(F.lower(f), F.lower(interest)))
+        return F.coalesce(F.get(named, F.lit(0)), F.get(facts, F.lit(0)))
 
     def prefix(part: int) -> Column:
         c = F.lit(L.FACT_PREFIXES["en"][part])
@@ -297,8 +313,7 @@ def user_fact(text: Column, interest: Column, hint: Column) -> Column:
             c = F.when(hint == code, L.FACT_PREFIXES[code][part]).otherwise(c)
         return c
 
-    chosen = F.coalesce(F.get(named, F.lit(0)), F.get(facts, F.lit(0)), prefix(1))
-    return F.concat(prefix(0), F.lit(": "), chosen)
+    return F.concat(prefix(0), F.lit(": "), F.coalesce(X.bind(fact_sentences(text, 5), best), prefix(1)))
 
 
 def topic_phrases(title: Column, text: Column, category: Column, n: int = 6) -> Column:
@@ -309,7 +324,7 @@ def topic_phrases(title: Column, text: Column, category: Column, n: int = 6) ->
     heads = F.transform(long_ones, lambda c: F.array_join(F.slice(F.filter(F.split(c, " "), lambda w: w != ""), 1, 8), " "))
     found = distinct_folded(F.filter(heads, lambda h: h != ""), n)
     fallback = F.filter(F.array(F.trim(category)), lambda c: c != "")
-    return F.when(F.size(found) > 0, found).otherwise(fallback)
+    return X.bind(found, lambda f: F.when(F.size(f) > 0, f).otherwise(fallback))
 
 
 def top_keywords(df: DataFrame, id_col: str, text: str, k: int = 6) -> DataFrame:
@@ -348,24 +363,32 @@ def strip_heading_prefix(title: Column) -> Column:
 
 def inferred_headline(source: Column) -> Column:
     """Headline from source text: a world-cup line when it tells of a win, else its first sentence."""
-    raw = X.strip_artifacts(source)
-    lowered = F.lower(raw)
-    flat = F.btrim(X.collapse_space(raw), F.lit(" .,:;!-"))
-    head = F.btrim(F.get(F.split(flat, rf"(?iU)\b{L.WIN_SPLIT}\b", 2), F.lit(0)), F.lit(" -,:;!"))
-    subject = F.array_join(F.slice(X.words(head), 1, 5), " ")
-    bare = F.slice(F.split(X.strip(F.regexp_replace(raw, rf"[^\p{{L}}\p{{N}}_\s\-]", "")), " "), 1, 3)
-    subject = F.when(subject == "", X.strip(F.array_join(bare, " "))).otherwise(subject)
-    hint = X.language_hint(raw)
-    cup = (
-        F.when(hint == "ru", F.concat(subject, F.lit(" победитель чемпионата мира")))
-        .when(hint == "uz", F.concat(subject, F.lit(" jahon chempionati g'olibi")))
-        .otherwise(F.concat(subject, F.lit(" wins the World Cup")))
-    )
-    first = F.get(F.split(raw, rf"(?<=[.!?]){L.SPACE}+"), F.lit(0))
-    first = X.collapse_space(F.regexp_replace(X.strip(first), "^[\"'“”‘’\\-\\s]+", ""))
-    line = F.btrim(F.substring(first, 1, 120), F.lit(" -,:;"))
-    is_cup = (subject != "") & X.contains_any(lowered, L.WORLD_CUP_MARKERS) & X.contains_any(lowered, L.WIN_MARKERS)
-    return F.when(raw == "", "").when(is_cup, cup).otherwise(line)
+
+    def subject(raw: Column) -> Column:
+        flat = F.btrim(X.collapse_space(raw), F.lit(" .,:;!-"))
+        head = F.btrim(F.get(F.split(flat, rf"(?iU)\b{L.WIN_SPLIT}\b", 2), F.lit(0)), F.lit(" -,:;!"))
+        leading = F.array_join(F.slice(X.words(head), 1, 5), " ")
+        bare = F.slice(F.split(X.strip(F.regexp_replace(raw, r"[^\p{L}\p{N}_\s\-]", "")), " "), 1, 3)
+        return F.coalesce(F.nullif(leading, F.lit("")), F.nullif(X.strip(F.array_join(bare, " ")), F.lit("")))
+
+    def cup_line(raw: Column) -> Column:
+        """Null when the text is no world-cup win or has no subject."""
+        lowered = F.lower(raw)
+        hint = X.language_hint(raw)
+        tail = (
+            F.when(hint == "ru", " победитель чемпионата мира")
+            .when(hint == "uz", " jahon chempionati g'olibi")
+            .otherwise(" wins the World Cup")
+        )
+        is_cup = X.contains_any(lowered, L.WORLD_CUP_MARKERS) & X.contains_any(lowered, L.WIN_MARKERS)
+        return F.when(is_cup, F.concat(subject(raw), tail))
+
+    def first_line(raw: Column) -> Column:
+        first = X.strip(F.get(F.split(raw, rf"(?<=[.!?]){L.SPACE}+"), F.lit(0)))
+        first = X.collapse_space(F.regexp_replace(first, "^[\"'“”‘’\\-\\s]+", ""))
+        return F.btrim(F.substring(first, 1, 120), F.lit(" -,:;"))
+
+    return X.bind(X.strip_artifacts(source), lambda raw: F.when(raw == "", "").otherwise(F.coalesce(cup_line(raw), first_line(raw))))
 
 
 def ensured_title(title: Column, fallback: Column, source_text: Column) -> Column:
@@ -374,20 +397,26 @@ def ensured_title(title: Column, fallback: Column, source_text: Column) -> Colum
     source = X.strip(F.regexp_replace(source, r"(?i)^\s*\[ai\]\s*", ""))
     source = X.strip(F.get(F.split(X.strip_artifacts(strip_heading_prefix(source)), "\n"), F.lit(0)))
     source = F.btrim(strip_heading_prefix(source), F.lit(" -:\t"))
-    hint = X.language_hint(F.concat_ws(" ", source, F.coalesce(fallback, F.lit(""))))
-    default = F.lit(L.DEFAULT_HEADLINES["en"])
-    for code in ("uz", "ru"):
-        default = F.when(hint == code, L.DEFAULT_HEADLINES[code]).otherwise(default)
-    short = F.when(
-        F.length(source) > 160, F.concat(F.regexp_replace(F.substring(source, 1, 157), f"{L.SPACE}+$", ""), F.lit("..."))
-    ).otherwise(source)
     context = F.concat_ws(" ", F.coalesce(fallback, F.lit("")), F.coalesce(source_text, F.lit("")))
-    inferred = F.nullif(inferred_headline(X.strip(context)), F.lit(""))
-    return (
-        F.when((source == "") | source.rlike(r"^[^\p{L}\p{N}]+$") | (F.length(source) < 4), default)
-        .when(F.lower(short).isin(*L.GENERIC_TITLES), F.coalesce(inferred, short))
-        .otherwise(short)
-    )
+
+    def default(s: Column) -> Column:
+        hint = X.language_hint(F.concat_ws(" ", s, F.coalesce(fallback, F.lit(""))))
+        headline = F.lit(L.DEFAULT_HEADLINES["en"])
+        for code in ("uz", "ru"):
+            headline = F.when(hint == code, L.DEFAULT_HEADLINES[code]).otherwise(headline)
+        return headline
+
+    def finish(s: Column) -> Column:
+        cut = F.concat(F.regexp_replace(F.substring(s, 1, 157), f"{L.SPACE}+$", ""), F.lit("..."))
+        unusable = s.rlike(r"^[^\p{L}\p{N}]+$") | (F.length(s) < 4)
+        return (
+            F.when(unusable, default(s))
+            .when(F.lower(s).isin(*L.GENERIC_TITLES), F.coalesce(F.nullif(inferred_headline(X.strip(context)), F.lit("")), s))
+            .when(F.length(s) > 160, cut)
+            .otherwise(s)
+        )
+
+    return X.bind(source, finish)
 
 
 def snippet(text: Column, max_len: int = 400) -> Column:
@@ -402,7 +431,7 @@ def snippet(text: Column, max_len: int = 400) -> Column:
 
 def drop_cut_word(text: Column) -> Column:
     """Cut the last word of a text that does not end in a sentence mark."""
-    return F.when(~text.rlike(r"[.!?]$") & text.contains(" "), F.regexp_replace(text, r" [^ ]*$", "")).otherwise(text)
+    return F.when(~text.rlike(r"[.!?]\z") & text.contains(" "), F.regexp_replace(text, r" [^ ]*\z", "")).otherwise(text)
 
 
 def fit_word_bounds(text: Column, max_words: int = 250) -> Column:
@@ -421,11 +450,14 @@ def fit_word_bounds(text: Column, max_words: int = 250) -> Column:
 
 def structured_text(text: Column, title: Column, max_paragraphs: int = 3, max_chars: int = 0) -> Column:
     """First paragraphs of the cleaned text; the title when nothing is left."""
-    cleaned = X.strip_artifacts(text)
-    joined = F.array_join(F.slice(X.paragraphs(cleaned), 1, max_paragraphs), "\n\n")
-    if max_chars > 0:
-        joined = F.substring(joined, 1, max_chars)
-    return F.when(joined == "", F.coalesce(F.nullif(cleaned, F.lit("")), title)).otherwise(joined)
+
+    def finish(cleaned: Column) -> Column:
+        joined = F.array_join(F.slice(X.paragraphs(cleaned), 1, max_paragraphs), "\n\n")
+        if max_chars > 0:
+            joined = F.substring(joined, 1, max_chars)
+        return F.coalesce(F.nullif(joined, F.lit("")), F.nullif(cleaned, F.lit("")), title)
+
+    return X.bind(X.strip_artifacts(text), finish)
 
 
 def drop_english_sentences(text: Column) -> Column:
