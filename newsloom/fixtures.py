@@ -107,11 +107,20 @@ class Tables:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = apply_runtime_settings(spark)
         self.sf_dir = sf_dir.rstrip("/")
+        self._frames: dict[str, DataFrame] = {}
 
     def base(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        # one schema lookup per table, however many views use it
+        if name not in self._frames:
+            self._frames[name] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        return self._frames[name]
 
     def view(self, name: str) -> DataFrame:
+        if name not in self._frames:
+            self._frames[name] = self._view(name)
+        return self._frames[name]
+
+    def _view(self, name: str) -> DataFrame:
         # pass the inputs as DataFrames: no temp view is left behind
         sql = VIEW_SQL[name].replace("{", "{{").replace("}", "}}")
         for table in _VIEW_INPUTS[name]:

@@ -16,6 +16,7 @@ from newsloom.functions.texts import keyword_set
 from newsloom.functions.urls import hostname
 from newsloom.operators.common import top_rows
 from newsloom.operators.dedup import dedupe_feed
+from newsloom.session import spread_partitions
 
 # Ranking weights, limits and terms of the feed.
 FRESH_HOURS = 48
@@ -139,7 +140,9 @@ def user_context(
     context = users.select("user_id")
     for part in (flags, topics, sources, overlap, unseen, cold.select("user_id", F.lit(True).alias("cold_start"))):
         context = context.join(part, "user_id", "left")
-    return context
+    # user rows are small but fan out 250-fold: a fixed number of partitions keeps
+    # adaptive coalescing from putting whole user ranges into one task
+    return context.repartition(spread_partitions(users.sparkSession), "user_id")
 
 
 def user_candidates(context: DataFrame, facts: DataFrame, parity: bool = False) -> DataFrame:
@@ -154,9 +157,11 @@ def user_candidates(context: DataFrame, facts: DataFrame, parity: bool = False)
     def known(name: str) -> Column:
         return F.coalesce(flag[name], F.lit(False))
 
+    carried = [c for c in facts.columns if c not in ("language", "host", "target_persona", "raw_news_id")]
     return rows.select(
         "user_id",
-        *facts.columns,
+        *carried,
+        (F.lit("") if parity else F.col("language")).alias("language"),
         F.coalesce("cold_start", F.lit(False)).alias("cold_start"),
         known("liked").alias("liked"),
         known("viewed").alias("viewed"),
@@ -169,7 +174,7 @@ def user_candidates(context: DataFrame, facts: DataFrame, parity: bool = False)
         F.try_element_at("source_weights", F.col("host")).alias("source_weight"),
         F.try_element_at("overlaps", F.col("ai_news_id")).alias("overlap"),
         F.coalesce(F.array_contains("seen_ids", F.col("ai_news_id")), F.lit(False)).alias("seen"),
-    ).withColumn("language", F.lit("") if parity else F.col("language"))
+    )
 
 
 def session_columns(rows: DataFrame) -> DataFrame:
@@ -181,22 +186,26 @@ def session_columns(rows: DataFrame) -> DataFrame:
     ``topic_dwells_last`` those of the topic.
     """
     touched = (F.col("liked") | F.col("viewed")) & (F.col("category") != "")
-    per_topic = Window.partitionBy("user_id", "category")
-    per_user = Window.partitionBy("user_id")
-    recency = Window.partitionBy("user_id", "_touched").orderBy(F.col("candidate_pos").desc())
-    marked = rows.withColumn("_touched", touched).withColumn("_last", F.col("_touched") & (F.row_number().over(recency) <= 3))
+    # two sort orders in all: whole-partition frames share the order of the ranks
+    newest = Window.partitionBy("user_id").orderBy(F.col("candidate_pos").desc())
+    in_topic = Window.partitionBy("user_id", "category").orderBy("candidate_pos")
+    whole = (Window.unboundedPreceding, Window.unboundedFollowing)
+    so_far = newest.rowsBetween(Window.unboundedPreceding, 0)
 
     def counted(condition: Column, window) -> Column:
         return F.sum(condition.cast("int")).over(window)
 
+    marked = rows.withColumn("_touched", touched)
+    marked = marked.withColumn("_last", F.col("_touched") & (counted(F.col("_touched"), so_far) <= 3))
+    marked = marked.withColumn("likes_last", counted(F.col("_last") & F.col("liked"), newest.rowsBetween(*whole)))
+    topic_wide = in_topic.rowsBetween(*whole)
     return marked.withColumns(
         {
-            "topic_session": counted(F.col("_touched"), per_topic),
-            "topic_last": counted(F.col("_last"), per_topic),
-            "topic_likes_last": counted(F.col("_last") & F.col("liked"), per_topic),
-            "topic_dwells_last": counted(F.col("_last") & (F.col("watch_time") > 3), per_topic),
-            "topic_count": F.row_number().over(per_topic.orderBy("candidate_pos")),
-            "likes_last": counted(F.col("_last") & F.col("liked"), per_user),
+            "topic_session": counted(F.col("_touched"), topic_wide),
+            "topic_last": counted(F.col("_last"), topic_wide),
+            "topic_likes_last": counted(F.col("_last") & F.col("liked"), topic_wide),
+            "topic_dwells_last": counted(F.col("_last") & (F.col("watch_time") > 3), topic_wide),
+            "topic_count": F.row_number().over(in_topic),
         }
     ).drop("_touched", "_last")
 
@@ -309,6 +318,22 @@ def filter_feed(ranked: DataFrame, seen: DataFrame | None = None, max_per_topic:
     return topic_cap(kept, max_per_topic).where(F.col("rank_score") >= min_score)
 
 
+def shortlist(ranked: DataFrame, limit: int) -> DataFrame:
+    """Rows that slots or swaps can still choose; the result of both is unchanged.
+
+    Slots take at most three unseen rows per topic, each time the best left, so
+    a chosen row is among the best three of its (topic, preferred) list.  The
+    swap for new topics needs at most ``limit`` rows of the feed plus its own.
+    """
+    need_new = max(1, int(limit * NEW_TOPIC_SHARE))
+    unseen = ranked.where(~F.col("seen"))
+    in_list = Window.partitionBy("user_id", "category", "preferred").orderBy("rank_pos")
+    in_new = Window.partitionBy("user_id", "topic_known").orderBy("rank_pos")
+    marked = unseen.withColumns({"_a": F.row_number().over(in_list), "_b": F.row_number().over(in_new)})
+    useful = (F.col("_a") <= TOPIC_CAP) | (~F.col("topic_known") & (F.col("_b") <= limit + need_new))
+    return marked.where(useful).drop("_a", "_b")
+
+
 def preference_slots(ranked: DataFrame, limit: int) -> DataFrame:
     """Pick ``limit`` rows per user: preferred, exploration, others, then a fill.
 
@@ -368,21 +393,9 @@ def region_quota(df: DataFrame, limit: int, order: str = "slot_pos") -> DataFram
     return out.withColumn("feed_pos", pos).drop("_placed", "_regional", "_group", "_pos", "_head")
 
 
-def diversity_swaps(df: DataFrame, limit: int) -> DataFrame:
-    """Bound the largest topic and guarantee new topics; works on ``feed_pos``.
-
-    Two swaps from the published walk, both in closed form.  (1) Only one topic
-    can exceed 60 % of the slots: its lowest rows leave, and the best ranked
-    unused rows of topics below that bound are appended, one per row removed.
-    (2) When fewer than 20 % of the rows have a topic outside the profile, rows
-    of known topics are replaced from the tail by the best unused rows of
-    unknown topics, in order.
-    """
-    max_topic = int(limit * MAX_TOPIC_SHARE)
-    need_new = max(1, int(limit * NEW_TOPIC_SHARE))
+def _bound_topic(df: DataFrame, max_topic: int) -> DataFrame:
+    """Remove the tail of the oversized topic and append capped replacements."""
     user, topic = Window.partitionBy("user_id"), Window.partitionBy("user_id", "category")
-
-    # (1) remove the tail of the oversized topic, append capped replacements
     out = df.withColumn("_in", F.col("feed_pos").isNotNull())
     from_tail = Window.partitionBy("user_id", "category", "_in").orderBy(F.col("feed_pos").desc())
     out = out.withColumn("_topic_n", F.count("feed_pos").over(topic))
@@ -400,6 +413,26 @@ def diversity_swaps(df: DataFrame, limit: int) -> DataFrame:
     # positions stay dense
     dense = Window.partitionBy("user_id", F.col("feed_pos").isNull()).orderBy("feed_pos")
     out = out.withColumn("feed_pos", F.when(F.col("feed_pos").isNotNull(), F.row_number().over(dense)))
+    return out.drop("_in", "_topic_n", "_removed", "_n_removed", "_last", "_pool", "_fits", "_fit_rank")
+
+
+def diversity_swaps(df: DataFrame, limit: int, topic_bound: int | None = None) -> DataFrame:
+    """Bound the largest topic and guarantee new topics; works on ``feed_pos``.
+
+    Two swaps from the published walk, both in closed form.  (1) Only one topic
+    can exceed 60 % of the slots: its lowest rows leave, and the best ranked
+    unused rows of topics below that bound are appended, one per row removed.
+    (2) When fewer than 20 % of the rows have a topic outside the profile, rows
+    of known topics are replaced from the tail by the best unused rows of
+    unknown topics, in order.
+
+    ``topic_bound`` states how many rows of one topic the input can hold; when
+    that is within the bound, (1) cannot act and is left out of the plan.
+    """
+    max_topic = int(limit * MAX_TOPIC_SHARE)
+    need_new = max(1, int(limit * NEW_TOPIC_SHARE))
+    user = Window.partitionBy("user_id")
+    out = df if topic_bound is not None and topic_bound <= max_topic else _bound_topic(df, max_topic)
 
     # (2) swap known topics at the tail for unknown ones
     placed = F.col("feed_pos").isNotNull()
@@ -421,8 +454,7 @@ def diversity_swaps(df: DataFrame, limit: int) -> DataFrame:
         .otherwise(F.col("feed_pos"))
     )
     return out.withColumn("feed_pos", new_pos).drop(
-        "_in", "_topic_n", "_removed", "_n_removed", "_last", "_pool", "_fits", "_fit_rank", "_missing", "_known_in",
-        "_new_out", "_tail_rank", "_new_rank", "_n_new", "_given",
+        "_missing", "_known_in", "_new_out", "_tail_rank", "_new_rank", "_n_new", "_given"
     )
 
 

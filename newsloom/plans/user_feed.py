@@ -44,9 +44,9 @@ def candidate_rows(users, enriched, raw, interaction_log, save_log, comments, as
 
 def assemble(ranked: DataFrame, limit: int = 20, swaps: bool = True) -> DataFrame:
     """Slots, regional mix, diversity swaps and clean-up of ranked rows."""
-    placed = O.region_quota(O.preference_slots(ranked, limit), limit)
+    placed = O.region_quota(O.preference_slots(O.shortlist(ranked, limit), limit), limit)
     if swaps:
-        placed = O.diversity_swaps(placed, limit)
+        placed = O.diversity_swaps(placed, limit, topic_bound=O.TOPIC_CAP)
     return O.sanitize_feed(placed.where(F.col("feed_pos").isNotNull()), limit)
 
 
@@ -54,6 +54,6 @@ def user_feed(users, enriched, raw, interaction_log, save_log, comments, as_of,
     """(user_id, position, ai_news_id, …): at most ``limit`` rows per active user."""
     ranked = ranked_feed(users, enriched, raw, interaction_log, save_log, comments, as_of, limit, parity)
     return assemble(ranked, limit).select(
-        "user_id", "position", "ai_news_id", "raw_news_id", "category", "region", "language", "target_persona", "ai_score",
-        "rank_score", "created_at", "liked", "saved", "viewed",
+        "user_id", "position", "ai_news_id", "category", "region", "language", "ai_score", "rank_score", "created_at", "liked",
+        "saved", "viewed",
     )

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings that change results or plans; all can be set at runtime.
 RUNTIME_SETTINGS = {
@@ -50,12 +51,31 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if not folder:
         folder = tempfile.mkdtemp(prefix="spark-", dir=os.environ.get("TMPDIR", "/tmp"))
         spark.conf.set("spark.checkpoint.dir", folder)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(folder)
     return folder
 
 
-def cut_lineage(df):
-    """Materialise ``df`` on shared storage so that lost executors cost no recompute."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back.
+
+    Lost executors then cost no recompute of what lies before.  Unlike an RDD
+    checkpoint this computes the input once and keeps size statistics, so the
+    planner still sees a small table as small.
+    """
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark)}/newsloom-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+# Rows that fan out after a shuffle get this many times the usual partitions.
+FAN_OUT_FACTOR = 4
+
+
+def spread_partitions(spark: SparkSession) -> int:
+    """Partitions for rows that are small now and fan out later.
+
+    A count other than the session's own also keeps the planner from dropping
+    the repartition as redundant, after which adaptive coalescing would put all
+    small rows, and their fan-out, into one task.
+    """
+    return int(spark.conf.get("spark.sql.shuffle.partitions")) * FAN_OUT_FACTOR
