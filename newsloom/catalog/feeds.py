@@ -246,11 +246,11 @@ WHERE created_at >= {NOW} - INTERVAL 7 DAY AND title IS NOT NULL AND raw_news_id
 def _label_topk(t):
     centers = vectors.label_centroids(t.embeddings, "label", "embedding").withColumn("label", F.col("label").cast("bigint"))
     items = t.embeddings.select("vec_id", F.col("embedding").cast("array<double>").alias("vector"))
-    return shape(vectors.cosine_topk(items, centers, "vec_id", "label", 10, per="label"), similarity=5)
+    return shape(vectors.cosine_topk(items, centers, "vec_id", "label", 10, per="label"))
 
 
 register("cosine_topk", _label_topk, "", """
-SELECT label, vec_id, round(similarity, 5) AS similarity, rank FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY similarity DESC, vec_id) AS rank FROM (
+SELECT label, vec_id, similarity, rank FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY similarity DESC, vec_id) AS rank FROM (
   SELECT c.label, e.vec_id, round_even(sum(c.x * e.x) / (sqrt(sum(c.x * c.x)) * sqrt(sum(e.x * e.x))), 6) AS similarity
   FROM cen c JOIN el e ON e.idx = c.idx GROUP BY 1, 2)) WHERE rank <= 10""",
          """el AS (SELECT vec_id, CAST(label AS BIGINT) AS label, CAST(unnest(embedding) AS DOUBLE) AS x, generate_subscripts(embedding, 1) AS idx FROM embeddings),
@@ -298,11 +298,11 @@ uvec AS (SELECT user_id, idx, round_even(x / sqrt(sum(x * x) OVER (PARTITION BY
 
 def _user_embedding(t):
     long = _user_vectors(t).select("user_id", F.posexplode("vector").alias("idx", "weight"))
-    return shape(long.where("abs(weight) >= 0.000005"), weight=5)
+    return shape(long.where("weight <> 0"))
 
 
 register("user_embedding", _user_embedding, "v_users v_ai_news v_raw_news v_interactions v_saved",
-         "SELECT user_id, idx, round(weight, 5) AS weight FROM uvec WHERE abs(weight) >= 0.000005", UVEC)
+         "SELECT user_id, idx, weight FROM uvec WHERE weight <> 0", UVEC)
 
 
 def _similarity_rank(t):
@@ -317,11 +317,11 @@ def _similarity_rank(t):
         F.map_from_entries(F.collect_list(F.struct("ai_news_id", flag_cols))).alias("flags"))
     topics = t.v_users.select("user_id", personas.user_topics(F.col("interests")).alias("topics"))
     ranked = vectors.similarity_rank(similar, feed.candidate_facts(candidates), context, topics, t.as_of, LIMIT)
-    return shape(ranked.select("user_id", "position", "ai_news_id", "similarity", "rank_score"), similarity=5)
+    return shape(ranked.select("user_id", "position", "ai_news_id", "similarity", "rank_score"))
 
 
 register("similarity_rank", _similarity_rank, VIEWS, """
-SELECT user_id, position, ai_news_id, round(similarity, 5) AS similarity, rank_score FROM (
+SELECT user_id, position, ai_news_id, similarity, rank_score FROM (
   SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY rank_score DESC, similarity DESC, ai_score DESC, ai_news_id DESC) AS position FROM (
     SELECT *, bool_or(keep) OVER (PARTITION BY user_id) AS anyk FROM sscore) WHERE keep OR NOT anyk) WHERE position <= 20""",
          ", ".join([UVEC, CANDS, STATE, f"""csim AS (SELECT u.user_id, c.ai_news_id, coalesce(round_even(d.dot / (un.n * cn.n), 6), 0) AS similarity FROM (SELECT DISTINCT user_id FROM uvec) u CROSS JOIN cands c
