@@ -6,5 +6,6 @@ import newsloom.catalog.events  # noqa: F401, E402
 import newsloom.catalog.texts  # noqa: F401, E402
 import newsloom.catalog.feeds  # noqa: F401, E402
 import newsloom.catalog.audience  # noqa: F401, E402
+import newsloom.catalog.pages  # noqa: F401, E402
 
 __all__ = ["ORACLES", "QUERIES"]

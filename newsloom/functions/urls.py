@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from newsloom.functions.texts import bind
+
 # RFC 3986 split; groups are scheme, authority, path, query.
 URL_PATTERN = r"^(?:([A-Za-z][A-Za-z0-9+.\-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#.*)?$"
 SCHEME, AUTHORITY, PATH, QUERY = 1, 2, 3, 4
@@ -90,6 +92,15 @@ def redirect_target(url: Column) -> Column:
     found = []
     for name in REDIRECT_PARAMS:
         value = F.trim(decode_component(query_value(query, name)))
-        value = decode_component(value)
+        # the value may be encoded once more; this pass leaves plus signs alone
+        value = decode_component(F.replace(value, F.lit("+"), F.lit("%2B")))
         found.append(F.when(F.lower(value).rlike("^https?://"), value))
     return F.coalesce(*found)
+
+
+def unwrap_redirect_url(url: Column) -> Column:
+    """Follow embedded target addresses up to three levels."""
+    current = F.trim(F.coalesce(url, F.lit("")))
+    for _ in range(MAX_REDIRECT_LEVELS):
+        current = bind(current, lambda u: F.coalesce(redirect_target(u), u))
+    return current
