@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.functions import html as H
+from newsloom.functions import images as I
 from newsloom.functions import texts as X
 from newsloom.functions import urls as U
 
@@ -347,3 +348,63 @@ def page_funnel(pages: DataFrame, as_of: Column, zone: str = LOCAL_ZONE) -> Data
 
 def funnel_counts(funnel: DataFrame) -> DataFrame:
     return funnel.groupBy("reason").agg(F.count(F.lit(1)).alias("pages"))
+
+
+BLOB_IMAGE = r"(?i)(https?://[^\s\"'<>]+?\.(?:jpg|jpeg|png|webp|avif)(?:\?[^\s\"'<>]*)?)"
+MIN_TAG_WIDTH, MIN_TAG_HEIGHT = 200, 150
+
+
+def page_images(pages: DataFrame) -> DataFrame:
+    """(page_id, pos, kind, image_url, chosen): image candidates in order of trust.
+
+    Kinds: meta and link tags, the largest ``srcset`` entry, ``img`` sources not
+    marked as small, then photo addresses anywhere in the page.  ``chosen``
+    marks the first one that no rejection rule hits; without one the page has
+    no image (a stock picture is not made up).
+    """
+    html, base = F.col("html"), F.col("url")
+
+    def candidate(kind: str):
+        return lambda u: F.struct(F.lit(kind).alias("kind"), I.normalize_candidate_url(u, base).alias("image_url"))
+
+    link = F.get(F.filter(H.all_matches(html, r"(?is)<link\s[^>]*>"), lambda m: H.attribute(m, "rel").contains("image")), F.lit(0))
+    metas = F.array_compact(F.array(
+        H.meta_content(html, ["og:image"]), H.meta_content(html, ["twitter:image"]), F.nullif(H.attribute(link, "href"), F.lit(""))
+    ))
+    imgs = H.all_matches(html, r"(?is)<img\s[^>]*>")
+
+    def largest(tag: Column) -> Column:
+        parts = F.filter(F.transform(F.split(H.attribute(tag, "(?:data-)?srcset"), ","), F.trim), lambda p: p != "")
+        sized = F.transform(
+            parts,
+            lambda p: F.struct(
+                F.coalesce(F.nullif(F.regexp_extract(p, r"\s(\d{1,9})[wWx]$", 1), F.lit("")).cast("int"), F.lit(0)).alias("n"),
+                F.substring_index(p, " ", 1).alias("u"),
+            ),
+        )
+        return F.array_max(sized)["u"]
+
+    def big_enough(tag: Column) -> Column:
+        def size(name: str) -> Column:
+            return F.nullif(F.regexp_extract(tag, rf"(?is)\s{name}\s*=\s*[\"']?(\d{{1,9}})\b", 1), F.lit("")).cast("int")
+
+        return (F.coalesce(size("width"), F.lit(MIN_TAG_WIDTH)) >= MIN_TAG_WIDTH) & (
+            F.coalesce(size("height"), F.lit(MIN_TAG_HEIGHT)) >= MIN_TAG_HEIGHT
+        )
+
+    def source(tag: Column) -> Column:
+        return F.coalesce(*[F.nullif(F.trim(H.attribute(tag, a)), F.lit("")) for a in ("src", "data-src", "data-original", "data-lazy-src")])
+
+    groups = [
+        F.transform(metas, candidate("meta")),
+        F.transform(F.array_compact(F.transform(imgs, largest)), candidate("srcset")),
+        F.transform(F.array_compact(F.transform(F.filter(imgs, big_enough), source)), candidate("img")),
+        F.transform(F.filter(H.all_matches(html, BLOB_IMAGE, 1), I.news_photo), candidate("blob")),
+    ]
+    listed = pages.select("page_id", F.filter(F.concat(*groups), lambda c: c["image_url"].isNotNull()).alias("found"))
+    usable = F.transform("found", lambda c, i: F.when(~I.rejected(c["image_url"]), i))
+    best = F.array_min(F.array_compact(usable))
+    exploded = listed.withColumn("_best", best).select("page_id", "_best", F.posexplode("found").alias("pos", "c"))
+    return exploded.select(
+        "page_id", "pos", "c.kind", "c.image_url", F.coalesce(F.col("pos") == F.col("_best"), F.lit(False)).alias("chosen")
+    )
