@@ -8,5 +8,6 @@ import newsloom.catalog.feeds  # noqa: F401, E402
 import newsloom.catalog.audience  # noqa: F401, E402
 import newsloom.catalog.pages  # noqa: F401, E402
 import newsloom.catalog.ingest  # noqa: F401, E402
+import newsloom.catalog.streams  # noqa: F401, E402
 
 __all__ = ["ORACLES", "QUERIES"]
