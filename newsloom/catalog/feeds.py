@@ -20,11 +20,11 @@ def _tables(t):
 
 
 def _rows(t):
-    return plan.candidate_rows(*_tables(t), LIMIT)
+    return plan.candidate_rows(*_tables(t), limit=LIMIT)[0]
 
 
 def _ranked(t):
-    return plan.ranked_feed(*_tables(t), LIMIT)
+    return plan.ranked_feed(*_tables(t), limit=LIMIT)
 
 
 def _seen(t):
@@ -198,7 +198,7 @@ register("feed_defaults",
 
 
 def _user_feed(t):
-    return plan.user_feed(*_tables(t), LIMIT)
+    return plan.user_feed(*_tables(t), limit=LIMIT)
 
 
 FEED = f"{RANKED}, {SLOTS}, {QUOTA}, {FINAL}"

@@ -12,7 +12,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.session import apply_runtime_settings
+from newsloom.session import apply_runtime_settings, spread_small_scan
 
 AS_OF = "2024-01-31 00:00:00"
 
@@ -88,6 +88,9 @@ BASE_TABLES = (
     "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
 )
 
+# tables whose queries spend their time on text, with their keys
+TEXT_KEYS = {"documents": "doc_id", "pages": "page_id"}
+
 _VIEW_INPUTS = {
     "v_ai_news": ("documents", "labels"),
     "v_raw_news": ("pages",),
@@ -112,7 +115,8 @@ class Tables:
     def base(self, name: str) -> DataFrame:
         # one schema lookup per table, however many views use it
         if name not in self._frames:
-            self._frames[name] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+            table = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+            self._frames[name] = spread_small_scan(table, TEXT_KEYS[name]) if name in TEXT_KEYS else table
         return self._frames[name]
 
     def view(self, name: str) -> DataFrame:

@@ -85,12 +85,17 @@ def candidate_facts(candidates: DataFrame) -> DataFrame:
         "created_at",
         hostname(source).alias("host"),
         "image_url",
+        soft_image_url(F.col("image_url")).isNotNull().alias("image_ok"),
         "final_title",
         F.length(F.trim("final_text")).alias("text_len"),
         "candidate_pos",
     )
 
 
+# what scoring and placement read; titles and addresses rejoin the placed rows
+SCORING_COLUMNS = ("ai_news_id", "category", "region", "language", "ai_score", "created_at", "text_len", "image_ok", "candidate_pos")
+
+
 def attach_candidates(users: DataFrame, facts: DataFrame) -> DataFrame:
     """Every user row times the bounded candidate list.
 
@@ -145,9 +150,12 @@ def user_context(
     return context.repartition(spread_partitions(users.sparkSession), "user_id")
 
 
-def user_candidates(context: DataFrame, facts: DataFrame, parity: bool = False) -> DataFrame:
+def user_candidates(context: DataFrame, facts: DataFrame, parity: bool = False, slim: bool = False) -> DataFrame:
     """User × candidate rows with the user's own flags looked up from the maps.
 
+    ``slim`` carries the scoring columns only: every window that follows copies
+    its rows, so their width is most of its cost.
+
     ``parity`` reproduces a known defect: watch time, dislike and language are
     then left unmerged.
     """
@@ -157,7 +165,8 @@ def user_candidates(context: DataFrame, facts: DataFrame, parity: bool = False)
     def known(name: str) -> Column:
         return F.coalesce(flag[name], F.lit(False))
 
-    carried = [c for c in facts.columns if c not in ("language", "host", "target_persona", "raw_news_id")]
+    left_out = ("language", "host", "target_persona", "raw_news_id")
+    carried = [c for c in (SCORING_COLUMNS if slim else facts.columns) if c not in left_out]
     return rows.select(
         "user_id",
         *carried,
@@ -258,7 +267,7 @@ def rank_terms(as_of: Column) -> dict[str, Column]:
         "base": F.least(F.coalesce(c("ai_score"), F.lit(0.0)), F.lit(10.0)),
         "language": points((language == HOME_LANGUAGE, 3.0), (~language.isin("", "unknown"), -3.0)),
         "region": points((c("region") != HOME_REGION, 0.0), (c("cold_start"), 8.0), (F.lit(True), 5.0)),
-        "image": points((soft_image_url(c("image_url")).isNotNull(), 1.0)),
+        "image": points((c("image_ok"), 1.0)),
         "text": points((c("text_len") > 200, 2.0), (c("text_len") < 50, -1.0)),
         "cold_fresh": points((~c("cold_start"), 0.0), (age < 6, 2.0), (age < 24, 1.0)),
         "light": light * 0.5,

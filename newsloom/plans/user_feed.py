@@ -10,7 +10,7 @@ from newsloom.operators import profiles as P
 from newsloom.session import cut_lineage
 
 
-def ranked_feed(
+def candidate_rows(
     users: DataFrame,
     enriched: DataFrame,
     raw: DataFrame,
@@ -20,40 +20,59 @@ def ranked_feed(
     as_of: Column,
     limit: int = 20,
     parity: bool = False,
-) -> DataFrame:
-    """All candidates of every active user with ``rank_score`` and ``rank_pos``."""
-    rows = candidate_rows(users, enriched, raw, interaction_log, save_log, comments, as_of, limit, parity)
-    ranked = O.rank_items(rows, as_of)
-    known = F.col("topic_weight").isNotNull()
-    return ranked.withColumns({"topic_known": known, "preferred": known | F.col("source_weight").isNotNull()})
-
-
-def candidate_rows(users, enriched, raw, interaction_log, save_log, comments, as_of, limit=20, parity=False) -> DataFrame:
-    """User × candidate rows with flags and profile weights, before scoring."""
+    slim: bool = False,
+) -> tuple[DataFrame, DataFrame]:
+    """User × candidate rows before scoring, and the candidates' own facts."""
     interactions = P.merge_interactions(interaction_log)
     # a few hundred rows that five branches use: written once, on shared storage
     candidates = cut_lineage(O.fresh_candidates(enriched, raw, as_of, limit))
+    facts = O.candidate_facts(candidates)
     profile = P.profile_from_likes(interactions, enriched, raw, as_of)
     state = P.user_item_state(interactions, P.saved_state(save_log), comments)
     active = users.where("is_active").select("user_id")
     context = O.user_context(
         active, state, profile, P.seen_items(interactions, as_of), P.cold_start_users(active, interactions, as_of), candidates, as_of
     )
-    return O.user_candidates(context, O.candidate_facts(candidates), parity)
+    return O.user_candidates(context, facts, parity, slim), facts
 
 
-def assemble(ranked: DataFrame, limit: int = 20, swaps: bool = True) -> DataFrame:
-    """Slots, regional mix, diversity swaps and clean-up of ranked rows."""
+def rank_rows(rows: DataFrame, as_of: Column) -> DataFrame:
+    """Scored and ranked rows with the two profile flags that placement reads."""
+    known = F.col("topic_weight").isNotNull()
+    return O.rank_items(rows, as_of).withColumns({"topic_known": known, "preferred": known | F.col("source_weight").isNotNull()})
+
+
+def ranked_feed(*tables, limit: int = 20, parity: bool = False) -> DataFrame:
+    """All candidates of every active user with ``rank_score`` and ``rank_pos``.
+
+    ``tables`` are those of ``candidate_rows`` up to ``as_of``.
+    """
+    rows, _ = candidate_rows(*tables, limit=limit, parity=parity)
+    return rank_rows(rows, tables[-1])
+
+
+def place(ranked: DataFrame, limit: int = 20, swaps: bool = True) -> DataFrame:
+    """Slots, regional mix and diversity swaps: the rows that have a ``feed_pos``."""
     placed = O.region_quota(O.preference_slots(O.shortlist(ranked, limit), limit), limit)
     if swaps:
         placed = O.diversity_swaps(placed, limit, topic_bound=O.TOPIC_CAP)
-    return O.sanitize_feed(placed.where(F.col("feed_pos").isNotNull()), limit)
+    return placed.where(F.col("feed_pos").isNotNull())
 
 
-def user_feed(users, enriched, raw, interaction_log, save_log, comments, as_of, limit: int = 20, parity: bool = False) -> DataFrame:
+def assemble(ranked: DataFrame, limit: int = 20, swaps: bool = True) -> DataFrame:
+    """Placed and cleaned-up rows of wide ranked rows."""
+    return O.sanitize_feed(place(ranked, limit, swaps), limit)
+
+
+def user_feed(*tables, limit: int = 20, parity: bool = False) -> DataFrame:
     """(user_id, position, ai_news_id, …): at most ``limit`` rows per active user."""
-    ranked = ranked_feed(users, enriched, raw, interaction_log, save_log, comments, as_of, limit, parity)
-    return assemble(ranked, limit).select(
+    rows, facts = candidate_rows(*tables, limit=limit, parity=parity, slim=True)
+    ranked = rank_rows(rows, tables[-1]).select(
+        "user_id", "ai_news_id", "category", "region", "rank_pos", "rank_score", "preferred", "topic_known", "seen", "liked", "saved", "viewed"
+    )
+    details = facts.select("ai_news_id", "language", "ai_score", "created_at", "final_title", "text_len", "image_url")
+    feed = O.sanitize_feed(place(ranked, limit).join(details, "ai_news_id"), limit)
+    return feed.select(
         "user_id", "position", "ai_news_id", "category", "region", "language", "ai_score", "rank_score", "created_at", "liked",
         "saved", "viewed",
     )

@@ -14,6 +14,9 @@ RUNTIME_SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    # the JVM never compiles methods above 8000 bytes of code; long score
+    # expressions run faster in split projections than in one such method
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 
@@ -79,3 +82,13 @@ def spread_partitions(spark: SparkSession) -> int:
     small rows, and their fan-out, into one task.
     """
     return int(spark.conf.get("spark.sql.shuffle.partitions")) * FAN_OUT_FACTOR
+
+
+def spread_small_scan(df: DataFrame, key: str) -> DataFrame:
+    """Hash rows over all cores when a table has fewer files than there are cores.
+
+    Real tables have many more files than cores and come back unchanged; a
+    table of one small file would leave CPU-bound text work to a single task.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if len(df.inputFiles()) < cores else df
