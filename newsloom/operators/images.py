@@ -54,7 +54,7 @@ def unique_images_across_posts(images: DataFrame, reserved: DataFrame | None = N
     """
     keyed = images.withColumn("url", F.trim("url")).where("url <> ''").withColumn("canonical_key", I.canonical_image_key(F.col("url")))
     if reserved is not None:
-        keyed = keyed.join(reserved.select("canonical_key").distinct(), "canonical_key", "left_anti")
+        keyed = keyed.join(reserved.select("canonical_key"), "canonical_key", "left_anti")
     owned = first_row(keyed, ["canonical_key"], [F.col(post), F.col("pos")])
     return top_rows(owned, [post], [F.col("pos")], limit)
 

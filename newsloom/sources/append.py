@@ -18,8 +18,8 @@ def append_new(new: DataFrame, existing: DataFrame, order_col: str) -> tuple[Dat
     """
     batch = dedupe_first_by_url(new, order_col)
     hashed = batch.withColumn("content_hash", content_sha256(F.col("title"), F.col("raw_text"), F.col("source_url")))
-    unseen = hashed.join(existing.select("source_url").distinct(), "source_url", "left_anti")
-    unseen = unseen.join(existing.select("content_hash").distinct(), "content_hash", "left_anti")
+    unseen = hashed.join(existing.select("source_url"), "source_url", "left_anti")
+    unseen = unseen.join(existing.select("content_hash"), "content_hash", "left_anti")
     inserts = first_row(unseen, ["content_hash"], [F.col(order_col)])
     n_insert = inserts.agg(F.count(F.lit(1)))
     stats = new.agg(F.count(F.lit(1)).alias("total")).withColumn("inserted", n_insert.scalar())
