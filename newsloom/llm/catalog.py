@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from newsloom.llm import bpe
+from newsloom.llm import bpe, quality_classifier, quality_rules
 from newsloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -36,3 +37,61 @@ def op3_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.with_digests(bpe.decode(coded, model), "token_ids", "decoded").select(
         "doc_id", "n_tokens", "ids_sha256", "decoded_sha256"
     )
+
+
+@query
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts, base rule and verdict of every document."""
+    return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
+
+
+_STOP_LIST = ", ".join(f"'{w}'" for w in quality_rules.STOP_WORDS)
+ORACLES["op2_quality_rules"] = f"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS text,
+         regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS words,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines
+  FROM documents
+), w AS (
+  SELECT doc_id, unnest(words) AS a, generate_subscripts(words, 1) AS i FROM d
+), g AS (
+  SELECT doc_id, i, a, lead(a) OVER p AS b, lead(a, 2) OVER p AS c FROM w WINDOW p AS (PARTITION BY doc_id ORDER BY i)
+), twice AS (
+  SELECT doc_id, i FROM g WHERE c IS NOT NULL QUALIFY count(*) OVER (PARTITION BY doc_id, a, b, c) > 1
+), covered AS (
+  SELECT doc_id, count(DISTINCT i + k) AS n FROM twice, (SELECT unnest([0, 1, 2]) AS k) GROUP BY doc_id
+), m AS (
+  SELECT d.doc_id, CAST(len(words) AS BIGINT) AS n_words,
+         CAST(coalesce(list_sum(list_transform(words, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+         CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+         CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
+         CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words,
+         greatest(len(words), 1) AS nw, greatest(len(lines), 1) AS nl,
+         len(list_intersect(words, [{_STOP_LIST}])) AS stops,
+         len(regexp_extract_all(text, '(?:^|[\\x20\\x09-\\x0D])\\p{{Lu}}{{2}}')) AS shouted,
+         length(text) - length(replace(text, '!', '')) AS exclaims,
+         len(list_filter(lines, lambda x: rtrim(x, ' ') LIKE '%...')) AS ellipsis,
+         len(list_filter(lines, lambda x: substr(ltrim(x, ' '), 1, 1) IN ('-', '•', '*'))) AS bullet
+  FROM d LEFT JOIN covered USING (doc_id)
+), f AS (
+  SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND word_chars / nw BETWEEN 2.0 AND 20.0 AND n_symbols / nw <= 0.1 AND stops >= 2
+       AND shouted / nw <= 0.3 AND exclaims / nw <= 0.3 AND n_dup_lines / nl <= 0.3
+       AND ellipsis / nl <= 0.3 AND bullet / nl <= 0.9 AS kept
+FROM f
+"""
+
+
+@query
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document by a ranking fitted on two thirds of the labels."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality_classifier.fit(docs, table(spark, sf_dir, "labels"))
+    return quality_classifier.score(docs, model, drop_text=True).select(
+        "doc_id",
+        quality_classifier.held_out(F.col("doc_id")).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
