@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.llm import bpe, maxscore, quality_classifier, quality_rules, warc
+from newsloom.llm import bpe, maxscore, pii, quality_classifier, quality_rules, warc
 from newsloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -137,3 +137,17 @@ SELECT page_id, payload_bytes, payload_digest,
        CASE WHEN payload_bytes >= 1000 AND page_id <> last THEN last END AS refers_to
 FROM m
 """
+
+
+@query
+def op10_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every document: base spans, and those the classifier adds."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pii.find(docs, pii.fit(docs), drop_text=True)
+    base = F.filter("pii_spans", lambda s: s["base"])
+    return found.select(
+        "doc_id",
+        *(pii.counted(base, kind).alias(f"n_{kind}") for kind in pii.BASE_KINDS),
+        F.sha2(pii.listed(base), 256).alias("base_sha256"),
+        pii.listed(F.col("pii_spans")).alias("spans"),
+    )
