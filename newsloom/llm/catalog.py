@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.llm import bpe, maxscore, pii, quality_classifier, quality_rules, warc
+from newsloom.llm import bpe, maxscore, minhash, pii, quality_classifier, quality_rules, warc
 from newsloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -151,3 +151,9 @@ def op10_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(pii.listed(base), 256).alias("base_sha256"),
         pii.listed(F.col("pii_spans")).alias("spans"),
     )
+
+
+@query
+def op1_minhash_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class of near duplicates of every document."""
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
