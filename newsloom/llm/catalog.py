@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.llm import bpe, maxscore, minhash, pii, quality_classifier, quality_rules, warc
+from newsloom.llm import bpe, maxscore, minhash, mixing, pii, quality_classifier, quality_rules, warc
 from newsloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -157,3 +157,18 @@ def op10_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_minhash_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Class of near duplicates of every document."""
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+#: Shares of languages and topics to mix to; sources by the square root of their tokens.
+MIX = (
+    mixing.Margin("source", power=0.5),
+    mixing.Margin("lang", {"en": 0.5, "de": 0.2, "fr": 0.15, "es": 0.15}),
+    mixing.Margin("topic", power=0.5),
+)
+
+
+@query
+def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Half of the corpus' tokens, at the target shares of source, language and topic."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    return mixing.mix(docs, MIX, fraction=0.5).select("doc_id", "lang", "source", F.round("sampling_p", 6).alias("sampling_p"))
