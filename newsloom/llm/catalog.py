@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.llm import bpe, maxscore, minhash, mixing, pii, quality_classifier, quality_rules, warc
+from newsloom.functions.texts import bind
+from newsloom.llm import bpe, maxscore, minhash, mixing, pii, quality_classifier, quality_rules, recompression, warc
 from newsloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -172,3 +173,18 @@ def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Half of the corpus' tokens, at the target shares of source, language and topic."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     return mixing.mix(docs, MIX, fraction=0.5).select("doc_id", "lang", "source", F.round("sampling_p", 6).alias("sampling_p"))
+
+
+@query
+def op8_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document, and those that are left once repeated windows are gone."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    words = recompression.words(F.col("text"))
+    whole = docs.select("doc_id", bind(words, lambda w: F.struct(F.size(w).cast("bigint").alias("n_words"), F.sha2(F.array_join(w, " "), 256).alias("sha"))).alias("w"))
+    changed = recompression.without_repeats(docs).groupBy("doc_id").agg(F.min(F.struct("n_removed", F.sha2("kept_text", 256).alias("sha"))).alias("c"))
+    return whole.select("doc_id", "w.*").join(changed, "doc_id", "left").select(
+        "doc_id",
+        "n_words",
+        F.coalesce("c.n_removed", F.lit(0).cast("bigint")).alias("n_removed"),
+        F.coalesce("c.sha", "sha").alias("kept_sha256"),
+    )
