@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsloom.functions.texts import bind
-from newsloom.llm import bpe, maxscore, minhash, mixing, pii, quality_classifier, quality_rules, recompression, warc
-from newsloom.llm.common import table
+from newsloom.llm import bpe, maxscore, minhash, mixing, pii, quality_classifier, quality_rules, recompression, training_order, warc
+from newsloom.llm.common import shared_path, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -188,3 +188,15 @@ def op8_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.coalesce("c.n_removed", F.lit(0).cast("bigint")).alias("n_removed"),
         F.coalesce("c.sha", "sha").alias("kept_sha256"),
     )
+
+
+#: Key of the training order.
+ORDER_KEY = 20_240_601
+
+
+@query
+def op9_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Place of every token sequence of the corpus in the training order's shards."""
+    model = bpe.load_model(tokenizer_path())
+    sequences = training_order.pack(table(spark, sf_dir, "documents"), model, model.special["<|endoftext|>"])
+    return training_order.write_shards(sequences, shared_path(spark, "shards"), ORDER_KEY)

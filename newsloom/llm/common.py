@@ -27,22 +27,26 @@ def shared_path(spark: SparkSession, name: str) -> str:
 _SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read back.
-
-    What comes after is computed from the files, so a lost executor costs no
-    recompute of what lies before, two readers share one computation, and the
-    shuffle files that made the table go at once.
-    """
+def write_table(df: DataFrame, path: str, compression: str = "snappy") -> str:
+    """Write ``df`` as Parquet; the shuffle files that made it go at once."""
     spark = df.sparkSession
-    path = shared_path(spark, name)
     before = spark.conf.get(_SHUFFLE_CLEANUP, None)
     spark.conf.set(_SHUFFLE_CLEANUP, "true")
     try:
-        df.write.parquet(path)
+        df.write.parquet(path, compression=compression)
     finally:
         spark.conf.unset(_SHUFFLE_CLEANUP) if before is None else spark.conf.set(_SHUFFLE_CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder and read back.
+
+    What comes after is computed from the files, so a lost executor costs no
+    recompute of what lies before, and two readers share one computation.
+    """
+    path = write_table(df, shared_path(df.sparkSession, name))
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
