@@ -234,8 +234,12 @@ def _missing_pairs(buckets: DataFrame, classes: DataFrame, bags: DataFrame) -> D
         .agg(F.sort_array(F.collect_list(F.struct("n_docs", "element"))).alias("held"))
         .where(F.size("held") >= least)
         # elements that no other class holds come first in the order and need no rows
-        .select("id", "class", "n", (F.col("n") - F.size("held")).alias("alone"), F.posexplode(F.slice("held", F.lit(1), (F.size("held") - least + 1).cast("int"))))
-        .select("id", "class", "n", (F.col("alone") + F.col("pos")).alias("before"), "col.element")
+        .select(
+            "id", "class", "n", (F.col("n") - F.size("held")).alias("alone"),
+            F.slice(F.transform("held", lambda e: e["element"]), F.lit(1), F.greatest(F.size("held") - least + 1, F.lit(0)).cast("int")).alias("head"),
+        )
+        .select("id", "class", "n", "alone", "head", F.posexplode("head"))
+        .select("id", "class", "n", (F.col("alone") + F.col("pos")).alias("before"), F.slice("head", F.lit(1), F.col("pos")).alias("earlier"), F.col("col").alias("element"))
     )
     first = staged(first, "first")
     a, b = first.alias("a"), first.alias("b")
@@ -243,10 +247,11 @@ def _missing_pairs(buckets: DataFrame, classes: DataFrame, bags: DataFrame) -> D
     both = F.ceil((F.col("a.n") + F.col("b.n")) * F.lit(SIMILARITY / (1 + SIMILARITY)) - 1e-9)
     near = (F.col("a.n") - F.col("a.before") >= both) & (F.col("b.n") - F.col("b.before") >= both)
     similar = F.least("a.n", "b.n") >= F.lit(SIMILARITY) * F.greatest("a.n", "b.n")
+    # a pair meets once, at the first element that both hold
+    once = ~F.arrays_overlap("a.earlier", "b.earlier")
     return (
-        a.join(b, (F.col("a.element") == F.col("b.element")) & F.expr("a.class < b.class") & similar & near)
+        a.join(b, (F.col("a.element") == F.col("b.element")) & F.expr("a.class < b.class") & similar & near & once)
         .select(F.least("a.id", "b.id").alias("a"), F.greatest("a.id", "b.id").alias("b"))
-        .distinct()
     )
 
 
