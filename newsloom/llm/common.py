@@ -46,7 +46,17 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     recompute of what lies before, and two readers share one computation.
     """
     path = write_table(df, shared_path(df.sparkSession, name))
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table.staged_path = path
+    return table
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete staged tables that nothing will read again."""
+    for t in tables:
+        jvm = t.sparkSession._jvm
+        path = jvm.org.apache.hadoop.fs.Path(t.staged_path)
+        path.getFileSystem(t.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

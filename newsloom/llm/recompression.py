@@ -29,7 +29,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.llm.common import WORD_GAP, mix64, staged
+from newsloom.functions.texts import bind
+from newsloom.llm.common import WORD_GAP, mix64, release, staged
 
 WINDOW = 20
 LEVELS = 2
@@ -140,11 +141,12 @@ def _anchor_rows(docs: DataFrame, window: int) -> DataFrame:
             for start, parts in _grouped(batch, 1):
                 doc, name, first, length = anchors(parts, window)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(name.view(np.int64)), pa.array(ids[start + doc]), pa.array(first.astype(np.int32)), pa.array(length.astype(np.int32))],
-                    names=["symbol", "id", "first", "length"],
+                    [pa.array(name.view(np.int64)), pa.array(ids[start + doc]), pa.array(first * window + length - 1)],
+                    names=["symbol", "id", "span"],
                 )
 
-    return docs.mapInArrow(run, "symbol bigint, id bigint, first int, length int")
+    # a span is one number, first * window + length - 1: at most a window's words share an occurrence
+    return docs.mapInArrow(run, "symbol bigint, id bigint, span bigint")
 
 
 def _window_rows(held: DataFrame, window: int) -> DataFrame:
@@ -159,8 +161,8 @@ def _window_rows(held: DataFrame, window: int) -> DataFrame:
             ids, codes, spans = batch.columns
             for i in range(batch.num_rows):
                 words = mix64(codes[i].values.to_numpy().view(np.uint64) + _STEP)
-                span = spans[i].values
-                first, length = (span.field(k).to_numpy() for k in ("first", "length"))
+                first, length = np.divmod(spans[i].values.to_numpy(), window)
+                length = length + 1
                 at = np.sort(np.repeat(first - np.cumsum(length) + length, length) + np.arange(int(length.sum())))
                 keys = [stretch_keys(words, at, at + window, b) for b in _BASES]
                 order = np.lexsort((at, *keys))
@@ -182,17 +184,25 @@ def without_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Documents that keep all their words have no row.
     """
     docs = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).where(F.col("id").isNotNull() & F.col("text").isNotNull())
-    coded = docs.select("id", F.transform(words(F.col("text")), lambda w: F.xxhash64(w)).alias("codes")).where(F.size("codes") >= window)
+    sized = docs.select("id", bind(words(F.col("text")), lambda w: F.struct(F.size(w).alias("n_words"), F.unhex(F.md5(F.array_join(w, " "))).alias("copy"))).alias("w"))
+    sized = staged(sized.select("id", "w.*").where(F.col("n_words") >= window), "sized")
+    heads = sized.groupBy("copy").agg(F.min("id").alias("head"), F.max("id").alias("last")).where("head <> last")
+    # all words of a later copy go, and what it repeats its first copy repeats as well
+    copies = staged(sized.join(heads, "copy").where("id <> head").select("id", "n_words"), "copies")
+    rest = docs.join(copies.select("id"), "id", "left_anti")
+    coded = rest.select("id", F.transform(words(F.col("text")), lambda w: F.xxhash64(w)).alias("codes")).where(F.size("codes") >= window)
     rows = staged(_anchor_rows(coded, window), "anchors")
     shared = rows.groupBy("symbol").agg(F.count("*").alias("n")).where("n > 1").select("symbol")
-    spans = rows.join(shared, "symbol", "left_semi").groupBy("id").agg(F.collect_list(F.struct("first", "length")).alias("spans"))
+    spans = staged(rows.join(shared, "symbol", "left_semi").groupBy("id").agg(F.collect_list("span").alias("spans")), "spans")
+    release(rows, sized)
     # only documents with shared symbols go on
-    held = staged(docs.join(staged(spans, "spans"), "id"), "held").withColumn("words", words(F.col("text")))
+    held = staged(docs.join(spans, "id"), "held").withColumn("words", words(F.col("text")))
     windows = staged(_window_rows(held.select("id", F.transform("words", lambda w: F.xxhash64(w)).alias("codes"), "spans"), window), "windows")
     fresh = windows.where("NOT again")
     first = fresh.groupBy("key", "key2").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low <> high").drop("high")
     later = fresh.join(first, ["key", "key2"]).where("id <> low").select("id", "place").union(windows.where("again").select("id", "place"))
-    places = later.groupBy("id").agg(F.collect_set("place").alias("places"))
+    places = staged(later.groupBy("id").agg(F.collect_set("place").alias("places")), "places")
+    release(windows, spans)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -213,4 +223,5 @@ def without_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
             )
 
     changed = held.select("id", "words").join(places, "id").mapInArrow(run, "id bigint, n_words bigint, n_removed bigint, kept_text string")
-    return changed.withColumnRenamed("id", id_col)
+    gone = copies.select("id", F.col("n_words").cast("bigint").alias("n_words"), F.col("n_words").cast("bigint").alias("n_removed"), F.lit("").alias("kept_text"))
+    return changed.union(gone).withColumnRenamed("id", id_col)
