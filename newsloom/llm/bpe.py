@@ -35,6 +35,10 @@ from pyspark.sql import types as T
 from newsloom.llm.common import text_slices
 
 WORD_END = "</w>"
+#: Bytes of a word that is merged whole; longer ones go through the stream.
+SHORT = 48
+#: Characters whose new words are merged together; bounds a task's memory.
+AT_ONCE = 1 << 21
 #: Separators that ``str.split`` knows besides Unicode white space.
 _CONTROL_GAPS = re.compile("[\x1c-\x1f]")
 _WHITE = regex.compile(r"\p{White_Space}+")
@@ -52,7 +56,7 @@ def byte_letters() -> list[str]:
 class WordBpe:
     """A word-end BPE model read from the JSON text of a tokenizer file."""
 
-    def __init__(self, spec: str, cache_words: int = 300_000):
+    def __init__(self, spec: str, cache_words: int = 400_000):
         self.spec, self.cache_words = spec, cache_words
         data = json.loads(spec)
         model = data["model"]
@@ -71,8 +75,12 @@ class WordBpe:
         self.made: list[int] = []
         self.lookahead = self._read_merges(model["merges"], vocab)
         self.window = max(4 * self.lookahead, 1024)
-        self.fresh: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        pairs = np.array([a << 32 | b for a, b in self.merges], np.int64)
+        order = np.argsort(pairs)
+        self.pairs, self.ranks = np.r_[pairs[order], 2**63 - 1], np.r_[np.array(list(self.merges.values()), np.int64)[order], 0]
+        self.made_ids = np.array(self.made, np.int64)
+        self.inner_ids, self.final_ids = np.array(self.inner, np.int64), np.array(self.final, np.int64)
+        self.known: dict[str, bytes] = {}
 
     def __reduce__(self):
         return WordBpe, (self.spec, self.cache_words)
@@ -141,6 +149,55 @@ class WordBpe:
                         heapq.heappush(heap, (merges[p], k, p))
         return [u for u in units if u is not None]
 
+    def _rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Ranks of pairs; the number of merges where there is none."""
+        pair = left << 32 | right
+        at = np.searchsorted(self.pairs, pair)
+        return np.where(self.pairs[at] == pair, self.ranks[at], len(self.made))
+
+    def merged_words(self, words: list[bytes]) -> list[bytes]:
+        """Ids (as 32-bit integers) of whole words of at most SHORT bytes, merged side by side."""
+        out: list[bytes] = [b""] * len(words)
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        for low, high in ((0, 8), (8, 16), (16, SHORT)):
+            mine = np.flatnonzero((sizes > low) & (sizes <= high))
+            if not len(mine):
+                continue
+            n, size = len(mine), sizes[mine]
+            data = np.frombuffer(b"".join(words[i].ljust(high, b"\0") for i in mine), np.uint8).reshape(n, high)
+            units = self.inner_ids[data]
+            units[np.arange(n), size - 1] = self.final_ids[data[np.arange(n), size - 1]]
+            units[np.arange(high) >= size[:, None]] = -1
+            rank = self._rank(units[:, :-1], units[:, 1:])
+            rank[units[:, 1:] < 0] = len(self.made)
+            left = np.arange(n)
+            place = np.arange(high)
+            done = np.empty((n, high), np.int32)
+            while len(left):
+                at = rank.argmin(1)
+                best = rank[np.arange(len(at)), at]
+                going = best < len(self.made)
+                done[left[~going]] = units[~going]
+                left, units, rank, at, best = left[going], units[going], rank[going], at[going], best[going]
+                rows = np.arange(len(at))
+                # units right of the pair move one place to the left, and so do their ranks
+                moved = np.minimum(place + (place > at[:, None]), high - 1)
+                units = np.take_along_axis(units, moved, 1)
+                units[:, -1] = -1
+                units[rows, at] = self.made_ids[best]
+                moved = np.minimum(place[:-1] + (place[:-1] >= at[:, None]), high - 2)
+                rank = np.take_along_axis(rank, moved, 1)
+                rank[:, -1] = len(self.made)
+                for side in (-1, 0):
+                    first = at + side
+                    ok = np.flatnonzero((first >= 0) & (first < high - 1))
+                    a, b = units[ok, first[ok]], units[ok, first[ok] + 1]
+                    rank[ok, first[ok]] = np.where(b < 0, len(self.made), self._rank(a, np.maximum(b, 0)))
+            count = (done >= 0).sum(1)
+            for i, row, c in zip(mine.tolist(), done, count.tolist()):
+                out[i] = row[:c].tobytes()
+        return out
+
     def stream(self, parts: Iterable[bytes]) -> Iterator[int]:
         """Tokens of one word, given in parts of any size, through a bounded buffer."""
         buffer, length = bytearray(), {}
@@ -163,43 +220,70 @@ class WordBpe:
         if buffer:
             yield from self.merged([*(self.inner[b] for b in buffer[:-1]), self.final[buffer[-1]]])
 
-    def _chunk(self, chunk: str) -> bytes:
-        """Ids of a run without white space, as 32-bit integers."""
-        out: list[int] = []
+    def _pieces(self, chunk: str) -> list[bytes | int]:
+        """Words of a run without white space, and ids of special tokens in it."""
+        if chunk.isascii():
+            low = chunk.lower()
+            if low.isalpha():
+                return [low.encode()]
+            if low[-1] in ".,;:!?" and low[:-1].isalpha():
+                return [low[:-1].encode(), low[-1].encode()]
+        out: list[bytes | int] = []
         for part in self.cut.split(chunk) if self.cut and "<" in chunk else (chunk,):
             if part in self.special:
                 out.append(self.special[part])
                 continue
             part = unicodedata.normalize("NFC", part)
             # letter by letter: lower-casing a whole text would treat a final sigma apart
-            low = part.lower() if part.isascii() else "".join(map(str.lower, part))
-            for m in self.pieces.finditer(low):
-                word = m[0].encode()
-                if len(word) <= 48:
-                    out += self.merged([*map(self.inner.__getitem__, word[:-1]), self.final[word[-1]]])
-                else:
-                    out += self.stream((word,))
-        return array("i", out).tobytes()
+            low = part.lower() if part.isascii() or "Σ" not in part else "".join(map(str.lower, part))
+            if low.isalpha():
+                out.append(low.encode())
+            else:
+                out += [m[0].encode() for m in self.pieces.finditer(low)]
+        return out
+
+    def _learn(self, chunks: list[str]) -> dict[str, bytes]:
+        """Ids of runs without white space, as 32-bit integers."""
+        pieces = [self._pieces(c) for c in chunks]
+        short = list({p for x in pieces for p in x if isinstance(p, bytes) and len(p) <= SHORT})
+        known = dict(zip(short, self.merged_words(short)))
+        out = {}
+        for chunk, parts in zip(chunks, pieces):
+            ids = []
+            for p in parts:
+                found = known.get(p)
+                if found is None:
+                    found = array("i", [p] if isinstance(p, int) else self.stream((p,))).tobytes()
+                ids.append(found)
+            out[chunk] = b"".join(ids)
+        return out
+
+    def encode_texts(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of whole texts; what is new among their words is merged together."""
+        out: list[list[bytes]] = [[] for _ in texts]
+        work = [(i, part) for i, t in enumerate(texts) for part in text_slices(t)]
+        start = 0
+        while start < len(work):
+            stop, size = start, 0
+            while stop < len(work) and (stop == start or size + len(work[stop][1]) <= AT_ONCE):
+                size += len(work[stop][1])
+                stop += 1
+            group = [(i, _WHITE.split(p) if _CONTROL_GAPS.search(p) else p.split()) for i, p in work[start:stop]]
+            used = set().union(*(chunks for _, chunks in group)) - {""}
+            table = {c: ids for c in used if (ids := self.known.get(c)) is not None}
+            table |= self._learn(list(used - table.keys()))
+            table[""] = b""
+            if len(self.known) > self.cache_words:
+                self.known = {}
+            self.known |= {c: ids for c, ids in table.items() if len(c) <= SHORT}
+            for i, chunks in group:
+                out[i].append(b"".join(map(table.__getitem__, chunks)))
+            start = stop
+        return [np.frombuffer(b"".join(x), np.int32) for x in out]
 
     def encode(self, text: str) -> np.ndarray:
         """Ids of a whole text."""
-        found: list[bytes] = []
-        fresh = self.fresh
-        for part in text_slices(text):
-            for chunk in _WHITE.split(part) if _CONTROL_GAPS.search(part) else part.split():
-                ids = fresh.get(chunk)
-                if ids is None:
-                    ids = self.older.get(chunk)
-                    if ids is None:
-                        ids = self._chunk(chunk)
-                    if len(chunk) <= 64:
-                        if len(fresh) >= self.cache_words:
-                            # words used since the last turn stay within reach, the rest go
-                            self.older, self.fresh = fresh, {}
-                            fresh = self.fresh
-                        fresh[chunk] = ids
-                found.append(ids)
-        return np.frombuffer(b"".join(found), np.int32)
+        return self.encode_texts([text])[0]
 
     def token_table(self) -> np.ndarray:
         """Token texts by id."""
@@ -276,7 +360,7 @@ class _Encode:
         self.model = model
 
     def __call__(self, column: pa.Array) -> pa.Array:
-        return _lists([self.model.encode(t or "") for t in column.to_pylist()])
+        return _lists(self.model.encode_texts([t or "" for t in column.to_pylist()]))
 
 
 class _Decode:

@@ -112,21 +112,22 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def candidates(text: str, taken: list[tuple[int, int, int]]) -> Iterator[tuple[int, int]]:
-    """Words with digits outside the base spans."""
+    """Words with digits that no base span cuts or covers; a word may hold base spans."""
     if not _DIGIT.search(text):
         return
-    spans = sorted((s, e) for s, e, _ in taken)
+    spans = sorted({(s, e) for s, e, _ in taken})
     ends = np.maximum.accumulate([e for _, e in spans]) if spans else []
-    starts = [s for s, _ in spans]
+    starts, same = [s for s, _ in spans], set(spans)
     for m in _WORD.finditer(text):
         start, end = m.start(), m.end()
         while end > start and text[end - 1] in "_/+-":
             end -= 1
         if end - start < MIN_CANDIDATE:
             continue
-        at = int(np.searchsorted(starts, end)) if spans else 0
-        if at and ends[at - 1] > start:
-            continue
+        if spans:
+            left, inner = np.searchsorted(starts, (start, end))
+            if (start, end) in same or left and ends[left - 1] > start or inner and ends[inner - 1] > end:
+                continue
         yield start, end
 
 

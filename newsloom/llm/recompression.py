@@ -163,7 +163,7 @@ def _window_rows(held: DataFrame, window: int) -> DataFrame:
                 words = mix64(codes[i].values.to_numpy().view(np.uint64) + _STEP)
                 first, length = np.divmod(spans[i].values.to_numpy(), window)
                 length = length + 1
-                at = np.sort(np.repeat(first - np.cumsum(length) + length, length) + np.arange(int(length.sum())))
+                at = np.unique(np.repeat(first - np.cumsum(length) + length, length) + np.arange(int(length.sum())))
                 keys = [stretch_keys(words, at, at + window, b) for b in _BASES]
                 order = np.lexsort((at, *keys))
                 again = np.zeros(len(at), bool)

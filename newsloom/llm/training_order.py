@@ -70,10 +70,11 @@ def pack(docs: DataFrame, model: WordBpe, end_id: int, length: int = LENGTH, id_
         schema = pa.schema([("first_id", pa.int64()), ("n_ids", pa.int32()), ("ids", pa.binary())])
         for batch in batches:
             rows = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            texts = model.encode_texts([t or "" for t in batch.column(1).to_pylist()])
+            for doc, ids in zip(batch.column(0).to_pylist(), texts):
                 if not len(held):
                     owner = doc
-                held = np.concatenate([held, model.encode(text or "").astype(kind), end])
+                held = np.concatenate([held, ids.astype(kind), end])
                 if len(held) >= length:
                     whole = len(held) // length
                     for k in range(whole):
