@@ -21,7 +21,7 @@ register("persona_cohort", lambda t: shape(personas.persona_cohort(t.v_users)),
 SELECT label, topic, profession, geo, country_code FROM (SELECT label, min(user_id * 100 + pos) AS fst, arg_min(topic, user_id * 100 + pos) AS topic, any_value(profession) AS profession, any_value(geo) AS geo, any_value(cc) AS country_code FROM (
   SELECT u.user_id, pos, topic, lower(interests->>'profession') AS profession, lower(location) AS geo, upper(country_code) AS cc,
     topic || '|' || lower(interests->>'profession') || '|' || lower(location) || '|' || lower(country_code) AS label
-  FROM v_users u JOIN ut USING (user_id) WHERE is_active) GROUP BY 1 ORDER BY fst LIMIT 500)""", UT)
+  FROM v_users u JOIN ut USING (user_id) WHERE is_active) GROUP BY 1)""", UT)
 
 
 def _targeted_articles(t):
@@ -110,7 +110,7 @@ def _cache_plan(t):
 register("enrichment_cache_plan", _cache_plan, "v_ai_news v_users v_interactions v_saved", f"""
 SELECT r.ai_news_id, r.user_id, a.bk AS base_key, r.pk AS profile_key, CASE WHEN s.user_id IS NOT NULL THEN 'user_hit' WHEN b.ai_news_id IS NOT NULL THEN 'base_hit' ELSE 'miss' END AS plan,
   coalesce(b.summary, trim(substr(a.final_text, 1, 200)) || '...') AS summary, coalesce(b.category, 'other') AS category
-FROM req r JOIN (SELECT *, md5(CAST(ai_news_id AS VARCHAR) || '|' || final_title || '|' || substr(final_text, 1, 500)) AS bk FROM v_ai_news) a USING (ai_news_id)
+FROM req r JOIN (SELECT *, md5(CAST(ai_news_id AS VARCHAR) || '|' || final_title || '|' || final_text) AS bk FROM v_ai_news) a USING (ai_news_id)
 LEFT JOIN (SELECT ai_news_id, lower(final_title) AS summary, category FROM v_ai_news WHERE ai_news_id % 2 = 0 AND created_at > {NOW} - INTERVAL 48 HOUR) b ON b.ai_news_id = r.ai_news_id
 LEFT JOIN (SELECT DISTINCT v.user_id, v.ai_news_id FROM v_saved v JOIN v_users u USING (user_id) JOIN v_ai_news n USING (ai_news_id) WHERE n.ai_news_id % 2 = 1 AND n.created_at > {NOW} - INTERVAL 12 HOUR) s
   ON s.user_id = r.user_id AND s.ai_news_id = r.ai_news_id""",

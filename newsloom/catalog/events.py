@@ -120,13 +120,13 @@ register("saved_state", lambda t: shape(profiles.saved_state(t.v_saved)), "v_sav
          f"SELECT user_id, ai_news_id, {ts('saved_at')} AS saved_at, seq FROM saved_now", SAVED)
 
 register("comment_tree", lambda t: shape(profiles.comment_tree(t.v_comments)), "v_comments", f"""
-SELECT l.comment_id, l.ai_news_id, l.user_id, l.parent_id, {ts('l.created_at')} AS created_at, CAST(w.depth AS BIGINT) AS depth, w.path, w.root_id,
+SELECT l.comment_id, l.ai_news_id, l.user_id, l.parent_id, l.content, {ts('l.created_at')} AS created_at, CAST(w.depth AS BIGINT) AS depth, w.path, w.root_id,
   coalesce(n.n, 0) AS reply_count,
   row_number() OVER (PARTITION BY l.ai_news_id, l.parent_id ORDER BY l.created_at, l.comment_id) AS sibling_pos
 FROM linked l JOIN walk w USING (comment_id)
 LEFT JOIN (SELECT parent_id AS p, count(*) AS n FROM linked WHERE parent_id IS NOT NULL GROUP BY 1) n ON n.p = l.comment_id""",
          """linked AS (
-  SELECT c.comment_id, c.ai_news_id, c.user_id, c.created_at, p.comment_id AS parent_id
+  SELECT c.comment_id, c.ai_news_id, c.user_id, c.content, c.created_at, p.comment_id AS parent_id
   FROM v_comments c LEFT JOIN v_comments p ON p.comment_id = c.parent_comment_id AND p.ai_news_id = c.ai_news_id),
 walk AS (/* RECURSIVE */
   SELECT comment_id, 0 AS depth, CAST(comment_id AS VARCHAR) AS path, comment_id AS root_id FROM linked WHERE parent_id IS NULL
@@ -267,7 +267,7 @@ register("dedupe_url_else_hash",
          lambda t: shape(dedup.dedupe_url_else_hash(_mixed_articles(t), "seq", "source_url", "title", "content").select("seq", "source_url", "title")),
          "v_raw_news", f"""
 SELECT seq, source_url, title FROM (SELECT *, row_number() OVER (PARTITION BY coalesce('u:' || {D.normalize_source_url('source_url')},
-    'h:' || md5(lower(trim(coalesce(title, '')) || substr(coalesce(content, ''), 1, 500)))) ORDER BY seq) AS rn FROM (
+    'h:' || md5(lower(trim(coalesce(title, '')) || coalesce(content, '')))) ORDER BY seq) AS rn FROM (
   SELECT raw_news_id AS seq, source_url, title, html AS content FROM v_raw_news UNION ALL
   SELECT doc_id + 1000000000, NULL, substr(text, 1, 60), text FROM documents)) WHERE rn = 1""")
 
@@ -275,7 +275,7 @@ register("content_hashes",
          lambda t: shape(dedup.content_hashes(t.v_ai_news, "final_title", "final_text", "source_url").select("ai_news_id", "content_hash", "near_hash")),
          "v_ai_news", """
 SELECT ai_news_id, sha256(trim(final_title) || '|' || trim(final_text) || '|' || trim(source_url)) AS content_hash,
-  md5(lower(trim(final_title) || substr(final_text, 1, 500))) AS near_hash FROM v_ai_news""")
+  md5(lower(trim(final_title) || final_text)) AS near_hash FROM v_ai_news""")
 
 
 def _batches(t):
@@ -286,7 +286,7 @@ def _batches(t):
 
 BATCHED = """batched AS (
   SELECT doc_id, source, substr(text, 1, 60) AS title, CASE WHEN source IN ('src0','src1','src2','src3','src4','src5','src6','src7') THEN 0 ELSE 1 END AS batch,
-    md5(lower(trim(substr(text, 1, 60)) || substr(text, 1, 500))) AS near_hash FROM documents)"""
+    md5(lower(trim(substr(text, 1, 60)) || text)) AS near_hash FROM documents)"""
 register("dedupe_content_hash",
          lambda t: shape(dedup.dedupe_content_hash(_batches(t), "doc_id", "title", "text")[0].select("doc_id", "source", "batch", "near_hash")),
          "", "SELECT doc_id, source, CAST(batch AS BIGINT) AS batch, near_hash FROM (SELECT *, row_number() OVER (PARTITION BY near_hash ORDER BY batch, doc_id) AS rn FROM batched) WHERE rn = 1", BATCHED)

@@ -164,7 +164,8 @@ register("rank_score", lambda t: shape(feed.rank_score(_rows(t), t.as_of).select
          "SELECT user_id, ai_news_id, rank_score FROM scored", RANKED)
 register("rank_items", lambda t: shape(_ranked(t).select("user_id", "rank_pos", "ai_news_id", "rank_score", "preferred", "topic_known")), VIEWS,
          "SELECT user_id, rank_pos, ai_news_id, rank_score, preferred, topic_known FROM ranked", RANKED)
-register("exploration_noise", lambda t: shape(feed.exploration_noise(_ranked(t)).select("user_id", "ai_news_id", "rank_score", "explored_score")))
+register("exploration_noise", lambda t: shape(feed.exploration_noise(_ranked(t)).select("user_id", "ai_news_id", "rank_score", "explored_score"), explored_score=6), VIEWS, """
+SELECT user_id, ai_news_id, rank_score, round(rank_score + ('0x' || substr(sha256('0|' || user_id || '|' || ai_news_id), 1, 8))::BIGINT / 4294967296.0 * 0.15, 6) AS explored_score FROM ranked""", RANKED)
 
 # --- filters ----------------------------------------------------------------------------------
 register("dedupe_feed", lambda t: shape(dedup.dedupe_feed(_ranked(t)).select("user_id", "rank_pos", "ai_news_id")), VIEWS, """
@@ -178,6 +179,13 @@ SELECT user_id, rank_pos, ai_news_id, category FROM (SELECT *, row_number() OVER
   SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id, trim(regexp_replace(lower(final_title), '\\s+', ' ', 'g')) ORDER BY rank_pos) AS dn FROM ranked
     WHERE len(trim(final_title)) >= 5 AND text_len >= 30) WHERE dn = 1 AND NOT seen)) WHERE rn <= 3 AND rank_score >= 5.0""", RANKED)
 
+def _once(ctes: str, *names: str) -> str:
+    """The named expressions are computed once, however often the others read them."""
+    for name in names:
+        ctes = ctes.replace(f"{name} AS (", f"{name} AS MATERIALIZED (")
+    return ctes
+
+
 # --- assembly ------------------------------------------------------------------------------------
 register("preference_slots",
          lambda t: shape(feed.preference_slots(_ranked(t), LIMIT).where("slot_pos IS NOT NULL").select("user_id", "slot_pos", "slot_step", "ai_news_id")), VIEWS,
@@ -188,7 +196,7 @@ register("region_quota",
 register("diversity_swaps",
          lambda t: shape(feed.diversity_swaps(feed.region_quota(feed.preference_slots(_ranked(t), LIMIT), LIMIT), LIMIT).where("feed_pos IS NOT NULL").select(
              "user_id", "feed_pos", "ai_news_id", "category")), VIEWS,
-         "SELECT user_id, feed_pos, ai_news_id, category FROM swapped WHERE feed_pos IS NOT NULL", f"{RANKED}, {SLOTS}, {QUOTA}, {SWAPS}")
+         "SELECT user_id, feed_pos, ai_news_id, category FROM swapped WHERE feed_pos IS NOT NULL", _once(f"{RANKED}, {SLOTS}, {QUOTA}, {SWAPS}", "ranked", "slots", "quota", "w1"))
 register("sanitize_feed", lambda t: shape(plan.assemble(_ranked(t), LIMIT, swaps=False).select("user_id", "position", "ai_news_id")), VIEWS,
          "SELECT user_id, position, ai_news_id FROM clean", f"{RANKED}, {SLOTS}, {QUOTA}, {_clean('quota', 'clean')}")
 register("feed_defaults",

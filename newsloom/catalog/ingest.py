@@ -38,9 +38,9 @@ def _list_forms(t):
 register("coerce_json_list", lambda t: shape(_list_forms(t)), "v_ai_news",
          "SELECT ai_news_id, CASE WHEN ai_news_id % 5 < 3 THEN replace(regexp_replace(image_urls, '[\\[\"\\]]', '', 'g'), ',', '¦') ELSE '' END AS urls FROM v_ai_news")
 register("vector_from_json",
-         lambda t: shape(t.embeddings.select("vec_id", F.size(tables.vector_from_json(F.to_json("embedding"))).alias("n"),
-                                             F.element_at(tables.vector_from_json(F.to_json("embedding")), 1).cast("float").alias("first"))),
-         "", "SELECT vec_id, len(embedding) AS n, CAST(embedding[1] AS DOUBLE) AS first FROM embeddings")
+         lambda t: shape(t.embeddings.select("vec_id", F.posexplode(tables.vector_from_json(F.to_json("embedding"))).alias("pos", "value"))
+                         .withColumn("value", F.col("value").cast("float"))),
+         "", "SELECT vec_id, generate_subscripts(embedding, 1) - 1 AS pos, CAST(unnest(embedding) AS DOUBLE) AS value FROM embeddings")
 
 
 def _as_feed(batches):
@@ -59,12 +59,12 @@ def _rss(t):
     title = F.when(F.col("doc_id") % 10 == 9, "").otherwise(esc(F.substring("text", 1, 60)))
     item = F.concat(
         F.lit("<item><title>"), title, F.lit("</title><link>https://"), host, F.lit("/n/"), F.col("doc_id").cast("string"),
-        F.lit("</link><description>"), esc(F.col("source")), F.lit("</description><pubDate>Mon, "), day,
+        F.lit("</link><description>"), esc(F.col("text")), F.lit("</description><pubDate>Mon, "), day,
         F.lit(' Jan 2024 10:00:00 GMT</pubDate><media:content url="https://cdn.example.com/'), F.col("doc_id").cast("string"), F.lit('.jpg"/></item>'),
     )
     entry = F.concat(
         F.lit("<entry><title>"), title, F.lit('</title><link href="https://'), host, F.lit("/n/"), F.col("doc_id").cast("string"),
-        F.lit('"/><summary>'), esc(F.col("source")), F.lit("</summary><updated>2024-01-"), day, F.lit("T10:00:00Z</updated></entry>"),
+        F.lit('"/><summary>'), esc(F.col("text")), F.lit("</summary><updated>2024-01-"), day, F.lit("T10:00:00Z</updated></entry>"),
     )
     path = f"{checkpoint_dir(spark)}/newsloom-feeds-{uuid.uuid4().hex}"
     lines = t.documents.select(F.when(F.col("doc_id") % 2 == 0, item).otherwise(entry).alias("value"))
@@ -73,7 +73,7 @@ def _rss(t):
 
 
 register("rss_items", lambda t: shape(_rss(t)), "", f"""
-SELECT t AS title, 'https://' || h || '/n/' || doc_id AS url, source AS description, CASE WHEN doc_id % 2 = 0 THEN 'https://cdn.example.com/' || doc_id || '.jpg' END AS image_url,
+SELECT t AS title, 'https://' || h || '/n/' || doc_id AS url, {D.strip('text')} AS description, CASE WHEN doc_id % 2 = 0 THEN 'https://cdn.example.com/' || doc_id || '.jpg' END AS image_url,
   {ts("make_timestamp(2024, 1, doc_id % 28 + 1, 10, 0, 0)")} AS published_at, CAST(CASE h WHEN 'kun.uz' THEN 106 WHEN 'daryo.uz' THEN 102 ELSE 0 END AS BIGINT) AS source_priority
 FROM (SELECT *, {D.strip('substr(text, 1, 60)')} AS t, ['kun.uz', 'daryo.uz', 'site.example.org'][doc_id % 3 + 1] AS h FROM documents WHERE doc_id % 10 <> 9) WHERE t <> ''""")
 
@@ -148,9 +148,9 @@ register("canonical_items",
          lambda t: shape(ingest.canonical_items(
              t.documents.select("doc_id", F.concat(F.lit("https://"), "source", F.lit(".example.org")).alias("source"), F.substring("text", 1, 60).alias("title"),
                                 F.when(F.col("doc_id") % 3 > 0, F.concat(F.lit("https://a/"), F.col("doc_id").cast("string"))).alias("url"), F.col("text").alias("content"), F.col("lang").alias("section")),
-             ["src1.example.org", "src2.example.org"], [F.col("doc_id")], 500)),
+             ["src1.example.org", "src2.example.org"])),
          "", """SELECT title, 'https://a/' || doc_id AS source_url, CAST(NULL AS VARCHAR) AS image_url, content AS raw_text, lang AS category, CAST(NULL AS VARCHAR) AS region FROM (
-  SELECT doc_id, nullif(substr(text, 1, 60), '') AS title, text AS content, lang FROM documents WHERE source IN ('src1', 'src2') ORDER BY doc_id LIMIT 500) WHERE doc_id % 3 > 0""")
+  SELECT doc_id, nullif(substr(text, 1, 60), '') AS title, text AS content, lang FROM documents WHERE source IN ('src1', 'src2')) WHERE doc_id % 3 > 0""")
 
 
 def _date_texts(t):

@@ -94,7 +94,7 @@ SELECT page_id, CAST(pos - 1 AS BIGINT) AS pos, link FROM (SELECT page_id, link,
       ELSE {D.url_part('url', 1)} || '://' || {D.url_part('url', 2)} || regexp_replace({D.url_part('url', 3)}, '[^/]*$', '') || h END AS link, url
     FROM (SELECT page_id, url, {D.strip('unnest(hs)')} AS h, generate_subscripts(hs, 1) AS i FROM (SELECT page_id, url, regexp_extract_all(html, {D.q(H.HREF)}, 1) AS hs FROM pages))
     WHERE h <> '' AND NOT regexp_matches(h, {D.q(pages.NON_ARTICLE_HREF)}))
-  WHERE {host('link')} = {host('url')} GROUP BY 1, 2)) WHERE pos <= 500""")
+  WHERE {host('link')} = {host('url')} GROUP BY 1, 2))""")
 
 
 def _slugged(t):
@@ -153,8 +153,8 @@ register("boilerplate_filter",
          "", """SELECT doc_id, CASE WHEN len(a) >= 200 THEN a WHEN len(b) >= 200 THEN b WHEN len(c) >= 200 THEN c ELSE '' END AS body,
   (SELECT len(trim(text)) >= 50 AND NOT contains(lower(text), 'cookie') AND NOT contains(text, '©') FROM documents x WHERE x.doc_id = bc.doc_id) AS good FROM bc""", BOILER)
 
-register("publish_date", lambda t: shape(_tagged(t).select("page_id", pages.publish_date(F.col("html"), t.as_of).alias("published_at")).where("page_id % 8 < 7 OR published_at IS NOT NULL")),
-         "", f"SELECT page_id, {ts('published_at')} AS published_at FROM dated WHERE page_id % 8 < 7", f"{TAGGED}, {DATED}")
+register("publish_date", lambda t: shape(_tagged(t).select("page_id", pages.publish_date(F.col("html"), t.as_of).alias("published_at"))),
+         "", f"SELECT page_id, {ts('published_at')} AS published_at FROM dated", f"{TAGGED}, {DATED}")
 register("published_on_day", lambda t: shape(pages.published_on_day(t.v_events, F.lit("2024-01-15 12:00:00").cast("timestamp")).select("event_id", "created_at")), "v_events",
          f"SELECT event_id, {ts('created_at')} AS created_at FROM v_events WHERE CAST(v_events.created_at + INTERVAL 5 HOUR AS DATE) = DATE '2024-01-15'")
 register("hash_sample", lambda t: shape(pages.hash_sample(t.pages.select("page_id", "url"), "url")), "",

@@ -73,7 +73,7 @@ register("stream_activity", _activity, "v_events", " UNION ALL ".join([
 TOPICS = ("politics", "sports", "economy", "tech", "health", "culture", "general")
 register("stream_sessions", lambda t: shape(drain(jobs.stream_sessions(_live(t).v_events, t.v_ai_news, TOPICS), "append")), "v_events v_ai_news", f"""
 SELECT user_id, {ts('min(created_at)')} AS started_at, {ts('max(created_at) + INTERVAL 30 MINUTE')} AS ended_at, count(*) AS n, {', '.join(f"count(*) FILTER (category = '{x}') AS n_{x}" for x in TOPICS)}
-FROM islands GROUP BY user_id, sid HAVING max(created_at) + INTERVAL 30 MINUTE <= (SELECT max(created_at) FROM touched)""",
+FROM islands GROUP BY user_id, sid HAVING max(created_at) + INTERVAL 30 MINUTE <= (SELECT max(created_at) - INTERVAL 1 DAY FROM touched)""",
          """touched AS (SELECT e.*, a.category FROM v_events e JOIN v_ai_news a USING (ai_news_id) WHERE event_type IN ('view', 'long_view', 'like')),
 islands AS (SELECT *, sum(CASE WHEN gap IS NULL OR gap > INTERVAL 30 MINUTE THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY created_at, event_id) AS sid FROM (
   SELECT *, created_at - lag(created_at) OVER (PARTITION BY user_id ORDER BY created_at, event_id) AS gap FROM touched))""")

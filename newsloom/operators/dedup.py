@@ -14,20 +14,17 @@ from pyspark.sql import functions as F
 from newsloom.functions.urls import normalize_source_url
 from newsloom.operators.common import first_row
 
-# Fixed value: characters of the body that enter the near-identity hash.
-HASHED_BODY_CHARS = 500
-
-
 def content_sha256(title: Column, text: Column, url: Column) -> Column:
     """Identity of an article row: title, body and address joined by bars."""
     parts = [F.trim(F.coalesce(c, F.lit(""))) for c in (title, text, url)]
     return F.sha2(F.concat_ws("|", *parts), 256)
 
 
-def content_md5(title: Column, text: Column) -> Column:
-    """Looser identity: case-folded title plus the head of the body (by definition)."""
-    head = F.substring(F.coalesce(text, F.lit("")), 1, HASHED_BODY_CHARS)
-    return F.md5(F.lower(F.concat(F.trim(F.coalesce(title, F.lit(""))), head)))
+def content_md5(title: Column, text: Column, head_chars: int | None = None) -> Column:
+    """Looser identity: case-folded title plus the body, or plus its first ``head_chars`` characters only."""
+    body = F.coalesce(text, F.lit(""))
+    body = body if head_chars is None else F.substring(body, 1, head_chars)
+    return F.md5(F.lower(F.concat(F.trim(F.coalesce(title, F.lit(""))), body)))
 
 
 def image_md5(url: Column) -> Column:

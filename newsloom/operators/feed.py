@@ -561,5 +561,6 @@ def pending_feed(raw: DataFrame, enriched: DataFrame, as_of: Column, limit: int)
 
 def exploration_noise(df: DataFrame, seed: int = 0, spread: float = 0.15, score: str = "rank_score") -> DataFrame:
     """Score plus noise in [0, spread), repeatable per (seed, user, article)."""
-    unit = F.pmod(F.xxhash64(F.lit(seed), F.col("user_id"), F.col("ai_news_id")), F.lit(1 << 30)) / float(1 << 30)
+    digest = F.sha2(F.concat_ws("|", F.lit(seed).cast("string"), F.col("user_id").cast("string"), F.col("ai_news_id").cast("string")), 256)
+    unit = F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") / F.lit(float(1 << 32))
     return df.withColumn("explored_score", F.col(score) + unit * spread)

@@ -33,7 +33,6 @@ COUNTRY_DOMAINS = {
     "US": ("apnews.com", "reuters.com", "cnn.com"),
 }
 COUNTRY_SHARE = 0.6
-MAX_SAVED = 1000
 
 
 def normalize_article(df: DataFrame) -> DataFrame:
@@ -77,7 +76,7 @@ def canonical_items(df: DataFrame, domains: list[str] | None = None, order: list
         host = F.lower(U.part(F.col("source"), U.AUTHORITY))
         kept = kept.where(F.exists(F.array(*[F.lit(d) for d in domains]), lambda d: F.endswith(host, d)))
     if limit:
-        kept = kept.orderBy(*(order or [])).limit(min(limit, MAX_SAVED))
+        kept = kept.orderBy(*(order or [])).limit(limit)
     present = set(df.columns)
 
     def pick(names: tuple[str, ...]) -> Column:

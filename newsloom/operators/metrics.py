@@ -30,11 +30,12 @@ def recommendation_metrics(
     cutoff = _hours_before(as_of, hours)
     keys = ["user_id", "ai_news_id"]
     shown = log.where(F.col("created_at") >= cutoff).select(*keys, F.col("created_at").alias("shown_at"))
-    latest = interactions.groupBy(*keys).agg(
+    # only reactions at or after an impression count, and those lie in the time span as well
+    latest = interactions.where(F.col("created_at") >= cutoff).groupBy(*keys).agg(
         F.max(F.when(F.col("viewed"), F.col("created_at"))).alias("last_view"),
         F.max(F.when(F.col("liked"), F.col("created_at"))).alias("last_like"),
     )
-    latest_save = saved.groupBy(*keys).agg(F.max("created_at").alias("last_save"))
+    latest_save = saved.where(F.col("created_at") >= cutoff).groupBy(*keys).agg(F.max("created_at").alias("last_save"))
     facts = shown.join(latest, keys, "left").join(latest_save, keys, "left")
     positive = (F.col("last_like") >= F.col("shown_at")) | (F.col("last_save") >= F.col("shown_at"))
     counted = facts.agg(

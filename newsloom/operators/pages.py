@@ -16,7 +16,6 @@ from newsloom.functions import urls as U
 
 # Page rules, phrases, thresholds.
 NON_ARTICLE_HREF = r"(?i)(mailto:|tel:|#|/tag/|/category/|/authors?/|/search|/subscribe|/rss|/wp-content/|javascript:)"
-MAX_LINKS = 500
 DATE_PATH = r"/\d{4}/\d{2}/\d{2}/"
 LISTING_PATH = (
     r"(?i)/(list|tag|category|categories|archive|auth|login|register|contacts?|contact|about|reklama|ads|photo|photos|video|"
@@ -63,18 +62,19 @@ DATE_META = ("article:published_time", "date", "datePublished", "pubdate")
 TODAY_WORDS, YESTERDAY_WORDS = ("today", "сегодня", "bugun"), ("yesterday", "вчера", "kecha")
 HOURS_AGO = r"(\d+)\s*(?:hours|hour|час|часа|soat|soat oldin|oldin)"
 MINUTES_AGO = r"(\d+)\s*(?:minutes|min|минут|daqiqa)"
-DATE_TEXT_CHARS = 1000
 LOCAL_ZONE = "Asia/Tashkent"
 SAMPLE_RATE = 0.2
 
 
-def page_links(pages: DataFrame, max_links: int = MAX_LINKS) -> DataFrame:
-    """(page_id, pos, link): distinct same-site links in page order, at most ``max_links``."""
+def page_links(pages: DataFrame, max_links: int | None = None) -> DataFrame:
+    """(page_id, pos, link): distinct same-site links in page order, the first ``max_links`` of each page if given."""
     base = F.col("url")
     hrefs = F.filter(F.transform(H.all_matches(F.col("html"), H.HREF, 1), X.strip), lambda h: (h != "") & ~h.rlike(NON_ARTICLE_HREF))
     full = F.transform(hrefs, lambda h: H.join_url(base, h))
     same = F.filter(full, lambda u: H.bare_host(u).isin("") | (H.bare_host(u) == H.bare_host(base)))
-    links = F.slice(F.array_distinct(F.transform(same, lambda u: F.regexp_replace(u, "#.*$", ""))), 1, max_links)
+    links = F.array_distinct(F.transform(same, lambda u: F.regexp_replace(u, "#.*$", "")))
+    if max_links is not None:
+        links = F.slice(links, 1, max_links)
     return pages.select("page_id", F.posexplode(links).alias("pos", "link"))
 
 
@@ -261,17 +261,20 @@ def _relative(text: Column, as_of: Column, zone: str) -> Column:
     )
 
 
-def publish_date(html: Column, as_of: Column, zone: str = LOCAL_ZONE) -> Column:
-    """Publication instant: JSON-LD, meta tag, time tag, date element, then the head of the text."""
+def publish_date(html: Column, as_of: Column, zone: str = LOCAL_ZONE, head_chars: int | None = None) -> Column:
+    """Publication instant: JSON-LD, meta tag, time tag, date element, then the text.
+
+    ``head_chars`` limits the last resort to the beginning of the text.
+    """
     ld_pattern = r'"(?:datePublished|dateCreated|uploadDate)"\s*:\s*"([^"]+)"'
     ld = F.get(F.filter(F.transform(H.json_ld_blocks(html), lambda b: F.regexp_extract(b, ld_pattern, 1)), lambda d: d != ""), F.lit(0))
     time_tag = F.regexp_extract(html, r"(?is)<time\b[^>]*>.*?</time>", 0)
     time_text = F.coalesce(F.nullif(H.attribute(time_tag, "datetime"), F.lit("")), H.inner_text(time_tag))
     element = H.inner_text(
-        F.regexp_extract(html, r"(?is)<(?:div|span|p)\s[^>]*class\s*=\s*[\"'](?:post-meta|article-meta|datetime|date)[\"'][^>]*>(.*?)</", 1)
+        F.regexp_extract(html, r"(?is)<(?:div|span|p)\s[^>]*class\s*=\s*[\"'](?:[^\"']*\s)?(?:post-meta|article-meta|datetime|date)(?:\s[^\"']*)?[\"'][^>]*>(.*?)</", 1)
     )
-    # the page text counts with its head only, by definition of this last resort
-    head = F.substring(H.visible_text(html), 1, DATE_TEXT_CHARS)
+    head = H.visible_text(html)
+    head = head if head_chars is None else F.substring(head, 1, head_chars)
     sources = [ld, H.meta_content(html, DATE_META), time_text, element, head]
 
     def instant(text: Column) -> Column:

@@ -26,7 +26,6 @@ def user_topics(interests: Column) -> Column:
 
 
 # Limits of cohorts, scores, queue and first feeds.
-MAX_PERSONAS = 500
 TARGET_SCORE, MIN_SCORE = 8.0, 6.0
 MAX_ATTEMPTS, CLAIM_LIMIT, STALE_MINUTES = 3, 50, 10
 RETENTION_DAYS = 4
@@ -45,8 +44,8 @@ def persona_label(topic: Column, job: Column, geo: Column, country: Column) -> C
     return F.array_join(F.filter(F.transform(parts, lambda p: F.lower(F.trim(p))), lambda p: p != ""), "|")
 
 
-def persona_cohort(users: DataFrame, max_personas: int = MAX_PERSONAS) -> DataFrame:
-    """Distinct persona labels of active users in user and topic order, at most ``max_personas``."""
+def persona_cohort(users: DataFrame, max_personas: int | None = None) -> DataFrame:
+    """Distinct persona labels of active users in user and topic order, the first ``max_personas`` of them if given."""
     active = users.where("is_active").select(
         "user_id",
         F.posexplode(_or_general(user_topics(F.col("interests")))).alias("tpos", "topic"),
@@ -59,7 +58,9 @@ def persona_cohort(users: DataFrame, max_personas: int = MAX_PERSONAS) -> DataFr
     first = active.groupBy(label.alias("label")).agg(
         F.min(F.struct("user_id", "tpos")).alias("at"), F.min_by(F.struct(*cols), F.struct("user_id", "tpos")).alias("p")
     )
-    found = first.orderBy("at").limit(max_personas).select("label", *[F.col(f"p.{c}") for c in cols])
+    if max_personas is not None:
+        first = first.orderBy("at").limit(max_personas)
+    found = first.select("label", *[F.col(f"p.{c}") for c in cols])
     general = users.sparkSession.range(1).select(
         F.lit("general").alias("label"), F.lit("general").alias("topic"), *[F.lit("").alias(c) for c in cols[1:]]
     )
@@ -285,10 +286,11 @@ def apply_retention(raw: DataFrame, enriched: DataFrame, as_of: Column, days: in
     return raw_kept, kept, counts
 
 
-def article_cache_key(news_id: Column, title: Column, content: Column) -> Column:
-    """md5 of id, title and the head of the text (by definition of the key)."""
-    head = F.substring(F.coalesce(content, F.lit("")), 1, 500)
-    return F.md5(F.concat_ws("|", news_id.cast("string"), F.coalesce(title, F.lit("")), head))
+def article_cache_key(news_id: Column, title: Column, content: Column, head_chars: int | None = None) -> Column:
+    """md5 of id, title and text, or of its first ``head_chars`` characters only."""
+    body = F.coalesce(content, F.lit(""))
+    body = body if head_chars is None else F.substring(body, 1, head_chars)
+    return F.md5(F.concat_ws("|", news_id.cast("string"), F.coalesce(title, F.lit("")), body))
 
 
 def profile_cache_key(profile_json: Column) -> Column:

@@ -233,15 +233,20 @@ def profile_counters(deltas: DataFrame) -> DataFrame:
 def comment_tree(comments: DataFrame) -> DataFrame:
     """Depth, root, path and sibling order of every comment.
 
-    A parent counts only when it exists under the same article; otherwise the
-    comment is a root.  Ancestors are found by pointer jumping: each round
-    doubles the distance covered, finished rows leave the joins, and each round
-    is checkpointed, so that depth is not limited and hot threads do not pile up.
+    A parent counts only when it exists under the same article and is not the
+    comment itself; otherwise the comment is a root.  Ancestors are found by
+    pointer jumping: each round doubles the distance covered, finished rows leave
+    the joins, and each round is checkpointed, so that depth is not limited and
+    hot threads do not pile up.  After as many rounds as a chain of all comments
+    could need, what is left hangs on a cycle: those comments
+    become roots.  Further columns, such as the text or the author's name, pass
+    through.
     """
     cols = comments.select("comment_id", "ai_news_id", "user_id", "parent_comment_id", "created_at")
+    further = [c for c in comments.columns if c not in cols.columns]
     parents = cols.select(F.col("comment_id").alias("pid"), F.col("ai_news_id").alias("p_article"))
     linked = cols.join(
-        parents, (F.col("parent_comment_id") == F.col("pid")) & (F.col("ai_news_id") == F.col("p_article")), "left"
+        parents, (F.col("parent_comment_id") == F.col("pid")) & (F.col("ai_news_id") == F.col("p_article")) & (F.col("comment_id") != F.col("pid")), "left"
     ).select("comment_id", "ai_news_id", "user_id", "created_at", F.col("pid").alias("parent_id"))
 
     seg = F.col("comment_id").cast("string")
@@ -253,7 +258,9 @@ def comment_tree(comments: DataFrame) -> DataFrame:
     todo = todo.withColumn("depth", F.lit(1))
     known = done[0]
     pending = cut_lineage(todo)
-    while not pending.isEmpty():
+    rounds = pending.count().bit_length() + 1
+    while rounds and not pending.isEmpty():
+        rounds -= 1
         hop = known.unionByName(pending).select(
             F.col("comment_id").alias("h_id"), F.col("up").alias("h_up"), F.col("depth").alias("h_depth"),
             F.col("path").alias("h_path"), F.col("root_id").alias("h_root"),
@@ -270,13 +277,19 @@ def comment_tree(comments: DataFrame) -> DataFrame:
         done.append(finished)
         known = known.unionByName(finished)
         pending = step.where("up IS NOT NULL")
-    resolved = reduce(DataFrame.unionByName, done).select("comment_id", "depth", "path", "root_id")
+    # no round is left: a cycle, or a thread below one
+    stuck = pending.select("comment_id", F.lit(0).alias("depth"), seg.alias("path"), F.col("comment_id").alias("root_id"))
+    linked = linked.join(stuck.select("comment_id", F.lit(True).alias("stuck")), "comment_id", "left")
+    linked = linked.withColumn("parent_id", F.when(F.col("stuck").isNull(), F.col("parent_id"))).drop("stuck")
+    resolved = reduce(DataFrame.unionByName, done).select("comment_id", "depth", "path", "root_id").unionByName(stuck)
 
     children = linked.where("parent_id IS NOT NULL").groupBy(F.col("parent_id").alias("c_id")).agg(
         F.count(F.lit(1)).alias("reply_count")
     )
     tree = linked.join(resolved, "comment_id").join(children, F.col("comment_id") == F.col("c_id"), "left").drop("c_id")
     tree = tree.withColumn("reply_count", F.coalesce("reply_count", F.lit(0)))
+    if further:
+        tree = tree.join(comments.select("comment_id", *further), "comment_id")
     return ordered_rank(
         tree,
         ["ai_news_id", "parent_id"],

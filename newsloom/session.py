@@ -45,13 +45,17 @@ def build_session(app: str = "newsloom", master: str | None = None, **extra: str
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Folder for cut lineage and stream state.
+    """Folder for written intermediate tables and stream state.
 
-    The cluster names a shared folder in ``spark.checkpoint.dir``; a local
-    folder is made only when that is unset, as in tests.
+    The cluster names a shared folder in ``spark.checkpoint.dir``.  Only a
+    session in local mode, as in tests, gets a folder of its own when that is
+    unset; elsewhere a driver-local folder would not be seen by executors.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        master = spark.conf.get("spark.master", "")
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="spark-", dir=os.environ.get("TMPDIR", "/tmp"))
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
@@ -82,13 +86,3 @@ def spread_partitions(spark: SparkSession) -> int:
     small rows, and their fan-out, into one task.
     """
     return int(spark.conf.get("spark.sql.shuffle.partitions")) * FAN_OUT_FACTOR
-
-
-def spread_small_scan(df: DataFrame, key: str) -> DataFrame:
-    """Hash rows over all cores when a table has fewer files than there are cores.
-
-    Real tables have many more files than cores and come back unchanged; a
-    table of one small file would leave CPU-bound text work to a single task.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if len(df.inputFiles()) < cores else df

@@ -17,10 +17,11 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 from newsloom.operators import ingest, profiles
 from newsloom.sources.append import append_new
 
+# How much later than newer events an event may arrive; each job takes it as an argument.
 LATENESS = "1 day"
 
 
-def stream_ingest(raw: DataFrame, as_of: Column) -> DataFrame:
+def stream_ingest(raw: DataFrame, as_of: Column, lateness: str = "48 hours") -> DataFrame:
     """Rows that pass the gate, once per normalized URL.
 
     The 48-hour rule is the gate's, against ``as_of``; the watermark only
@@ -28,7 +29,7 @@ def stream_ingest(raw: DataFrame, as_of: Column) -> DataFrame:
     ``ingest_sink``, which also checks the table.
     """
     gated = ingest.ingest_gate(raw, as_of).where("gate = 'pending'")
-    return gated.withWatermark("published_at", "48 hours").dropDuplicatesWithinWatermark(["normalized_url"])
+    return gated.withWatermark("published_at", lateness).dropDuplicatesWithinWatermark(["normalized_url"])
 
 
 def ingest_sink(table: str, order_col: str):
@@ -52,9 +53,9 @@ def ingest_sink(table: str, order_col: str):
     return save
 
 
-def stream_impressions(events: DataFrame) -> DataFrame:
+def stream_impressions(events: DataFrame, lateness: str = LATENESS) -> DataFrame:
     """Impressions and skips once per (user, article, type, day); update mode."""
-    kinds = events.where(F.col("event_type").isin("impression", "skip")).withWatermark("created_at", LATENESS)
+    kinds = events.where(F.col("event_type").isin("impression", "skip")).withWatermark("created_at", lateness)
     position = F.when(F.col("event_type") == "impression", F.col("position"))
     grouped = kinds.groupBy(F.window("created_at", "1 day").alias("w"), "user_id", "ai_news_id", "event_type").agg(
         F.min("created_at").alias("first_at"), F.max_by(position, F.struct("created_at", "event_id")).alias("position")
@@ -67,19 +68,20 @@ def stream_interactions(log: DataFrame) -> DataFrame:
     return profiles.effective_interactions(log).groupBy("user_id", "ai_news_id").agg(*profiles.interaction_aggregates())
 
 
-def stream_activity(events: DataFrame, window: str, slide: str | None = None) -> DataFrame:
+def stream_activity(events: DataFrame, window: str, slide: str | None = None, lateness: str = LATENESS) -> DataFrame:
     """Event counts per tumbling or sliding window and type; update mode."""
     span = F.window("created_at", window, slide) if slide else F.window("created_at", window)
-    counts = events.withWatermark("created_at", LATENESS).groupBy(span.alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"))
+    counts = events.withWatermark("created_at", lateness).groupBy(span.alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"))
     return counts.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "event_type", "n")
 
 
-def stream_sessions(events: DataFrame, articles: DataFrame, topics: Sequence[str], gap: str = "30 minutes") -> DataFrame:
+def stream_sessions(events: DataFrame, articles: DataFrame, topics: Sequence[str], gap: str = "30 minutes", lateness: str = LATENESS) -> DataFrame:
     """Topic counts per user session of liked and viewed articles; append mode.
 
-    A session closes after ``gap`` without events; open ones are not emitted.
+    A session closes after ``gap`` without events and ``lateness`` on top; open
+    ones are not emitted.
     """
-    touched = events.where(F.col("event_type").isin("view", "long_view", "like")).withWatermark("created_at", "0 seconds")
+    touched = events.where(F.col("event_type").isin("view", "long_view", "like")).withWatermark("created_at", lateness)
     named = touched.join(articles.select("ai_news_id", F.lower("category").alias("topic")), "ai_news_id")
     counts = [F.count_if(F.col("topic") == t).alias(f"n_{t}") for t in topics]
     sessions = named.groupBy(F.session_window("created_at", gap).alias("s"), "user_id").agg(F.count(F.lit(1)).alias("n"), *counts)

@@ -20,9 +20,24 @@ def use_rocksdb(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
 
 
-def file_stream(spark: SparkSession, folder: str, table: str, schema) -> DataFrame:
-    """Table files of a folder as a stream."""
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet").parquet(folder)
+def file_stream(spark: SparkSession, folder: str, table: str, schema, files_per_batch: int | None = None) -> DataFrame:
+    """A table's files as a stream, ``files_per_batch`` at a time if given.
+
+    A table is a folder of part files, or a single file in ``folder``.
+    """
+    reader = spark.readStream.schema(schema)
+    if files_per_batch is not None:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{table}.parquet")
+    store = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    if store.getFileStatus(path).isDirectory():
+        return reader.parquet(f"{folder}/{table}.parquet")
+    return reader.option("pathGlobFilter", f"{table}.parquet").parquet(folder)
+
+
+def dropped_rows(query: StreamingQuery) -> int:
+    """Rows that came later than the watermark allowed and that state left out, over all batches so far."""
+    return sum(int(op["numRowsDroppedByWatermark"]) for p in query.recentProgress for op in p["stateOperators"])
 
 
 def start_to_folder(stream: DataFrame, folder: str, mode: str, checkpoint: str) -> StreamingQuery:
@@ -40,16 +55,26 @@ def start_to_folder(stream: DataFrame, folder: str, mode: str, checkpoint: str)
     )
 
 
-def drain(stream: DataFrame, mode: str, keys: Sequence[str] = ()) -> DataFrame:
+def drain(stream: DataFrame, mode: str, keys: Sequence[str] = (), late: list[int] | None = None) -> DataFrame:
     """Run the stream over all input there is and return its result as a table.
 
-    In update mode the newest row per key is the result.
+    In update mode the newest row per key is the result.  The number of rows that
+    came too late is appended to ``late``; without such a list, late rows are an
+    error, so that none is lost unnoticed.
     """
     spark = stream.sparkSession
     use_rocksdb(spark)
     root = f"{checkpoint_dir(spark)}/newsloom-stream-{uuid.uuid4().hex}"
-    start_to_folder(stream, f"{root}/out", mode, f"{root}/checkpoint").awaitTermination()
+    query = start_to_folder(stream, f"{root}/out", mode, f"{root}/checkpoint")
+    query.awaitTermination()
+    dropped = dropped_rows(query)
+    if late is not None:
+        late.append(dropped)
+    elif dropped:
+        raise ValueError(f"{dropped} rows came later than the stream's lateness allows")
     schema = T.StructType([*stream.schema.fields, T.StructField("batch", T.LongType())])
+    # an empty first part, so that a stream without any batch can be read
+    spark.createDataFrame([], stream.schema).write.mode("overwrite").parquet(f"{root}/out/batch=-1")
     out = spark.read.schema(schema).parquet(f"{root}/out")
     if mode == "update":
         rest = [c for c in stream.columns if c not in keys]
