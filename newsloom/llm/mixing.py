@@ -23,6 +23,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -86,24 +87,32 @@ def _targets(cells: DataFrame, margin: Margin, i: int) -> DataFrame:
     return rows.select(f"m{i}", (share * F.col("all")).alias("target"))
 
 
-def rake(cells: DataFrame, margins: Sequence[Margin], rounds: int = 20, tolerance: float = 1e-3) -> DataFrame:
+#: Rounds between two looks at how far the margins are off.
+ROUNDS_PER_TABLE = 3
+
+
+def rake(cells: DataFrame, margins: Sequence[Margin], rounds: int = 21, tolerance: float = 1e-3) -> DataFrame:
     """Add ``raked`` tokens to ``cells`` (m0, m1, ..., tokens) so that all margins meet their targets."""
     cells = cells.where("tokens > 0")
-    targets = [staged(_targets(cells, m, i), "targets") for i, m in enumerate(margins)]
+    named = [_targets(cells, m, i).select(F.lit(i).alias("margin"), F.col(f"m{i}").alias("value"), "target") for i, m in enumerate(margins)]
+    targets = staged(reduce(DataFrame.union, named), "targets")
+
+    def sums(raked: DataFrame, i: int) -> DataFrame:
+        now = raked.groupBy(F.col(f"m{i}").alias("value")).agg(F.sum("raked").alias("now"))
+        return now.join(targets.where(F.col("margin") == i), "value")
+
     raked = cells.withColumn("raked", F.col("tokens").cast("double"))
-    for _ in range(rounds):
-        for i, target in enumerate(targets):
-            scale = raked.groupBy(f"m{i}").agg(F.sum("raked").alias("now")).join(target, f"m{i}")
-            scale = scale.select(f"m{i}", F.when(F.col("now") > 0, F.col("target") / F.col("now")).otherwise(0.0).alias("scale"))
-            raked = raked.join(scale, f"m{i}").withColumn("raked", F.col("raked") * F.col("scale")).drop("scale")
-        # one written table per round keeps the plan short
-        raked = staged(raked, "raked")
-        worst = 0.0
-        for i, target in enumerate(targets[:-1]):
-            off = raked.groupBy(f"m{i}").agg(F.sum("raked").alias("now")).join(target, f"m{i}")
-            worst = max(worst, off.agg(F.max(F.abs(F.col("now") - F.col("target")) / F.greatest("target", F.lit(1.0)))).first()[0] or 0.0)
-        if worst < tolerance:
-            break
+    for turn in range(1, rounds + 1):
+        for i in range(len(margins)):
+            scale = F.when(F.col("now") > 0, F.col("target") / F.col("now")).otherwise(0.0)
+            factors = sums(raked, i).select(F.col("value").alias(f"m{i}"), scale.alias("scale"))
+            raked = raked.join(factors, f"m{i}").withColumn("raked", F.col("raked") * F.col("scale")).drop("scale")
+        if turn % ROUNDS_PER_TABLE == 0 or turn == rounds:
+            raked = staged(raked, "raked")
+            off = F.abs(F.col("now") - F.col("target")) / F.greatest("target", F.lit(1.0))
+            worst = reduce(DataFrame.union, [sums(raked, i).select(off.alias("off")) for i in range(len(margins))]).agg(F.max("off")).first()[0]
+            if (worst or 0.0) < tolerance:
+                break
     return raked
 
 
