@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from newsloom.functions import lexicon as L
 from newsloom.functions import texts as X
 from newsloom.operators.common import top_rows
-from newsloom.session import spread_partitions
 
 LATIN_WORD = r"(?U)\b[a-zA-Z'\-]+\b"
 SENTENCE_WORD = r"(?U)\b[a-zA-Z']+\b"
@@ -328,19 +327,10 @@ def topic_phrases(title: Column, text: Column, category: Column, n: int = 6) ->
     return X.bind(found, lambda f: F.when(F.size(f) > 0, f).otherwise(fallback))
 
 
-def _by_id(df: DataFrame, id_col: str, text: str) -> DataFrame:
-    """Texts hashed by id: counting and ranking per id then need no further exchange.
-
-    A text is smaller than the rows it is exploded into, so this one exchange
-    replaces two larger ones.
-    """
-    return df.select(id_col, text).repartition(spread_partitions(df.sparkSession), id_col)
-
-
 def top_keywords(df: DataFrame, id_col: str, text: str, k: int = 6) -> DataFrame:
     """(id, keyword, cnt, rank): most frequent long words, earlier word first on ties."""
-    texts = _by_id(df, id_col, text)
-    exploded = texts.select(id_col, F.posexplode(X.keyword_words(F.coalesce(F.col(text), F.lit("")))).alias("pos", "keyword"))
+    # texts stay where they are: only counts per word move
+    exploded = df.select(id_col, F.posexplode(X.keyword_words(F.coalesce(F.col(text), F.lit("")))).alias("pos", "keyword"))
     counts = exploded.groupBy(id_col, "keyword").agg(F.count(F.lit(1)).alias("cnt"), F.min("pos").alias("first_pos"))
     return top_rows(counts, [id_col], [F.col("cnt").desc(), F.col("first_pos")], k, "rank").drop("first_pos")
 
@@ -524,7 +514,7 @@ def hash_embedding(df: DataFrame, id_col: str, text: str, dim: int = 256) -> Dat
     def feature(prefix: str, parts: list[Column], weight: int) -> Column:
         return F.struct(F.concat(F.lit(prefix), F.concat_ws(":", *parts)).alias("f"), F.lit(weight).alias("w"))
 
-    tokens = _by_id(df, id_col, text).select(id_col, X.tokenize(F.col(text)).alias("t"))
+    tokens = df.select(id_col, X.tokenize(F.col(text)).alias("t"))
     t = F.col("t")
     size = F.size(t)
 

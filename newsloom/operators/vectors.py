@@ -1,13 +1,14 @@
 """User vectors, cosine top-k and similarity ranking.
 
-Products of two vector sets run in blocks: the large side is hashed into
-blocks, the small side is copied to each, and one task multiplies one block.
-Nothing passes through the driver and no pair leaves the task unless it is
-among the k best.
+Products of two vector sets run in batches: the large side passes through where
+it is, and each task has the small side, which is bounded by contract.  No pair
+leaves the task unless it is among the k best.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -43,50 +44,39 @@ def _matrix(vectors: pd.Series) -> np.ndarray:
     return out
 
 
-def cosine_topk(
-    large: DataFrame, small: DataFrame, large_id: str, small_id: str, k: int, per: str, blocks: int | None = None
-) -> DataFrame:
+def cosine_topk(large: DataFrame, small: DataFrame, large_id: str, small_id: str, k: int, per: str) -> DataFrame:
     """(large id, small id, similarity, rank): the k best partners of each ``per`` id.
 
     Both inputs are (id, vector), vectors of equal length.  ``small`` must be
-    bounded, such as the candidate list or one vector per label; it is copied
-    to every block of ``large``.  ``per`` is the side the top-k belongs to: for
-    the large side a block already holds all partners, for the small side block
-    winners meet in a final top-k.  Ties go to the lower id.
+    bounded, such as the candidate list or one vector per label: its vectors are
+    gathered and sent to each task.  ``large`` stays where it is and passes
+    through in batches; only winners move.  ``per`` is the side the top-k belongs
+    to.  Ties go to the lower id.
     """
-    spark = large.sparkSession
-    n = blocks or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    left = large.select(F.col(large_id).alias("l_id"), F.col("vector").alias("l_vec"))
-    left = left.withColumn("block", F.pmod(F.xxhash64("l_id"), F.lit(n)).cast("int"))
-    right = small.select(F.col(small_id).alias("s_id"), F.col("vector").alias("s_vec"))
-    right = right.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    found = small.select(F.col(small_id).alias("id"), "vector").orderBy("id").collect()
+    s_ids = np.array([r["id"] for r in found], np.int64)
+    b = _matrix(pd.Series([r["vector"] for r in found], dtype=object)) if found else np.zeros((0, 0))
+    bn = np.linalg.norm(b, axis=1)
     by_large = per == large_id
 
-    def multiply(lp: pd.DataFrame, sp: pd.DataFrame) -> pd.DataFrame:
-        if lp.empty or sp.empty:
-            return pd.DataFrame({"l_id": [], "s_id": [], "similarity": []}).astype({"l_id": "int64", "s_id": "int64", "similarity": "float64"})
-        sp = sp.sort_values("s_id", ignore_index=True)
-        lp = lp.sort_values("l_id", ignore_index=True)
-        b = _matrix(sp["s_vec"])
-        bn = np.linalg.norm(b, axis=1)
-        parts = []
-        # rows in slices keep the product small whatever the block holds
-        for start in range(0, len(lp), 4096):
-            chunk = lp.iloc[start : start + 4096]
-            a = _matrix(chunk["l_vec"])
+    def multiply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for lp in batches:
+            if lp.empty or not len(s_ids):
+                continue
+            lp = lp.sort_values("l_id", ignore_index=True)
+            a = _matrix(lp["l_vec"])
             norms = np.linalg.norm(a, axis=1)[:, None] * bn[None, :]
-            sims = np.divide(a @ b.T, norms, out=np.zeros(norms.shape), where=norms > 0)
-            sims = np.round(sims, 6)
-            scores, ids, others = (sims, chunk["l_id"], sp["s_id"]) if by_large else (sims.T, sp["s_id"], chunk["l_id"])
+            sims = np.round(np.divide(a @ b.T, norms, out=np.zeros(norms.shape), where=norms > 0), 6)
+            l_ids = lp["l_id"].to_numpy()
+            scores, ids, others = (sims, l_ids, s_ids) if by_large else (sims.T, s_ids, l_ids)
             best = np.argsort(-scores, axis=1, kind="stable")[:, :k]
             rows = np.repeat(np.arange(len(ids)), best.shape[1])
-            owner, partner = ids.to_numpy()[rows], others.to_numpy()[best.ravel()]
-            parts.append((owner, partner, scores[rows, best.ravel()]))
-        owner, partner, sim = (np.concatenate(x) for x in zip(*parts))
-        l_ids, s_ids = (owner, partner) if by_large else (partner, owner)
-        return pd.DataFrame({"l_id": l_ids, "s_id": s_ids, "similarity": sim})
+            owner, partner = ids[rows], others[best.ravel()]
+            left, right = (owner, partner) if by_large else (partner, owner)
+            yield pd.DataFrame({"l_id": left, "s_id": right, "similarity": scores[rows, best.ravel()]})
 
-    pairs = left.groupBy("block").cogroup(right.groupBy("block")).applyInPandas(multiply, "l_id long, s_id long, similarity double")
+    left = large.select(F.col(large_id).alias("l_id"), F.col("vector").alias("l_vec"))
+    pairs = left.mapInPandas(multiply, "l_id long, s_id long, similarity double")
     owner, partner = ("l_id", "s_id") if by_large else ("s_id", "l_id")
     ranked = top_rows(pairs, [owner], [F.col("similarity").desc(), F.col(partner)], k, "rank")
     return ranked.select(F.col("l_id").alias(large_id), F.col("s_id").alias(small_id), "similarity", "rank")
