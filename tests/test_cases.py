@@ -170,3 +170,46 @@ def test_boilerplate_legal_block(spark):
     rows = [("Matn. Guvohnoma raqami yozilgan. " + body,), (body + "O'zmaa tomonidan.",)]
     got = one(spark, rows, "t string", c=pages.clean_boilerplate(F.col("t")))
     assert got[0]["c"] == body.strip() and got[1]["c"] == body.strip()
+
+
+def test_comment_tree_ends_on_self_parents_and_cycles(spark):
+    from newsloom.operators import profiles
+
+    at = datetime(2024, 1, 1)
+    # 1 replies to itself; 2, 3, 4 reply in a circle, 5 below it; 6 and 7 are a thread
+    rows = [(1, 1), (2, 3), (3, 4), (4, 2), (5, 2), (6, None), (7, 6), (8, 99)]
+    df = spark.createDataFrame(
+        [(i, 10, 1, p, at, f"text {i}") for i, p in rows],
+        "comment_id long, ai_news_id long, user_id long, parent_comment_id long, created_at timestamp, content string",
+    )
+    got = {r["comment_id"]: r for r in profiles.comment_tree(df).collect()}
+    assert len(got) == 8 and all(got[i]["depth"] == 0 and got[i]["root_id"] == i and got[i]["parent_id"] is None for i in (1, 2, 3, 4, 5, 6, 8))
+    assert (got[7]["depth"], got[7]["path"], got[7]["content"]) == (1, "6/7", "text 7")
+
+
+def test_streams_over_folder_tables_in_several_batches(spark, tmp_path):
+    from newsloom.streaming import jobs
+    from newsloom.streaming.sinks import drain, file_stream
+
+    events = spark.createDataFrame(
+        [(i, i % 5, i % 3, "view", datetime(2024, 1, 1, (i * 7) % 24), i) for i in range(120)],
+        "event_id long, user_id long, ai_news_id long, event_type string, created_at timestamp, position int",
+    )
+    # part files out of time order
+    events.repartition(4, "event_id").write.parquet(f"{tmp_path}/events.parquet")
+    late = []
+    stream = file_stream(spark, str(tmp_path), "events", events.schema, files_per_batch=1)
+    out = drain(jobs.stream_activity(stream, "1 hour"), "update", ["window_start", "window_end", "event_type"], late)
+    assert late == [0] and out.agg(F.sum("n")).first()[0] == 120 and out.count() == 24
+    short = file_stream(spark, str(tmp_path), "events", events.schema, files_per_batch=1)
+    drain(jobs.stream_activity(short, "1 hour", lateness="1 second"), "update", ["window_start", "window_end", "event_type"], late)
+    assert late[1] > 0
+    with pytest.raises(ValueError):
+        again = file_stream(spark, str(tmp_path), "events", events.schema, files_per_batch=1)
+        drain(jobs.stream_activity(again, "1 hour", lateness="1 second"), "update", ["window_start", "window_end", "event_type"])
+
+
+def test_date_element_among_other_classes(spark):
+    html = '<html><body><p class="news date big">2024-01-05 10:00</p></body></html>'
+    as_of = F.lit("2024-01-31 12:00:00").cast("timestamp")
+    assert one(spark, [(html,)], "h string", d=pages.publish_date(F.col("h"), as_of))[0]["d"] is not None
