@@ -192,17 +192,18 @@ def without_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rest = docs.join(copies.select("id"), "id", "left_anti")
     coded = rest.select("id", F.transform(words(F.col("text")), lambda w: F.xxhash64(w)).alias("codes")).where(F.size("codes") >= window)
     rows = staged(_anchor_rows(coded, window), "anchors")
-    shared = rows.groupBy("symbol").agg(F.count("*").alias("n")).where("n > 1").select("symbol")
+    # a table of its own, not a sum inside the join: then the join can split a frequent symbol
+    shared = staged(rows.groupBy("symbol").agg(F.count("*").alias("n")).where("n > 1").select("symbol"), "shared")
     spans = staged(rows.join(shared, "symbol", "left_semi").groupBy("id").agg(F.collect_list("span").alias("spans")), "spans")
-    release(rows, sized)
+    release(rows, shared, sized)
     # only documents with shared symbols go on
     held = staged(docs.join(spans, "id"), "held").withColumn("words", words(F.col("text")))
     windows = staged(_window_rows(held.select("id", F.transform("words", lambda w: F.xxhash64(w)).alias("codes"), "spans"), window), "windows")
     fresh = windows.where("NOT again")
-    first = fresh.groupBy("key", "key2").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low <> high").drop("high")
+    first = staged(fresh.groupBy("key", "key2").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low <> high").drop("high"), "first")
     later = fresh.join(first, ["key", "key2"]).where("id <> low").select("id", "place").union(windows.where("again").select("id", "place"))
     places = staged(later.groupBy("id").agg(F.collect_set("place").alias("places")), "places")
-    release(windows, spans)
+    release(windows, first, spans)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
