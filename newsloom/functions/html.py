@@ -58,10 +58,10 @@ def json_ld_blocks(html: Column) -> Column:
 
 
 def page_title(html: Column) -> Column:
-    """og:title, else the title tag, else the first h1."""
+    """og:title or twitter:title, else the title tag, else the first h1."""
     title = F.nullif(X.strip(X.unescape_html(F.regexp_extract(html, TITLE, 1))), F.lit(""))
     h1 = F.nullif(inner_text(F.regexp_extract(html, H1, 1)), F.lit(""))
-    return F.coalesce(meta_content(html, ["og:title"]), title, h1)
+    return F.coalesce(meta_content(html, ["og:title"]), meta_content(html, ["twitter:title"]), title, h1)
 
 
 def page_h1(html: Column) -> Column:

@@ -396,7 +396,7 @@ def page_images(pages: DataFrame) -> DataFrame:
         )
 
     def source(tag: Column) -> Column:
-        return F.coalesce(*[F.nullif(F.trim(H.attribute(tag, a)), F.lit("")) for a in ("src", "data-src", "data-original", "data-lazy-src")])
+        return F.coalesce(*[F.nullif(F.trim(H.attribute(tag, a)), F.lit("")) for a in ("src", "data-src", "data-original", "data-lazy-src", "data-image")])
 
     groups = [
         F.transform(metas, candidate("meta")),
