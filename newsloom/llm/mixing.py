@@ -28,6 +28,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from newsloom.functions.texts import bind
 from newsloom.llm.common import WORD_GAP, staged
 
 TOPICS = 8
@@ -61,9 +62,12 @@ def lexical_topic(text: Column, topics: int = TOPICS) -> Column:
     """
     words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"(\p{L}{7,})"), F.lit(1))
     buckets = F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(topics)).cast("int"))
-    # one pass per topic over small numbers
-    counts = F.transform(F.sequence(F.lit(0), F.lit(topics - 1)), lambda t: F.struct(F.size(F.filter(buckets, lambda b: b == t)).alias("n"), (-t).alias("t")))
-    return F.when(F.size(words) == 0, F.lit("")).otherwise(F.concat(F.lit("topic"), (-F.array_max(counts)["t"]).cast("string")))
+
+    def modal(held: Column) -> Column:
+        counts = [F.struct((F.size(held) - F.size(F.array_remove(held, t))).alias("n"), F.lit(-t).alias("t")) for t in range(topics)]
+        return F.when(F.size(held) == 0, F.lit("")).otherwise(F.concat(F.lit("topic"), (-F.array_max(F.array(*counts))["t"]).cast("string")))
+
+    return bind(buckets, modal)
 
 
 def _targets(cells: DataFrame, margin: Margin, i: int) -> DataFrame:
