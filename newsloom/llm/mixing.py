@@ -13,9 +13,11 @@ shuffle so that a source with a third of all rows is one row per task, and once
 to sample.  Raking works on the cells only, as joins and sums in Spark.
 
 Null margins are a value of their own (the empty text); a null text has no
-tokens and is taken with its cell's probability.  Documents with a null id are
-hashed as if the id were empty.  Repeated ids are decided alike.  Margins whose
-target names no existing value are scaled over those that exist.  An empty table
+tokens and is taken with its cell's probability.  Values without a weight, null
+among them, always have a share (see ``Margin``); only a weight of 0 shuts a value
+out.  Documents with a null id are hashed as if the id were empty.  Repeated ids
+are decided alike.  Weights of values that the table does not have go to those
+that exist, in proportion.  An empty table
 gives an empty sample.  Extra columns pass through.
 """
 
@@ -40,7 +42,10 @@ class Margin:
 
     ``weights`` gives values' shares; values not in it share what is left to 1,
     in proportion to a power of their own tokens (1 keeps them as they are, 0
-    makes all equal).  Without weights all values are shared out that way.
+    makes all equal).  Without weights all values are shared out that way.  If the
+    weights leave nothing, values not in it keep their share of all tokens, and
+    the weights are scaled to the remainder.  Which of the two holds depends on the
+    weights alone, not on the values that a table happens to have.
     """
 
     column: str
@@ -77,17 +82,21 @@ def _targets(cells: DataFrame, margin: Margin, i: int) -> DataFrame:
     if margin.weights:
         listed = F.try_element_at(F.create_map(*(F.lit(x) for kv in margin.weights.items() for x in kv)), F.col(f"m{i}"))
     sums = sums.select(f"m{i}", "t", listed.alias("given"), F.pow(F.col("t"), F.lit(margin.power)).alias("own"))
+    loose = F.col("given").isNull()
     total = sums.agg(
         F.sum("t").alias("all"),
         F.coalesce(F.sum("given"), F.lit(0.0)).alias("given_all"),
-        F.sum(F.when(F.col("given").isNull(), F.col("own"))).alias("own_all"),
+        F.coalesce(F.sum(F.when(loose, F.col("t"))), F.lit(0)).alias("loose"),
+        F.sum(F.when(loose, F.col("own"))).alias("own_all"),
     )
     # one row: safe to copy
     rows = sums.join(F.broadcast(total))
-    rest = F.greatest(F.lit(0.0), 1 - F.least(F.col("given_all"), F.lit(1.0)))
-    # without a rest to share, listed values fill the whole
-    scale = F.when(F.col("own_all").isNull() | (F.col("given_all") > 1), F.col("given_all")).otherwise(1.0)
-    share = F.when(F.col("given").isNotNull(), F.col("given") / scale).otherwise(rest * F.col("own") / F.col("own_all"))
+    left = 1 - sum((margin.weights or {}).values())
+    if left > 1e-9:
+        whole = F.col("given_all") + F.when(F.col("own_all").isNull(), 0.0).otherwise(left)
+        share = F.when(loose, left * F.col("own") / F.col("own_all")).otherwise(F.col("given")) / whole
+    else:
+        share = F.when(loose, F.col("t") / F.col("all")).otherwise((1 - F.col("loose") / F.col("all")) * F.col("given") / F.col("given_all"))
     return rows.select(f"m{i}", (share * F.col("all")).alias("target"))
 
 

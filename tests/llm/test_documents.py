@@ -249,6 +249,20 @@ def test_sample_meets_budget_and_margins(spark):
     assert {r[0] for r in again.select("doc_id").collect()} == {r[0] for r in out.select("doc_id").collect()}
 
 
+def test_unlisted_and_null_languages_have_a_share(spark):
+    langs = ["en"] * 50 + ["de"] * 20 + ["fr"] * 15 + ["es"] * 15 + ["it"] * 10 + [None] * 10
+    rows = [(i, " ".join(["word"] * 10), lang, "s") for i, lang in enumerate(langs * 20)]
+    whole = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")
+    for df in (whole, whole.where("lang is null or lang <> 'es'")):
+        out = mixing.mix(df, catalog.MIX, fraction=0.5)
+        n = df.count()
+        share = {r["lang"]: r["n"] / n for r in out.groupBy("lang").agg(F.sum(F.lit(1)).alias("n")).collect()}
+        own = 200 / n
+        assert abs(share["it"] - own / 2) < 0.03 and abs(share[None] - own / 2) < 0.03
+        assert all(share[x] > 0 for x in ("en", "de", "fr"))
+        assert out.select(F.min("sampling_p")).first()[0] > 0.4
+
+
 def test_mixing_odd_tables(docs):
     df = docs([(1, None), (2, ""), (None, "a b"), (4, "long words everywhere"), (4, "long words everywhere")]).withColumn("p", F.lit(1)).withColumn("m0", F.lit("x"))
     df = df.withColumn("source", F.when(F.col("doc_id") == 4, F.lit("s")))
