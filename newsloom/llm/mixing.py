@@ -3,10 +3,16 @@
 Documents fall into cells of source, language and topic.  The cells' token
 counts are raked: one margin after the other, all cells of a source (language,
 topic) are scaled so that together they have its target share, until all margins
-fit.  A cell's raked tokens over its own tokens is its rate; rates times a common
-factor are sampling probabilities, with the factor set so that the expected
-tokens meet the budget although no document can be taken more than once.  Whether
-a document is taken is decided by a hash of its id, so a rerun takes the same.
+fit.  No document can be taken more than once, so a cell is held at its own tokens
+where it would need more, and the others of its margins are raked on to what is
+left of the targets.  A cell's raked tokens over its own tokens is the sampling
+probability of its documents.  Whether a document is taken is decided by a hash of
+its id, so a rerun takes the same.
+
+A value with fewer tokens than its share of the budget gives all it has, and the
+other values of the margin share the rest by their weights; such values are
+named in a warning.  So is the largest gap that remains if margins contradict each
+other or do not meet within the rounds.
 
 The corpus is read twice: once to count per cell, which combines before the
 shuffle so that a source with a third of all rows is one row per task, and once
@@ -23,6 +29,8 @@ gives an empty sample.  Extra columns pass through.
 
 from __future__ import annotations
 
+import math
+import warnings
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
@@ -75,78 +83,108 @@ def lexical_topic(text: Column, topics: int = TOPICS) -> Column:
     return bind(buckets, modal)
 
 
-def _targets(cells: DataFrame, margin: Margin, i: int) -> DataFrame:
-    """(m_i, target): shares of all tokens for the values of one margin."""
-    sums = cells.groupBy(f"m{i}").agg(F.sum("tokens").alias("t"))
+def _shares(cells: DataFrame, margin: Margin, i: int) -> DataFrame:
+    """(margin, value, tokens, share): the share of the sample that each value of one margin is to have."""
+    sums = cells.groupBy(F.col(f"m{i}").alias("value")).agg(F.sum("tokens").alias("tokens"))
     listed = F.lit(None).cast("double")
     if margin.weights:
-        listed = F.try_element_at(F.create_map(*(F.lit(x) for kv in margin.weights.items() for x in kv)), F.col(f"m{i}"))
-    sums = sums.select(f"m{i}", "t", listed.alias("given"), F.pow(F.col("t"), F.lit(margin.power)).alias("own"))
+        listed = F.try_element_at(F.create_map(*(F.lit(x) for k, v in margin.weights.items() for x in (k, float(v)))), F.col("value"))
+    sums = sums.select("value", "tokens", listed.alias("given"), F.pow(F.col("tokens"), F.lit(margin.power)).alias("own"))
     loose = F.col("given").isNull()
     total = sums.agg(
-        F.sum("t").alias("all"),
+        F.sum("tokens").alias("all"),
         F.coalesce(F.sum("given"), F.lit(0.0)).alias("given_all"),
-        F.coalesce(F.sum(F.when(loose, F.col("t"))), F.lit(0)).alias("loose"),
+        F.coalesce(F.sum(F.when(loose, F.col("tokens"))), F.lit(0)).alias("loose"),
         F.sum(F.when(loose, F.col("own"))).alias("own_all"),
     )
-    # one row: safe to copy
-    rows = sums.join(F.broadcast(total))
     left = 1 - sum((margin.weights or {}).values())
     if left > 1e-9:
         whole = F.col("given_all") + F.when(F.col("own_all").isNull(), 0.0).otherwise(left)
         share = F.when(loose, left * F.col("own") / F.col("own_all")).otherwise(F.col("given")) / whole
     else:
-        share = F.when(loose, F.col("t") / F.col("all")).otherwise((1 - F.col("loose") / F.col("all")) * F.col("given") / F.col("given_all"))
-    return rows.select(f"m{i}", (share * F.col("all")).alias("target"))
+        share = F.when(loose, F.col("tokens") / F.col("all")).otherwise((1 - F.col("loose") / F.col("all")) * F.col("given") / F.col("given_all"))
+    # one row: safe to copy
+    return sums.join(F.broadcast(total)).select(F.lit(i).alias("margin"), "value", "tokens", share.alias("share"))
+
+
+def _reachable(shares: DataFrame, budget: float) -> DataFrame:
+    """Add ``target`` tokens and ``full``: values that have too few tokens for their share give all, the others share the rest."""
+    level: dict[int, float] = {r[0]: budget for r in shares.select("margin").distinct().collect()}
+    while True:
+        want = F.element_at(F.create_map(*(F.lit(x) for kv in level.items() for x in kv)), F.col("margin")) * F.col("share")
+        full = want >= F.col("tokens") * (1 - 1e-9)
+        sums = shares.groupBy("margin").agg(F.sum(F.when(full, F.col("tokens")).otherwise(0)).alias("full"), F.sum(F.when(~full, F.col("share"))).alias("open"))
+        fresh = {r["margin"]: (budget - r["full"]) / r["open"] if r["open"] else math.inf for r in sums.collect()}
+        if all(math.isclose(fresh[i], level[i], rel_tol=1e-9) for i in level):
+            return shares.select("*", F.when(full, F.col("tokens")).otherwise(want).alias("target"), full.alias("full"))
+        level = fresh
 
 
-def rake(cells: DataFrame, margins: Sequence[Margin], rounds: int = 21, tolerance: float = 1e-3) -> DataFrame:
-    """Add ``raked`` tokens to ``cells`` (m0, m1, ..., tokens) so that all margins meet their targets."""
+def _warn_unreachable(targets: DataFrame, margins: Sequence[Margin], budget: float, shown: int = 20) -> None:
+    short = targets.where(F.col("share") * budget > F.col("tokens") * (1 + 1e-6))
+    n = short.count()
+    if n:
+        rows = short.orderBy((F.col("tokens") - F.col("share") * budget), "margin", "value").limit(shown).collect()
+        named = ", ".join(f"{margins[r['margin']].column} '{r['value']}' {100 * r['share']:.2f} % of {100 * r['tokens'] / budget:.2f} %" for r in rows)
+        warnings.warn(f"mixing: {n} targets exceed the tokens at hand (wanted of possible share): {named}{', ...' if n > shown else ''}", stacklevel=3)
+
+
+def rake(cells: DataFrame, margins: Sequence[Margin], rounds: int = 21, tolerance: float = 1e-3, fraction: float | None = None) -> DataFrame:
+    """Add ``raked`` tokens to ``cells`` (m0, m1, ..., tokens) so that all margins meet their targets.
+
+    With ``fraction`` they are the tokens to take: that part of all, and never
+    more of a cell than it has.  Warns of targets beyond the tokens at hand and,
+    if the margins do not meet, of the largest gap that remains.
+    """
     cells = cells.where("tokens > 0")
-    named = [_targets(cells, m, i).select(F.lit(i).alias("margin"), F.col(f"m{i}").alias("value"), "target") for i, m in enumerate(margins)]
-    targets = staged(reduce(DataFrame.union, named), "targets")
+    barred = F.lit(False)
+    for i, m in enumerate(margins):
+        barred = barred | F.col(f"m{i}").isin([k for k, v in (m.weights or {}).items() if v <= 0])
+    sizes = cells.agg(F.sum("tokens").alias("all"), F.sum(F.when(~barred, F.col("tokens"))).alias("open")).first()
+    none = cells.withColumn("raked", F.lit(0.0))
+    if not sizes["open"]:
+        return none
+    barred_cells, cells = none.where(barred), cells.where(~barred)
+    shares = staged(reduce(DataFrame.union, [_shares(cells, m, i) for i, m in enumerate(margins)]), "shares")
+    if fraction is None:
+        targets = shares.select("*", (F.col("share") * sizes["all"]).alias("target"), F.lit(False).alias("full"))
+    else:
+        targets = _reachable(shares, min(fraction * sizes["all"], float(sizes["open"])))
+    targets = staged(targets, "targets")
+    if fraction is not None:
+        _warn_unreachable(targets, margins, fraction * sizes["all"])
 
-    def sums(raked: DataFrame, i: int) -> DataFrame:
-        now = raked.groupBy(F.col(f"m{i}").alias("value")).agg(F.sum("raked").alias("now"))
-        return now.join(targets.where(F.col("margin") == i), "value")
+    below = F.lit(True) if fraction is None else F.col("rate") < 1
+    taken = F.col("tokens") * (F.col("rate") if fraction is None else F.least(F.lit(1.0), F.col("rate")))
 
-    raked = cells.withColumn("raked", F.col("tokens").cast("double"))
+    def sums(raked: DataFrame, i: int) -> DataFrame:
+        now = raked.groupBy(F.col(f"m{i}").alias("value")).agg(F.sum(taken).alias("now"), F.sum(F.when(below, taken).otherwise(0.0)).alias("open"))
+        return now.join(targets.where(F.col("margin") == i).select("margin", "value", "target", "full"), "value")
+
+    # only cells below the bound answer to a factor: one Newton step; values that must give all stay at the bound for good
+    step = 1 + (F.col("target") - F.col("now")) / F.col("open")
+    high = F.col("now") > F.col("target")
+    step = F.when(F.col("open") > 0, F.when(high, F.greatest(step, 0.5 * F.col("target") / F.col("now"))).otherwise(step))
+    scale = F.when(F.col("full"), F.lit(math.inf)).otherwise(F.coalesce(step, F.when(high, F.col("target") / F.col("now")), F.lit(1.0)))
+    off = F.abs(F.col("now") - F.col("target")) / F.greatest("target", F.lit(1.0))
+    raked = cells.withColumn("rate", F.lit(1.0 if fraction is None else float(fraction)))
+    last = math.inf
     for _ in range(rounds):
         for i in range(len(margins)):
-            scale = F.when(F.col("now") > 0, F.col("target") / F.col("now")).otherwise(0.0)
             factors = sums(raked, i).select(F.col("value").alias(f"m{i}"), scale.alias("scale"))
-            raked = raked.join(factors, f"m{i}").withColumn("raked", F.col("raked") * F.col("scale")).drop("scale")
+            raked = raked.join(factors, f"m{i}").withColumn("rate", F.col("rate") * F.col("scale")).drop("scale")
         # each step reads the cells twice: a written table per round keeps the plan from doubling on
         raked = staged(raked, "raked")
-        off = F.abs(F.col("now") - F.col("target")) / F.greatest("target", F.lit(1.0))
-        worst = reduce(DataFrame.union, [sums(raked, i).select(off.alias("off")) for i in range(len(margins))]).agg(F.max("off")).first()[0]
-        if (worst or 0.0) < tolerance:
-            break
-    return raked
-
-
-def probabilities(raked: DataFrame, fraction: float, rounds: int = 12) -> DataFrame:
-    """Add ``p``: the chance to take a document of each cell.
-
-    The common factor makes the expected tokens ``fraction`` of all, with no
-    chance above 1: cells that reach 1 leave the rest to the others.
-    """
-    rate = F.col("raked") / F.col("tokens")
-    factor = fraction
-    for _ in range(rounds):
-        full = F.lit(factor) * rate >= 1
-        got = raked.agg(
-            F.sum("tokens").alias("all"),
-            F.sum(F.when(full, F.col("tokens")).otherwise(0)).alias("full"),
-            F.sum(F.when(full, 0.0).otherwise(F.col("raked"))).alias("open"),
-        ).first()
-        if not got["all"] or not got["open"]:
-            break
-        fresh = max(factor, (fraction * got["all"] - got["full"]) / got["open"])
-        if abs(fresh - factor) <= 1e-6 * factor:
+        worst = reduce(DataFrame.union, [sums(raked, i).select("margin", "value", off.alias("off")) for i in range(len(margins))])
+        worst = worst.agg(F.max(F.struct("off", "margin", "value")).alias("w")).first()["w"]
+        # margins that contradict each other would drive cells to 0 without coming closer
+        if worst["off"] < tolerance or worst["off"] > 0.97 * last:
             break
-        factor = fresh
-    return raked.withColumn("p", F.least(F.lit(1.0), F.lit(factor) * rate))
+        last = worst["off"]
+    if worst["off"] >= tolerance:
+        warnings.warn(f"mixing: margins do not meet: {margins[worst['margin']].column} '{worst['value']}' is {100 * worst['off']:.2f} % off its target", stacklevel=2)
+    raked = raked.withColumn("raked", taken)
+    return raked.select(none.columns).union(barred_cells)
 
 
 def drawn(key: Column, seed: int = 0) -> Column:
@@ -168,7 +206,7 @@ def mix(df: DataFrame, margins: Sequence[Margin], fraction: float = 0.5, id_col:
     rows = df.select(held, *(n.alias(k) for n, k in zip(names, keys)))
     counted = df.select(token_count(F.col(text_col)).alias("tokens"), *(n.alias(k) for n, k in zip(names, keys)))
     cells = staged(counted.groupBy(*keys).agg(F.sum("tokens").alias("tokens")), "cells")
-    chances = probabilities(rake(cells, margins), fraction).select(*keys, "p")
+    chances = rake(cells, margins, fraction=fraction).select(*keys, (F.col("raked") / F.col("tokens")).alias("p"))
     # cells without tokens have no rate of their own: they are taken at the common fraction
     chances = staged(cells.select(*keys).join(chances, keys, "left").withColumn("p", F.coalesce("p", F.lit(float(fraction)))), "chances")
     taken = rows.join(chances, keys).where(drawn(F.col(f"row.`{id_col}`"), seed) < F.col("p"))

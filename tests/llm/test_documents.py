@@ -263,6 +263,47 @@ def test_unlisted_and_null_languages_have_a_share(spark):
         assert out.select(F.min("sampling_p")).first()[0] > 0.4
 
 
+def _margin_shares(df, margins, fraction):
+    topic = mixing.lexical_topic(F.col("text"))
+    names = [F.coalesce(topic if m.column == "topic" else F.col(m.column), F.lit("")).alias(f"m{i}") for i, m in enumerate(margins)]
+    cells = df.select(mixing.token_count(F.col("text")).alias("tokens"), *names).groupBy("m0", "m1", "m2").agg(F.sum("tokens").alias("tokens"))
+    return {(r["m0"], r["m1"], r["m2"]): (r["tokens"], r["raked"]) for r in mixing.rake(cells, margins, fraction=fraction).collect()}
+
+
+@pytest.mark.parametrize("fraction", [0.5, 0.8])
+def test_margins_hold_under_the_bound(spark, fraction):
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    with pytest.warns(UserWarning, match="exceed the tokens at hand.*topic ''"):
+        cells = _margin_shares(df, catalog.MIX, fraction)
+    assert all(0 < x <= t * (1 + 1e-9) for t, x in cells.values())
+    budget = fraction * sum(t for t, _ in cells.values())
+    assert abs(sum(x for _, x in cells.values()) - budget) < 1e-3 * budget
+    for i, m in enumerate(catalog.MIX):
+        own, got = {}, {}
+        for k, (t, x) in cells.items():
+            own[k[i]], got[k[i]] = own.get(k[i], 0) + t, got.get(k[i], 0) + x
+        share = m.weights or {v: t**0.5 for v, t in own.items()}
+        full = set()
+        while True:
+            level = (budget - sum(own[v] for v in full)) / sum(s for v, s in share.items() if v not in full)
+            more = {v for v in own if v not in full and level * share[v] >= own[v]}
+            if not more:
+                break
+            full |= more
+        if m.column == "lang":
+            assert full == (set() if fraction == 0.5 else {"de", "es"})
+        for v in own:
+            want = own[v] if v in full else level * share[v]
+            assert abs(got[v] - want) <= 2e-3 * want, (m.column, v)
+
+
+def test_contradicting_margins_are_reported(spark):
+    margins = (mixing.Margin("a", {"x": 0.9, "y": 0.1}), mixing.Margin("b", {"u": 0.1, "v": 0.9}))
+    cells = spark.createDataFrame([("x", "u", 100), ("y", "v", 100)], "m0 string, m1 string, tokens bigint")
+    with pytest.warns(UserWarning, match="margins do not meet"):
+        assert all(r["raked"] > 0 for r in mixing.rake(cells, margins, fraction=0.5).collect())
+
+
 def test_mixing_odd_tables(docs):
     df = docs([(1, None), (2, ""), (None, "a b"), (4, "long words everywhere"), (4, "long words everywhere")]).withColumn("p", F.lit(1)).withColumn("m0", F.lit("x"))
     df = df.withColumn("source", F.when(F.col("doc_id") == 4, F.lit("s")))
