@@ -18,6 +18,9 @@ HREF = r"(?is)<a\s[^>]*?href\s*=\s*[\"']([^\"']*)[\"']"
 TITLE = r"(?is)<title[^>]*>([^<]*)</title>"
 H1 = r"(?is)<h1[^>]*>(.*?)</h1>"
 PARAGRAPH = r"(?is)<p(?:\s[^>]*)?>(.*?)(?:</p>|$)"
+BLOCK_EDGE = r"(?i)(?=</?(?:article|main|section|div)[\s>])"
+BLOCK_OPEN = r"(?i)^<(?:article|main|section|div)[\s>]"
+BLOCK_CLOSE = r"(?i)^</(?:article|main|section|div)[\s>]"
 ARTICLE_TYPES = r'"@?type"\s*:\s*(?:\[[^\]]*)?"(?:NewsArticle|Article)"'
 
 
@@ -68,15 +71,55 @@ def page_h1(html: Column) -> Column:
     return F.nullif(inner_text(F.regexp_extract(html, H1, 1)), F.lit(""))
 
 
+def largest_block(shown: Column) -> Column:
+    """Text of the article, main, section or div that has the most; empty without one.
+
+    A block's text includes that of blocks inside it, so only outermost ones
+    compete; one that is never closed runs to the end of the page.
+    """
+    parts = F.split(shown, BLOCK_EDGE)
+
+    def blocks(parts: Column) -> Column:
+        # number of the outermost block that each part is in; 0 outside
+        start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("n"), F.array().cast("array<int>").alias("ids"))
+
+        def step(state: Column, part: Column) -> Column:
+            opens = part.rlike(BLOCK_OPEN)
+            depth = F.when(opens, state["depth"] + 1).when(part.rlike(BLOCK_CLOSE), F.greatest(state["depth"] - 1, F.lit(0))).otherwise(state["depth"])
+            n = state["n"] + F.when(opens & (state["depth"] == 0), 1).otherwise(0)
+            return F.struct(depth.alias("depth"), n.alias("n"), F.concat(state["ids"], F.array(F.when(depth > 0, n).otherwise(0))).alias("ids"))
+
+        return F.aggregate(parts, start, step)
+
+    def text(held: Column) -> Column:
+        def one(b: Column) -> Column:
+            return inner_text(F.array_join(F.filter(held["parts"], lambda _, i: F.get(held["ids"], i) == b), ""))
+
+        numbers = F.when(held["n"] > 0, F.sequence(F.lit(1), held["n"])).otherwise(F.array().cast("array<int>"))
+        # the first of the longest
+        sized = F.transform(numbers, lambda b: X.bind(one(b), lambda t: F.struct(F.length(t).alias("size"), (-b).alias("place"), t.alias("text"))))
+        return F.coalesce(F.array_max(sized)["text"], F.lit(""))
+
+    return X.bind(parts, lambda p: X.bind(blocks(p), lambda s: X.bind(F.struct(p.alias("parts"), s["n"].alias("n"), s["ids"].alias("ids")), text)))
+
+
 def page_body(html: Column, min_chars: int = 50) -> Column:
-    """Paragraphs longer than ``min_chars``, joined by blank lines."""
+    """Paragraphs longer than ``min_chars``, joined by blank lines.
+
+    Without one, the text of the largest block; without a block, all paragraphs.
+    """
     shown = F.regexp_replace(F.coalesce(html, F.lit("")), HIDDEN, " ")
     # an unclosed paragraph ends where the next one starts
     pieces = F.regexp_extract_all(
         F.regexp_replace(shown, r"(?is)<p(?:\s[^>]*)?>", "</p><p>"), F.lit(r"(?is)<p>(.*?)(?:</p>|$)"), F.lit(1)
     )
-    kept = F.filter(F.transform(pieces, inner_text), lambda p: F.length(p) > min_chars)
-    return F.array_join(kept, "\n\n")
+
+    def body(texts: Column) -> Column:
+        kept = F.filter(texts, lambda p: F.length(p) > min_chars)
+        every = F.array_join(F.filter(texts, lambda p: p != ""), "\n\n")
+        return F.when(F.size(kept) > 0, F.array_join(kept, "\n\n")).otherwise(F.coalesce(F.nullif(largest_block(shown), F.lit("")), every))
+
+    return X.bind(F.transform(pieces, inner_text), body)
 
 
 def origin(url: Column) -> Column:

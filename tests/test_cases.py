@@ -213,3 +213,20 @@ def test_date_element_among_other_classes(spark):
     html = '<html><body><p class="news date big">2024-01-05 10:00</p></body></html>'
     as_of = F.lit("2024-01-31 12:00:00").cast("timestamp")
     assert one(spark, [(html,)], "h string", d=pages.publish_date(F.col("h"), as_of))[0]["d"] is not None
+
+
+def test_page_body_without_long_paragraphs(spark):
+    from newsloom.functions import html as page
+
+    long = "Only div elements hold this article's text, " * 3
+    cases = [
+        (f"<body><div>menu</div><DIV class='a'>{long}<div>inner</div> end</DIV><div>foot</div></body>", f"{long}inner end"),
+        ("<section>short</section><article>a longer text<br>here", "a longer text here"),
+        ("<p>one</p><p></p><p>two</p>", "one\n\ntwo"),
+        (f"<div>{'x' * 400}<p>{'y' * 51}</p></div>", "y" * 51),
+        (f"</div><script><div>{'x' * 99}</div></script><div>seen</div>", "seen"),
+        (None, ""),
+    ]
+    df = spark.createDataFrame([(i, h) for i, (h, _) in enumerate(cases)], "i int, html string")
+    got = {r["i"]: r["body"] for r in df.select("i", page.page_body(page.F.col("html")).alias("body")).collect()}
+    assert [got[i] for i in range(len(cases))] == [want for _, want in cases]
