@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -44,20 +46,28 @@ def build_session(app: str = "newsloom", master: str | None = None, **extra: str
     return builder.getOrCreate()
 
 
+# Folder of each local application that names none; the setting itself is static.
+_LOCAL_FOLDERS: dict[str, str] = {}
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """Folder for written intermediate tables and stream state.
 
     The cluster names a shared folder in ``spark.checkpoint.dir``.  Only a
     session in local mode, as in tests, gets a folder of its own when that is
-    unset; elsewhere a driver-local folder would not be seen by executors.
+    unset, which goes when the process ends; elsewhere a driver-local folder
+    would not be seen by executors.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         master = spark.conf.get("spark.master", "")
         if not master.startswith("local") or master.startswith("local-cluster"):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        folder = tempfile.mkdtemp(prefix="spark-", dir=os.environ.get("TMPDIR", "/tmp"))
-        spark.conf.set("spark.checkpoint.dir", folder)
+        app = spark.conf.get("spark.app.id")
+        folder = _LOCAL_FOLDERS.get(app)
+        if not folder:
+            folder = _LOCAL_FOLDERS[app] = tempfile.mkdtemp(prefix="spark-", dir=os.environ.get("TMPDIR", "/tmp"))
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
     return folder
 
 

@@ -5,9 +5,9 @@ import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
-from newsloom.session import build_session  # noqa: E402
+from sample_data import SF_DIR  # noqa: E402
 
-SF_DIR = "/root/testdata/sf0.001"
+from newsloom.session import build_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")

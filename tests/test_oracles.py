@@ -2,7 +2,7 @@
 
 import duckdb
 import pytest
-from conftest import SF_DIR
+from sample_data import SF_DIR
 
 from newsloom import catalog
 from newsloom.fixtures import BASE_TABLES

@@ -2,14 +2,17 @@
 
 import random
 from datetime import datetime, timedelta
+from pathlib import Path
+from types import SimpleNamespace
 
 import pytest
-from conftest import SF_DIR
 from pyspark.sql import Window
 from pyspark.sql import functions as F
+from sample_data import SF_DIR
 
 from newsloom import catalog
 from newsloom.operators import common, dedup, feed, profiles, vectors
+from newsloom.session import checkpoint_dir, cut_lineage
 
 
 def test_clamped_walk_equals_loop(spark, monkeypatch):
@@ -218,3 +221,14 @@ def test_no_all_pairs_join_and_no_python(spark, key):
 def test_scans_are_pruned(spark):
     plan = plan_of(spark, "published_on_day")
     assert "ReadSchema: struct<event_id:bigint,ts:timestamp_ntz>" in plan
+
+
+def test_checkpoint_folder_where_none_is_named(spark):
+    unset = {"spark.master": "local[2]", "spark.app.id": "app-1"}
+    folder = checkpoint_dir(SimpleNamespace(conf=unset))
+    assert Path(folder).is_dir()
+    assert checkpoint_dir(SimpleNamespace(conf=dict(unset))) == folder
+    assert checkpoint_dir(SimpleNamespace(conf=unset | {"spark.checkpoint.dir": "/shared"})) == "/shared"
+    with pytest.raises(ValueError):
+        checkpoint_dir(SimpleNamespace(conf=unset | {"spark.master": "spark://a:7077"}))
+    assert cut_lineage(spark.range(3)).count() == 3
