@@ -123,9 +123,53 @@ FROM (SELECT *, list_filter(string_split(p, '/'), lambda x: x <> '') AS s FROM (
 register("article_page_score",
          lambda t: shape(pages.article_page_score(_tagged(t)).select("page_id", "text_len", "has_json_ld", "og_type", "is_bad_url", "score", "is_article")),
          "", "SELECT page_id, text_len, has_json_ld, og_type, is_bad_url, score, score >= 2 AS is_article FROM scored", f"{TAGGED}, {DATED}, {SCORE}")
-register("page_fields", lambda t: shape(pages.page_fields(_tagged(t)).select("page_id", "title", "h1", "body", "image_url")), "",
+
+
+# --- pages of known sites and of every fallback, made around the visible text of each page --------
+# kind by page_id % 6: 0-2 pages of sites, 3 blocks without paragraphs, 4 short paragraphs
+# without blocks, 5 pictures only.  Parts: address, then what comes before the text, after it,
+# with # for the id
+_MADE = (
+    ("https://www.gazeta.uz/ru/2024/01/05/n#/", "<title>Site</title><h1>First</h1><div class='top'><p>This paragraph of a side column is longer than fifty characters.</p></div>"
+     "<h1 class='big article__title'>Title #</h1><section class='x article__content y'><section><p>", "</p></section><p>short</p></section><p>Another long paragraph that stands after the article's own.</p>"
+     "<img src='/img/small.png'><img src='/img/photo-#.jpg?x=1' width='800'>"),
+    ("https://daryo.uz/n#", "<title>Name #</title><div>menu</div><article><b>", "</b></article><footer>end</footer><img src='/img/a.jpg'><figure class='f'><img data-src='//cdn.example.org/#.webp'></figure>"),
+    ("https://kun.uz/news/n#", "<meta property='og:title' content='Head #'><h1>H</h1><DIV class='article-text'><div>a</div><p>", "</p></DIV><p>This paragraph of a side column is longer than fifty characters.</p>"),
+    ("https://site.example.org/a/n#", "<h1>Only #</h1><div>short</div><div class='main'><div>", "</div> end</div><div>tail</div><img srcset='b/1.jpg 400w, b/#.jpg 800w'>"),
+    ("https://site.example.org/b/n#", "<p>one <i>two</i></p><p>three</p><span>", "</span><img src='/logo.jpg'>"),
+    ("https://site.example.org/c/n#", "<img width='80' src='/img/tiny.jpg'><!-- ", " -->"),
+)
+
+
+def _plain(html):
+    return F.regexp_replace(H.visible_text(html), "[<>&-]", "")
+
+
+def _fallback_pages(t):
+    i = F.col("page_id")
+    kind = (i % len(_MADE) + 1).cast("int")
+
+    def part(k):
+        return F.replace(F.element_at(F.array(*[F.lit(m[k]) for m in _MADE]), kind), F.lit("#"), i.cast("string"))
+
+    return t.pages.select("page_id", part(0).alias("url"), F.concat(part(1), _plain(F.col("html")), part(2)).alias("html"))
+
+
+FALLBACKS = f"""made AS (SELECT page_id, page_id AS i, page_id % 6 AS kind, {D.strip(D.collapse(f"regexp_replace({visible('html')}, '[<>&-]', '', 'g')"))} AS x FROM pages),
+expected AS (SELECT page_id,
+  CASE kind WHEN 0 THEN 'Title ' || i WHEN 1 THEN 'Name ' || i WHEN 2 THEN 'Head ' || i WHEN 3 THEN 'Only ' || i END AS title,
+  CASE kind WHEN 0 THEN 'First' WHEN 2 THEN 'H' WHEN 3 THEN 'Only ' || i END AS h1,
+  CASE kind WHEN 0 THEN CASE WHEN len(x) > 40 THEN x WHEN x = '' THEN 'short' ELSE x || chr(10) || chr(10) || 'short' END
+    WHEN 1 THEN CASE WHEN x = '' THEN 'menu' ELSE x END WHEN 2 THEN CASE WHEN x = '' THEN 'a' ELSE x END
+    WHEN 3 THEN CASE WHEN x = '' THEN 'short' ELSE x || ' end' END WHEN 4 THEN 'one two' || chr(10) || chr(10) || 'three' ELSE '' END AS body,
+  CASE kind WHEN 0 THEN 'https://www.gazeta.uz/img/photo-' || i || '.jpg' WHEN 1 THEN 'https://cdn.example.org/' || i || '.webp'
+    WHEN 3 THEN 'https://site.example.org/a/b/' || i || '.jpg' WHEN 5 THEN 'https://site.example.org/img/tiny.jpg' END AS image_url FROM made)"""
+FIELD_NAMES = ("page_id", "title", "h1", "body", "image_url")
+register("page_fields", lambda t: shape(pages.page_fields(_tagged(t)).select(*FIELD_NAMES)), "",
          f"SELECT page_id, title, h1, body, CASE WHEN page_id % 8 BETWEEN 2 AND 6 THEN {D.url_part('url', 1)} || '://' || {D.url_part('url', 2)} || '/pic/' || page_id || '.jpg' END AS image_url FROM fields",
          f"{TAGGED}, {DATED}, {SCORE}, {FIELDS}")
+register("page_fields_sites", lambda t: shape(pages.page_fields(_fallback_pages(t)).select(*FIELD_NAMES)), "",
+         "SELECT page_id, title, h1, body, image_url FROM expected", FALLBACKS)
 
 CLEANED = """regexp_replace({0}, '\\S+@\\S+', '', 'g')"""
 

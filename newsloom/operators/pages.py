@@ -53,11 +53,19 @@ LEGAL_PHRASES = (
 )
 LEGAL_SEPARATORS = ("\n\n", "\r\n\r\n", ". ", "? ", "! ", "\n")
 LEGAL_HEAD_CHARS = 200
+BAD_PARAGRAPH_PHRASES = (
+    "izoh qoldirish", "ro‘yxatdan", "xato topdingizmi", "daryo internet-nashri", "daryo internet nashr", "internet-nashr",
+    "cookie", "guvohnoma", "elektron manzil", "matnli materiallarni to‘liq ko‘chirish", "©", "o‘zmaa",
+    "axborot va ommaviy kommunikatsiyalar agentligi",
+)
+LICENSE_NUMBER = r"\d{3,6}-sonli"
 AD_KEYWORDS = (
     "reklama", "aksiya", "chegirma", "hamkorlik", "maxsus taklif", "promo", "sponsor", "sponsorlik", "реклама", "акция",
     "скидка", "партн", "партнёр", "партнер", "партнерство", "advertisement", "promotion", "trade-in", "trade in",
 )
 NAV_MARKERS = ("kabinet", "bosh sahifa", "tasma", "menyu", "videolar")
+COMMENT_MARKERS, MAKER_MARKERS = ("izoh", "ro'yxatdan", "ro‘yxatdan"), ("ishlab chiquvchi", "ishlab chiqaruvchi")
+RIGHTS_MARKERS, FOOTER_MARKERS = ("©", "copyright"), ("ishlab", "izoh")
 DATE_META = ("article:published_time", "date", "datePublished", "pubdate")
 TODAY_WORDS, YESTERDAY_WORDS = ("today", "сегодня", "bugun"), ("yesterday", "вчера", "kecha")
 HOURS_AGO = r"(\d+)\s*(?:hours|hour|час|часа|soat|soat oldin|oldin)"
@@ -124,11 +132,17 @@ def article_page_score(pages: DataFrame) -> DataFrame:
 
 
 def page_fields(pages: DataFrame) -> DataFrame:
-    """Add ``title``, ``h1``, ``body`` and ``image_url``."""
-    html = F.col("html")
-    image = F.coalesce(H.meta_content(html, ["og:image"]), H.meta_content(html, ["twitter:image"]))
-    image = F.regexp_replace(H.join_url(F.col("url"), image), r"[?#].*$", "")
-    return pages.withColumns({"title": H.page_title(html), "h1": H.page_h1(html), "body": H.page_body(html), "image_url": image})
+    """Add ``title``, ``h1``, ``body`` and ``image_url``: by the selectors of known sites, else by general rules."""
+    html, url = F.col("html"), F.col("url")
+    host = H.bare_host(url)
+    return pages.withColumns(
+        {
+            "title": H.page_title(html, host),
+            "h1": H.page_h1(html),
+            "body": H.page_body(html, host),
+            "image_url": H.page_image(html, url, host),
+        }
+    )
 
 
 def _drop_legal_block(text: Column) -> Column:
@@ -208,11 +222,8 @@ def boilerplate_filter(text: Column, min_chars: int = 200) -> Column:
 
 def good_paragraph(text: Column) -> Column:
     """A paragraph of 50 or more characters without interface or legal phrases."""
-    bad = ("izoh qoldirish", "ro‘yxatdan", "xato topdingizmi", "daryo internet-nashri", "daryo internet nashr", "internet-nashr",
-           "cookie", "guvohnoma", "elektron manzil", "matnli materiallarni to‘liq ko‘chirish", "©", "o‘zmaa",
-           "axborot va ommaviy kommunikatsiyalar agentligi")
     low = F.lower(X.strip(F.coalesce(text, F.lit(""))))
-    return (F.length(low) >= 50) & ~X.contains_any(low, bad) & ~low.rlike(r"\d{3,6}-sonli")
+    return (F.length(low) >= 50) & ~X.contains_any(low, BAD_PARAGRAPH_PHRASES) & ~low.rlike(LICENSE_NUMBER)
 
 
 def _absolute(text: Column, zone: str) -> Column:
@@ -301,12 +312,10 @@ def ad_flag(text: Column, title: Column) -> Column:
     """Promotional or navigation page by keyword rules."""
     both = F.lower(F.concat_ws(" ", F.coalesce(text, F.lit("")), F.coalesce(title, F.lit(""))))
     nav = X.contains_any(both, NAV_MARKERS)
-    comments = X.contains_any(both, ("izoh", "ro'yxatdan", "ro‘yxatdan"))
-    maker = X.contains_any(both, ("ishlab chiquvchi", "ishlab chiqaruvchi"))
-    rights = X.contains_any(both, ("©", "copyright"))
-    return (
-        X.contains_any(both, AD_KEYWORDS) | (nav & comments) | maker | (rights & (X.contains_any(both, ("ishlab", "izoh")) | nav))
-    )
+    comments = X.contains_any(both, COMMENT_MARKERS)
+    maker = X.contains_any(both, MAKER_MARKERS)
+    rights = X.contains_any(both, RIGHTS_MARKERS)
+    return X.contains_any(both, AD_KEYWORDS) | (nav & comments) | maker | (rights & (X.contains_any(both, FOOTER_MARKERS) | nav))
 
 
 def js_rendered_flag(html: Column) -> Column:
@@ -374,18 +383,7 @@ def page_images(pages: DataFrame) -> DataFrame:
     metas = F.array_compact(F.array(
         H.meta_content(html, ["og:image"]), H.meta_content(html, ["twitter:image"]), F.nullif(H.attribute(link, "href"), F.lit(""))
     ))
-    imgs = H.all_matches(html, r"(?is)<img\s[^>]*>")
-
-    def largest(tag: Column) -> Column:
-        parts = F.filter(F.transform(F.split(H.attribute(tag, "(?:data-)?srcset"), ","), F.trim), lambda p: p != "")
-        sized = F.transform(
-            parts,
-            lambda p: F.struct(
-                F.coalesce(F.nullif(F.regexp_extract(p, r"\s(\d{1,9})[wWx]$", 1), F.lit("")).cast("int"), F.lit(0)).alias("n"),
-                F.substring_index(p, " ", 1).alias("u"),
-            ),
-        )
-        return F.array_max(sized)["u"]
+    imgs = H.all_matches(html, H.IMAGE_TAG)
 
     def big_enough(tag: Column) -> Column:
         def size(name: str) -> Column:
@@ -396,11 +394,11 @@ def page_images(pages: DataFrame) -> DataFrame:
         )
 
     def source(tag: Column) -> Column:
-        return F.coalesce(*[F.nullif(F.trim(H.attribute(tag, a)), F.lit("")) for a in ("src", "data-src", "data-original", "data-lazy-src", "data-image")])
+        return H.source_of(tag, ("src", "data-src", "data-original", "data-lazy-src", "data-image"))
 
     groups = [
         F.transform(metas, candidate("meta")),
-        F.transform(F.array_compact(F.transform(imgs, largest)), candidate("srcset")),
+        F.transform(F.array_compact(F.transform(imgs, H.largest_in_srcset)), candidate("srcset")),
         F.transform(F.array_compact(F.transform(F.filter(imgs, big_enough), source)), candidate("img")),
         F.transform(F.filter(H.all_matches(html, BLOB_IMAGE, 1), I.news_photo), candidate("blob")),
     ]

@@ -230,3 +230,54 @@ def test_page_body_without_long_paragraphs(spark):
     df = spark.createDataFrame([(i, h) for i, (h, _) in enumerate(cases)], "i int, html string")
     got = {r["i"]: r["body"] for r in df.select("i", page.page_body(page.F.col("html")).alias("body")).collect()}
     assert [got[i] for i in range(len(cases))] == [want for _, want in cases]
+
+
+def test_page_body_takes_time_in_proportion(spark):
+    import time
+
+    from newsloom.functions import html as page
+
+    def seconds(blocks):
+        text = "".join(f"<div>block {i} <b>x</b></div>" for i in range(blocks)) + "<div>" + "the largest one " * 9 + "</div>"
+        df = spark.createDataFrame([(text,)], "html string")
+        begun = time.perf_counter()
+        (row,) = df.select(page.page_body(page.F.col("html")).alias("body")).collect()
+        assert row["body"] == ("the largest one " * 9).strip()
+        return time.perf_counter() - begun
+
+    seconds(100)
+    assert seconds(32_000) < 12 * seconds(8_000) + 1
+
+
+def test_site_selectors(spark):
+    from newsloom.functions import html as page
+
+    cases = [
+        ("h1.article__title", "<h1>a</h1><h1 class='big article__title'>b<br>c</h1>", "b c"),
+        (".content", "<div class='content-x'>a</div><section id=x class=\"content\"><section>b</section> c</section>d", "b c"),
+        (".content", "<div class='content'><DIV>b</DIV><divider>c</divider>", "b c"),
+        ("div[itemprop=articleBody]", "<p itemprop='articleBody'>a</p><div itemprop=articleBody>b</div>", "b"),
+        ("article", "<articles>a</articles><article>b</article>", "b"),
+        ("article", "<div>a</div>", None),
+        (".content", None, None),
+    ]
+    for selector, html, want in cases:
+        df = spark.createDataFrame([(html,)], "html string")
+        (row,) = df.select(page.inner_text(page.element(page.F.col("html"), page.F.lit(page.open_tag(selector)))).alias("text")).collect()
+        assert row["text"] == want, selector
+
+
+def test_first_large_image(spark):
+    from newsloom.functions import html as page
+
+    cases = [
+        ("<img src='/a/logo.png'><img src='small.jpg'><img width='100' src='/b.jpg'><img data-src='c.webp?x=1'>", "https://h.org/n/c.webp"),
+        ("<img src='/x.jpg'><img srcset='/img/1.jpg 300w, /img/2.jpg 900w'>", "https://h.org/img/2.jpg"),
+        ("<img width=90 src='/only.jpg'>", "https://h.org/only.jpg"),
+        ("<img src='data:image/png;base64,xx'><img src='/page'>", None),
+        ("<p>none</p>", None),
+        (None, None),
+    ]
+    df = spark.createDataFrame([(i, h) for i, (h, _) in enumerate(cases)], "i int, html string")
+    got = {r["i"]: r["u"] for r in df.select("i", page.large_image(page.F.col("html"), page.F.lit("https://h.org/n/p.html")).alias("u")).collect()}
+    assert [got[i] for i in range(len(cases))] == [want for _, want in cases]
