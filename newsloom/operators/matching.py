@@ -1,18 +1,27 @@
-"""Substring matching between a text table and a term table, as an equi-join.
-
-A text that contains a term contains the term's first three characters.  Texts
-are cut into their distinct three-character pieces (two or one where terms are
-that short), pieces meet terms by hash join, and the few candidates are
-verified.  Nothing is compared all-to-all, whatever the number of terms.
+"""Substring matching between a text table and a term table.
+
+Term lists of a checked size become one prefix-tree pattern: each text is read
+once, in its row, and only its hits leave the row.  For longer lists it is an
+equi-join: a text that contains a term contains the term's first three
+characters, so texts are cut into their distinct three-character pieces (two or
+one where terms are that short), pieces meet terms by hash join, and the few
+candidates are verified.  Both give the same rows, and nothing is compared
+all-to-all, whatever the number of terms.
 """
 
 from __future__ import annotations
 
+import json
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.functions.texts import collapse_space, strip
 
+# Term lists up to this size are compiled into a pattern; the driver sees no more of a longer one.
+MAX_COMPILED_TERMS, MAX_COMPILED_CHARS, MAX_TERM_CHARS = 2_000, 50_000, 200
+
 # Topic aliases used when articles are searched.
 TOPIC_ALIASES = {
     "cs": ("counter-strike", "counter strike", "counter-strike 2", "cs2", "esports"),
@@ -23,6 +32,8 @@ TOPIC_ALIASES = {
 }
 ALIAS_ONLY_TOPICS = ("cs",)
 SHORT_VARIANT = 2
+# A short variant stands between characters other than these.
+BOUND_BEFORE, BOUND_AFTER = "(?<![a-z0-9])", "(?![a-z0-9])"
 
 
 def pieces(text: Column, size: int) -> Column:
@@ -30,12 +41,64 @@ def pieces(text: Column, size: int) -> Column:
     return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1)))
 
 
+def small_list(terms: DataFrame, term: str) -> list[str] | None:
+    """The distinct non-empty terms in order, or nothing if they are too many to compile."""
+    rows = terms.select(F.col(term).alias("t")).where("t <> ''").distinct().limit(MAX_COMPILED_TERMS + 1).collect()
+    found = sorted(r["t"] for r in rows)
+    small = len(found) <= MAX_COMPILED_TERMS and sum(map(len, found)) <= MAX_COMPILED_CHARS
+    return found if small and all(len(t) <= MAX_TERM_CHARS for t in found) else None
+
+
+def _quoted(char: str) -> str:
+    return char if char.isalnum() or ord(char) > 127 else "\\" + char
+
+
+def prefix_tree_pattern(terms: Sequence[str]) -> str:
+    """Pattern of the longest term at a place, each shared beginning written once."""
+    tree: dict = {}
+    for term in terms:
+        node = tree
+        for char in term:
+            node = node.setdefault(char, {})
+        node[""] = {}
+
+    def written(node: dict) -> str:
+        rest = [_quoted(c) + written(child) for c, child in node.items() if c]
+        if not rest:
+            return ""
+        if len(rest) == 1 and "" not in node:
+            return rest[0]
+        return f"(?:{'|'.join(rest)})" + ("?" if "" in node else "")
+
+    return written(tree)
+
+
+def terms_in(text: Column, terms: Sequence[str], before: str = "", after: str = "") -> Column:
+    """Distinct terms that occur in a text, by one pass; ``before`` and ``after`` are zero-width conditions around a term."""
+    if not terms:
+        return F.array().cast("array<string>")
+    firsts = "".join(sorted({_quoted(t[0]) for t in terms}))
+    pattern = rf"(?s){before}(?=[{firsts}])(?=({prefix_tree_pattern(terms)}){after})"
+    hits = F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)))
+    # a longer term hides those it begins with
+    listed = set(terms)
+    hidden = {t: [t[:k] for k in range(1, len(t)) if t[:k] in listed] for t in terms}
+    hidden = {t: [*shorter, t] for t, shorter in hidden.items() if shorter}
+    if not hidden:
+        return hits
+    table = F.from_json(F.lit(json.dumps(hidden)), "map<string,array<string>>")
+    return F.array_distinct(F.flatten(F.transform(hits, lambda t: F.coalesce(F.try_element_at(table, t), F.array(t)))))
+
+
 def substring_matches(texts: DataFrame, text_id: str, text: str, terms: DataFrame, term: str, sizes: tuple[int, ...] = (3,)) -> DataFrame:
     """Distinct (text_id, term) where the text contains the term.
 
-    ``sizes`` lists the piece lengths to try: 3 for terms of three or more
-    characters, 1 and 2 for shorter ones.
+    ``sizes`` lists the piece lengths to try where terms are joined: 3 for terms
+    of three or more characters, 1 and 2 for shorter ones.
     """
+    listed = small_list(terms, term)
+    if listed is not None:
+        return texts.select(text_id, F.explode(terms_in(F.col(text), listed)).alias(term)).distinct()
     keyed = terms.select(F.col(term).alias("_term"), F.substring(term, 1, 3).alias("_key")).where("_term <> ''").distinct()
     cut = F.array_distinct(F.concat(*[pieces(F.col(text), n) for n in sizes]))
     exploded = texts.select(text_id, F.explode(cut).alias("_key"))
@@ -94,10 +157,17 @@ def match_articles_topics(articles: DataFrame, variants: DataFrame, id_col: str,
     of up to two characters must stand alone, longer ones may be part of a word.
     The topic "general" matches every article and needs no join: see callers.
     """
-    hits = substring_matches(articles, id_col, haystack, variants.select("variant"), "variant", (1, 2, 3))
-    short = hits.where(F.length("variant") <= SHORT_VARIANT)
-    quoted = F.regexp_replace("variant", r"([^\p{L}\p{N}])", r"\\$1")
-    bounded = F.concat(F.lit("(?<![a-z0-9])"), quoted, F.lit("(?![a-z0-9])"))
-    alone = short.join(articles.select(id_col, haystack), id_col).where(F.rlike(F.col(haystack), bounded)).select(id_col, "variant")
-    kept = hits.where(F.length("variant") > SHORT_VARIANT).unionByName(alone)
+    listed = small_list(variants, "variant")
+    if listed is not None:
+        # terms of one length hide none of each other, so each short length has a pass of its own
+        found = [terms_in(F.col(haystack), [v for v in listed if len(v) > SHORT_VARIANT])]
+        found += [terms_in(F.col(haystack), [v for v in listed if len(v) == n], BOUND_BEFORE, BOUND_AFTER) for n in range(1, SHORT_VARIANT + 1)]
+        kept = articles.select(id_col, F.explode(F.concat(*found)).alias("variant"))
+    else:
+        hits = substring_matches(articles, id_col, haystack, variants.select("variant"), "variant", (1, 2, 3))
+        short = hits.where(F.length("variant") <= SHORT_VARIANT)
+        quoted = F.regexp_replace("variant", r"([^\p{L}\p{N}])", r"\\$1")
+        bounded = F.concat(F.lit(BOUND_BEFORE), quoted, F.lit(BOUND_AFTER))
+        alone = short.join(articles.select(id_col, haystack), id_col).where(F.rlike(F.col(haystack), bounded)).select(id_col, "variant")
+        kept = hits.where(F.length("variant") > SHORT_VARIANT).unionByName(alone)
     return kept.join(variants.select("topic", "variant"), "variant").select(id_col, "topic").distinct()

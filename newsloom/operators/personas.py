@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from newsloom.operators.common import first_row, top_rows
 from newsloom.operators.matching import substring_matches
+from newsloom.session import cut_lineage
 
 TOPIC_KEYS = ("all_topics", "topics", "custom_topics")
 
@@ -110,14 +111,23 @@ def _keys(people: DataFrame, topics: Column) -> DataFrame:
 
 
 def _targeted(targets: DataFrame, keyed: DataFrame) -> DataFrame:
-    """(user_id, ai_news_id) by equality of topic, profession and country; place by substring."""
+    """(label_id, group_id) by equality of topic, profession and country; place by substring."""
     on = (
         (F.col("t_topic") == F.col("k_topic"))
         & (F.col("t_profession") == F.col("k_profession"))
         & (F.col("t_country") == F.col("k_country"))
         & ((F.col("t_geo") == "") | F.contains(F.col("geo"), F.col("t_geo")))
     )
-    return targets.join(keyed, on).select("user_id", "ai_news_id", "ai_score")
+    return targets.join(keyed, on).select("label_id", "group_id")
+
+
+def _any_of_three(targets: DataFrame, groups: DataFrame) -> DataFrame:
+    """(label_id, group_id) where profession, place or country alone agree."""
+    cols = ("label_id", "group_id")
+    by_job = targets.where("t_profession <> ''").join(groups, F.col("t_profession") == F.col("profession")).select(*cols)
+    by_country = targets.where("t_country <> ''").join(groups, F.col("t_country") == F.col("country")).select(*cols)
+    places = substring_matches(groups, "group_id", "geo", targets.select("t_geo"), "t_geo", (1, 2, 3))
+    return by_job.unionByName(by_country).unionByName(targets.join(places, "t_geo").select(*cols)).distinct()
 
 
 def feed_fanout(articles: DataFrame, users: DataFrame, existing: DataFrame) -> DataFrame:
@@ -125,30 +135,43 @@ def feed_fanout(articles: DataFrame, users: DataFrame, existing: DataFrame) -> D
 
     Tier 1 matches topic, profession, place and country; articles without any
     match try tier 2, where the topic may occur anywhere in the interests; the
-    rest try tier 3: profession, place or country alone.  Every active user also
-    carries the topic "general", so all topic tests are hash joins.  Rows
-    already in the feed are left out at the end.
+    rest try tier 3: profession, place or country alone.  Rows already in the
+    feed are left out at the end.
+
+    Tiers depend on an article's label and a user's attributes only.  So they
+    are decided between distinct labels and distinct groups of like users, each
+    tier written once; articles and users join the matched pairs by two ids.
+    Every group also carries the topic "general", so all topic tests are hash
+    joins.
     """
-    people = audience(users)
-    targets = article_targets(articles)
-    with_general = F.array_distinct(F.concat("topics", F.array(F.lit("general"))))
-    tier1 = _targeted(targets, _keys(people, with_general))
+    facts = ("topics", "interests_text", "profession", "geo", "country")
+    parts = ("t_topic", "t_profession", "t_geo", "t_country")
+    people = audience(users).withColumn("group_id", F.md5(F.to_json(F.struct(*facts))))
+    targets = article_targets(articles).withColumn("label_id", F.md5(F.to_json(F.struct(*parts))))
+    groups = cut_lineage(people.select("group_id", *facts).dropDuplicates(["group_id"]))
+    labels = cut_lineage(targets.select("label_id", *parts).distinct())
 
-    rest2 = targets.join(tier1.select("ai_news_id").distinct(), "ai_news_id", "left_anti")
-    named = substring_matches(people, "user_id", "interests_text", rest2.select("t_topic"), "t_topic", (1, 2, 3))
-    relaxed = people.join(named.withColumnRenamed("t_topic", "k_named"), "user_id")
-    tier2 = _targeted(rest2, _keys(relaxed, F.array("k_named"))).distinct()
+    def left(tried: DataFrame, matched: DataFrame) -> DataFrame:
+        return cut_lineage(tried.join(matched.select("label_id").distinct(), "label_id", "left_anti"))
 
-    rest3 = rest2.join(tier2.select("ai_news_id").distinct(), "ai_news_id", "left_anti")
-    cols = ("user_id", "ai_news_id", "ai_score")
-    by_job = rest3.where("t_profession <> ''").join(people, F.col("t_profession") == F.col("profession")).select(*cols)
-    by_country = rest3.where("t_country <> ''").join(people, F.col("t_country") == F.col("country")).select(*cols)
-    places = substring_matches(people, "user_id", "geo", rest3.select("t_geo"), "t_geo", (1, 2, 3))
-    by_place = rest3.join(places, "t_geo").select(*cols)
-    tier3 = by_job.unionByName(by_country).unionByName(by_place).distinct()
+    with_general = F.array_distinct(F.concat("topics", F.array(F.lit("general"))))
+    tier1 = cut_lineage(_targeted(labels, _keys(groups, with_general)))
+    rest2 = left(labels, tier1)
+    # a blank topic occurs in all interests
+    named = substring_matches(groups, "group_id", "interests_text", rest2.select("t_topic"), "t_topic", (1, 2, 3)).unionByName(
+        groups.select("group_id", F.lit("").alias("t_topic"))
+    )
+    relaxed = groups.join(named.withColumnRenamed("t_topic", "k_named"), "group_id")
+    tier2 = cut_lineage(_targeted(rest2, _keys(relaxed, F.array("k_named"))).distinct())
+    tier3 = _any_of_three(left(rest2, tier2), groups)
 
     tiers = [df.withColumn("tier", F.lit(i)) for i, df in enumerate((tier1, tier2, tier3), 1)]
-    matched = tiers[0].unionByName(tiers[1]).unionByName(tiers[2])
+    pairs = tiers[0].unionByName(tiers[1]).unionByName(tiers[2])
+    matched = (
+        pairs.join(targets.select("label_id", "ai_news_id", "ai_score"), "label_id")
+        .join(people.select("group_id", "user_id"), "group_id")
+        .select("user_id", "ai_news_id", "ai_score", "tier")
+    )
     return matched.join(existing.select("user_id", "ai_news_id"), ["user_id", "ai_news_id"], "left_anti")
 
 

@@ -1,6 +1,7 @@
 """Literal cases of the published behaviour."""
 
 import html as stdlib_html
+import random
 from datetime import datetime
 
 import pytest
@@ -281,3 +282,41 @@ def test_first_large_image(spark):
     df = spark.createDataFrame([(i, h) for i, (h, _) in enumerate(cases)], "i int, html string")
     got = {r["i"]: r["u"] for r in df.select("i", page.large_image(page.F.col("html"), page.F.lit("https://h.org/n/p.html")).alias("u")).collect()}
     assert [got[i] for i in range(len(cases))] == [want for _, want in cases]
+
+
+@pytest.mark.parametrize("compiled", [True, False])
+def test_substring_matches_equal_plain_search(spark, monkeypatch, compiled):
+    rng = random.Random(4)
+    letters = "abc+.é日 "
+    terms = sorted({"".join(rng.choices(letters, k=rng.randrange(1, 5))) for _ in range(60)} | {"a", "ab", "abc", "a|b", "^", "[c]", "\\d"})
+    texts = [(i, "".join(rng.choices(letters, k=rng.randrange(0, 30)))) for i in range(80)] + [(99, None), (100, "x^[c]\\d a|b")]
+    if not compiled:
+        monkeypatch.setattr(matching, "MAX_COMPILED_TERMS", 3)
+    df = spark.createDataFrame(texts, "id int, hay string")
+    listed = spark.createDataFrame([(t,) for t in [*terms, "", None, "a"]], "term string")
+    got = [tuple(r) for r in matching.substring_matches(df, "id", "hay", listed, "term", (1, 2, 3)).collect()]
+    assert sorted(got) == sorted((i, t) for i, x in texts if x is not None for t in terms if t in x)
+    assert matching.substring_matches(df, "id", "hay", listed.limit(0), "term").count() == 0
+
+
+def test_fanout_falls_back_by_label(spark):
+    users = spark.createDataFrame(
+        [
+            (1, True, '{"all_topics":["tech"],"profession":"Builder"}', "Paris, France", "fr"),
+            (2, True, '{"topics":["chess club"]}', "Berlin", "de"),
+            (3, True, '{"all_topics":["tech"],"profession":"builder"}', "Paris, France", "FR"),
+            (4, False, '{"all_topics":["tech"]}', "Paris", "fr"),
+            (5, True, None, None, None),
+        ],
+        "user_id long, is_active boolean, interests string, location string, country_code string",
+    )
+    labels = ["tech", "general", "chess", "opera|builder", "opera", "tech||paris|fr", "tech|builder|rome", "|builder|", None, "opera|nobody|berlin"]
+    articles = spark.createDataFrame([(i, 1.0, p) for i, p in enumerate(labels)], "ai_news_id long, ai_score double, target_persona string")
+    seen = spark.createDataFrame([(1, 0), (9, 9)], "user_id long, ai_news_id long")
+    got = {}
+    for r in personas.feed_fanout(articles, users, seen).collect():
+        got.setdefault(r["ai_news_id"], []).append((r["user_id"], r["tier"]))
+    assert {k: sorted(v) for k, v in got.items()} == {
+        0: [(3, 1)], 1: [(u, 1) for u in (1, 2, 3, 5)], 2: [(2, 2)], 3: [(1, 3), (3, 3)], 5: [(1, 1), (3, 1)], 6: [(1, 3), (3, 3)],
+        7: [(1, 2), (3, 2)], 8: [(u, 1) for u in (1, 2, 3, 5)], 9: [(2, 3)],
+    }
