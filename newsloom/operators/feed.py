@@ -89,11 +89,15 @@ def candidate_facts(candidates: DataFrame) -> DataFrame:
         "final_title",
         F.length(F.trim("final_text")).alias("text_len"),
         "candidate_pos",
+        # the list is the same for all users, and so is a row's place in its topic
+        F.row_number().over(Window.partitionBy(F.lower("category")).orderBy("candidate_pos")).alias("topic_count"),
     )
 
 
 # what scoring and placement read; titles and addresses rejoin the placed rows
-SCORING_COLUMNS = ("ai_news_id", "category", "region", "language", "ai_score", "created_at", "text_len", "image_ok", "candidate_pos")
+SCORING_COLUMNS = (
+    "ai_news_id", "category", "region", "language", "ai_score", "created_at", "text_len", "image_ok", "candidate_pos", "topic_count",
+)
 
 
 def attach_candidates(users: DataFrame, facts: DataFrame) -> DataFrame:
@@ -131,9 +135,13 @@ def user_context(
     def as_map(df: DataFrame, key: str, value: Column, name: str) -> DataFrame:
         return df.groupBy("user_id").agg(F.map_from_entries(F.collect_list(F.struct(F.col(key), value))).alias(name))
 
-    flags = state.join(ids, "ai_news_id", "left_semi")
+    flags = state.join(candidates.select("ai_news_id", "candidate_pos", F.lower("category").alias("category")), "ai_news_id")
     flag_cols = F.struct("liked", "viewed", "saved", "skipped", "disliked", "watch_time", "comment_count")
-    flags = as_map(flags, "ai_news_id", flag_cols, "flags")
+    touched = F.when((F.col("liked") | F.col("viewed")) & (F.col("category") != ""), F.struct("candidate_pos", "category", "liked", "watch_time"))
+    flags = flags.groupBy("user_id").agg(
+        F.map_from_entries(F.collect_list(F.struct("ai_news_id", flag_cols))).alias("flags"),
+        F.reverse(F.array_sort(F.collect_list(touched))).alias("touched"),
+    )
     weight = decayed(F.col("count"), F.col("last_seen"), as_of)
     facts = candidate_facts(candidates)
     topics = profile.where("kind = 'topic'")
@@ -147,6 +155,7 @@ def user_context(
         context = context.join(part, "user_id", "left")
     # user rows are small but fan out 250-fold: a fixed number of partitions keeps
     # adaptive coalescing from putting whole user ranges into one task
+    context = context.withColumns(session_facts(F.col("touched"))).drop("touched")
     return context.repartition(spread_partitions(users.sparkSession), "user_id")
 
 
@@ -167,6 +176,11 @@ def user_candidates(context: DataFrame, facts: DataFrame, parity: bool = False,
 
     left_out = ("language", "host", "target_persona", "raw_news_id")
     carried = [c for c in (SCORING_COLUMNS if slim else facts.columns) if c not in left_out]
+    session = F.try_element_at("sessions", F.col("category"))
+    # without watch times no dwell counts
+    sessions = {n: F.coalesce(session[n], F.lit(0)) for n in SESSION_COLUMNS}
+    if parity:
+        sessions["topic_dwells_last"] = F.lit(0)
     return rows.select(
         "user_id",
         *carried,
@@ -183,9 +197,43 @@ def user_candidates(context: DataFrame, facts: DataFrame, parity: bool = False,
         F.try_element_at("source_weights", F.col("host")).alias("source_weight"),
         F.try_element_at("overlaps", F.col("ai_news_id")).alias("overlap"),
         F.coalesce(F.array_contains("seen_ids", F.col("ai_news_id")), F.lit(False)).alias("seen"),
+        "likes_last",
+        *[c.alias(n) for n, c in sessions.items()],
     )
 
 
+def session_facts(touched: Column) -> dict[str, Column]:
+    """``sessions`` (topic → counts) and ``likes_last`` of a user's touched candidates, newest place first.
+
+    What ``session_columns`` finds by windows over all rows of a user, from the
+    few that the user touched: no row has to fan out for it.
+    """
+    last = F.slice(touched, 1, 3)
+
+    def counts(topic: Column) -> Column:
+        def n(rows: Column, condition=None) -> Column:
+            return F.size(F.filter(rows, lambda r: (r["category"] == topic) if condition is None else (r["category"] == topic) & condition(r)))
+
+        return F.struct(
+            topic,
+            F.struct(
+                n(touched).alias("topic_session"),
+                n(last).alias("topic_last"),
+                n(last, lambda r: r["liked"]).alias("topic_likes_last"),
+                n(last, lambda r: r["watch_time"] > 3).alias("topic_dwells_last"),
+            ),
+        )
+
+    topics = F.array_distinct(F.transform(touched, lambda r: r["category"]))
+    return {
+        "sessions": F.map_from_entries(F.transform(topics, counts)),
+        "likes_last": F.coalesce(F.size(F.filter(last, lambda r: r["liked"])), F.lit(0)),
+    }
+
+
+SESSION_COLUMNS = ("topic_session", "topic_last", "topic_likes_last", "topic_dwells_last")
+
+
 def session_columns(rows: DataFrame) -> DataFrame:
     """Session facts per row, from the liked or viewed candidates of its user.
 
@@ -293,9 +341,9 @@ def rank_terms(as_of: Column) -> dict[str, Column]:
 
 
 def rank_score(rows: DataFrame, as_of: Column, keep_terms: bool = False) -> DataFrame:
-    """Add ``rank_score``, the rounded sum of all terms."""
+    """Add ``rank_score``, the rounded sum of all terms; session columns are made by windows where rows do not carry them."""
     terms = rank_terms(as_of)
-    scored = session_columns(rows).withColumns({f"term_{n}": t for n, t in terms.items()})
+    scored = (rows if set(SESSION_COLUMNS) <= set(rows.columns) else session_columns(rows)).withColumns({f"term_{n}": t for n, t in terms.items()})
     total = sum((F.col(f"term_{n}") for n in terms), F.lit(0.0))
     scored = scored.withColumn("rank_score", F.bround(total, 6))
     return scored if keep_terms else scored.drop(*[f"term_{n}" for n in terms])

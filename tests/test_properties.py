@@ -232,3 +232,14 @@ def test_checkpoint_folder_where_none_is_named(spark):
     with pytest.raises(ValueError):
         checkpoint_dir(SimpleNamespace(conf=unset | {"spark.master": "spark://a:7077"}))
     assert cut_lineage(spark.range(3)).count() == 3
+
+
+def test_session_facts_equal_windows(spark, tables):
+    from newsloom.catalog import feeds
+
+    rows = feeds._rows(tables)
+    made = [*feed.SESSION_COLUMNS, "likes_last", "topic_count"]
+    by_window = feed.session_columns(rows.drop(*made)).select("user_id", "ai_news_id", *[F.coalesce(c, F.lit(0)).alias(c) for c in made])
+    carried = rows.select("user_id", "ai_news_id", *made)
+    assert carried.where("topic_session > 0").count() > 0
+    assert carried.exceptAll(by_window).count() == 0 and by_window.exceptAll(carried).count() == 0
