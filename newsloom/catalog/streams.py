@@ -13,16 +13,26 @@ from newsloom.fixtures import Tables
 from newsloom.operators import profiles, text
 from newsloom.session import checkpoint_dir
 from newsloom.streaming import jobs
-from newsloom.streaming.sinks import drain, file_stream, use_rocksdb
+from newsloom.streaming.sinks import drain, file_stream, in_parts
+
+
+#: Logs that are dealt into files in order, and the batches that their streams run in.
+ORDERED = {"events": "ts", "pages": "page_id"}
+BATCHES = 4
 
 
 class StreamTables(Tables):
-    """The same views over streaming reads of the table files."""
+    """The same views over streaming reads: of logs in ``BATCHES`` parts in order, of other tables as they are."""
 
     def base(self, name):
         if name not in self._frames:
-            schema = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet").schema
-            self._frames[name] = file_stream(self.spark, self.sf_dir, name, schema)
+            table = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+            if name in ORDERED:
+                folder = f"{checkpoint_dir(self.spark)}/newsloom-input-{uuid.uuid4().hex}"
+                files = in_parts(table, ORDERED[name], BATCHES, folder, name)
+                self._frames[name] = file_stream(self.spark, folder, name, table.schema, files_per_batch=files)
+            else:
+                self._frames[name] = file_stream(self.spark, self.sf_dir, name, table.schema)
         return self._frames[name]
 
 
@@ -30,19 +40,29 @@ def _live(t) -> StreamTables:
     return StreamTables(t.spark, t.sf_dir)
 
 
+# rows that repeat one of a few addresses, in several spellings and over all batches
+def _repeated(t):
+    i = F.col("raw_news_id")
+    again = F.concat(F.lit("https://site.example.org/again/"), (i % 5).cast("string"), F.when(i % 2 == 0, F.lit("?utm_source=x")).otherwise(F.lit("/")))
+    return _gate_input(t).withColumn("source_url", F.when(i % 7 == 3, again).otherwise(F.col("source_url")))
+
+
 def _ingest(t):
     spark = t.spark
     table = f"{checkpoint_dir(spark)}/newsloom-ingest-{uuid.uuid4().hex}"
-    use_rocksdb(spark)
     query = (
-        jobs.stream_ingest(_gate_input(_live(t)), t.as_of).writeStream.foreachBatch(jobs.ingest_sink(f"{table}/rows", "raw_news_id"))
+        jobs.stream_ingest(_repeated(_live(t)), t.as_of).writeStream.foreachBatch(jobs.ingest_sink(table, "raw_news_id", t.as_of))
         .option("checkpointLocation", f"{table}/checkpoint").trigger(availableNow=True).start()
     )
     query.awaitTermination()
     return shape(spark.read.parquet(f"{table}/rows").select("raw_news_id", "normalized_url"))
 
 
-register("stream_ingest", _ingest, "v_raw_news", "SELECT raw_news_id, u2 AS normalized_url FROM gate JOIN (SELECT raw_news_id, CAST(u AS VARCHAR) AS u2 FROM gc) USING (raw_news_id) WHERE gate = 'pending'", GATE)
+_AGAIN = """gi AS (SELECT * REPLACE (CASE WHEN raw_news_id % 7 = 3 THEN 'https://site.example.org/again/' || raw_news_id % 5 || CASE WHEN raw_news_id % 2 = 0 THEN '?utm_source=x' ELSE '/' END
+  ELSE source_url END AS source_url) FROM gi0)"""
+register("stream_ingest", _ingest, "v_raw_news",
+         "SELECT min(raw_news_id) AS raw_news_id, u AS normalized_url FROM (SELECT raw_news_id, CAST(u AS VARCHAR) AS u FROM gate JOIN gc USING (raw_news_id) WHERE gate = 'pending') GROUP BY u",
+         GATE.replace("gi AS (", "gi0 AS (", 1).replace("gc AS (", f"{_AGAIN}, gc AS (", 1))
 
 register("stream_impressions", lambda t: shape(drain(jobs.stream_impressions(_live(t).v_events), "update", ["user_id", "ai_news_id", "event_type", "day"])), "v_events", f"""
 SELECT user_id, ai_news_id, event_type, strftime(CAST(created_at AS DATE), '%Y-%m-%d') AS day, {ts('min(created_at)')} AS first_at,

@@ -7,6 +7,7 @@ same rows once the input is complete.
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from datetime import timedelta
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -21,34 +22,65 @@ from newsloom.sources.append import append_new
 LATENESS = "1 day"
 
 
-def stream_ingest(raw: DataFrame, as_of: Column, lateness: str = "48 hours") -> DataFrame:
-    """Rows that pass the gate, once per normalized URL.
+def stream_ingest(raw: DataFrame, as_of: Column) -> DataFrame:
+    """Rows that pass the gate, under their normalized URL.
 
-    The 48-hour rule is the gate's, against ``as_of``; the watermark only
-    bounds how long a URL is remembered.  Append the result with
-    ``ingest_sink``, which also checks the table.
+    Append the result with ``ingest_sink``, which stores each URL and each
+    content once; so the stream itself keeps no state.
     """
     gated = ingest.ingest_gate(raw, as_of).where("gate = 'pending'")
-    return gated.withWatermark("published_at", lateness).dropDuplicatesWithinWatermark(["normalized_url"])
+    return gated.withColumn("source_url", F.coalesce(F.nullif("normalized_url", F.lit("")), "source_url"))
 
 
-def ingest_sink(table: str, order_col: str):
-    """``foreachBatch`` function: append rows whose URL and hash the table lacks.
+#: How long a stored URL or content counts as known: rows published longer ago do not pass the gate.
+KNOWN_DAYS = 2
 
-    A batch is stored under its id, so a replay after a lost executor replaces
-    its own rows and adds none twice.
+
+def ingest_sink(table: str, order_col: str, as_of: Column):
+    """``foreachBatch`` function: append rows whose URL and content were not stored in the days around theirs.
+
+    Rows go to ``rows``, their keys to ``keys``, a narrow index in folders by
+    day of publication (``as_of`` where it is unknown).  A batch looks up the
+    folders of its own days and ``KNOWN_DAYS`` around them by name, so its cost
+    depends on what was stored in these days, not on the table.  Both are
+    written under the batch id: a replay after a lost executor replaces its own
+    rows and keys and adds none twice.
     """
+    rows, keys = f"{table}/rows", f"{table}/keys"
+    key_schema = "source_url string, content_hash string, day date, batch long"
+
+    def existing(spark, paths: list[str]) -> list[str]:
+        found = []
+        for path in paths:
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            if where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(where):
+                found.append(path)
+        return found
 
     def save(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        stored = T.StructType([*batch.schema.fields, T.StructField("content_hash", T.StringType())])
-        if batch_id == 0:
-            # an empty first part, so that the table can be read
-            spark.createDataFrame([], stored).write.mode("overwrite").parquet(f"{table}/batch=-1")
-        parts = T.StructType([*stored.fields, T.StructField("batch", T.LongType())])
-        known = spark.read.schema(parts).parquet(table).where(F.col("batch") < batch_id)
-        inserts, _ = append_new(batch, known.select("source_url", "content_hash"), order_col)
-        inserts.write.mode("overwrite").parquet(f"{table}/batch={batch_id}")
+        dated = batch.withColumn("day", F.to_date(F.coalesce("published_at", as_of))).persist()
+        try:
+            first, last = dated.agg(F.min("day"), F.max("day")).first()
+            if batch_id == 0:
+                # an empty first part, so that the table can be read
+                stored = T.StructType([*batch.schema.fields, T.StructField("content_hash", T.StringType())])
+                spark.createDataFrame([], stored).write.mode("overwrite").parquet(f"{rows}/batch=-1")
+            if first is None:
+                return
+            days = [first + timedelta(days=k) for k in range(-KNOWN_DAYS, (last - first).days + KNOWN_DAYS + 1)]
+            folders = existing(spark, [f"{keys}/day={d}" for d in days])
+            if folders:
+                known = spark.read.schema(key_schema).option("basePath", keys).parquet(*folders).where(F.col("batch") < batch_id)
+            else:
+                known = spark.createDataFrame([], key_schema)
+            inserts, _ = append_new(dated, known.select("source_url", "content_hash"), order_col)
+            inserts.drop("day").write.mode("overwrite").parquet(f"{rows}/batch={batch_id}")
+            added = spark.read.parquet(f"{rows}/batch={batch_id}")
+            index = added.select("source_url", "content_hash", F.to_date(F.coalesce("published_at", as_of)).alias("day"), F.lit(batch_id).alias("batch"))
+            index.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day", "batch").parquet(keys)
+        finally:
+            dated.unpersist()
 
     return save
 
@@ -161,10 +193,15 @@ class _StaleJobs(StatefulProcessor):
         pass
 
 
-def stream_stale_jobs(status_log: DataFrame, ttl_minutes: int = 10) -> DataFrame:
-    """(item, started_at, stale_at) of jobs in processing longer than the limit; append mode."""
+def stream_stale_jobs(status_log: DataFrame, ttl_minutes: int = 10, lateness: str = "0 seconds") -> DataFrame:
+    """(item, started_at, stale_at) of jobs in processing longer than the limit; append mode.
+
+    A job's rows of one batch are read in time order; the timer of a job that is
+    still open fires once the watermark, ``lateness`` behind the newest row,
+    passes its limit.
+    """
     return (
-        status_log.withWatermark("created_at", "0 seconds")
+        status_log.withWatermark("created_at", lateness)
         .groupBy("item")
         .transformWithStateInPandas(
             statefulProcessor=_StaleJobs(ttl_minutes * 60_000),

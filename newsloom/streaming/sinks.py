@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from newsloom.session import checkpoint_dir
 
@@ -35,9 +35,46 @@ def file_stream(spark: SparkSession, folder: str, table: str, schema, files_per_
     return reader.option("pathGlobFilter", f"{table}.parquet").parquet(folder)
 
 
-def dropped_rows(query: StreamingQuery) -> int:
-    """Rows that came later than the watermark allowed and that state left out, over all batches so far."""
-    return sum(int(op["numRowsDroppedByWatermark"]) for p in query.recentProgress for op in p["stateOperators"])
+def in_parts(df: DataFrame, order: str, parts: int, folder: str, table: str) -> int:
+    """Write ``df`` as a folder table whose files follow each other in ``order``; the number of files of a part.
+
+    Rows of a part come later in ``order`` than those of the parts before, and
+    its files are written after theirs, which is the order a stream reads in.  A
+    part has as many files as the input has splits, so parts grow with it.
+    """
+    files = df.rdd.getNumPartitions()
+    cuts = df.select(F.percentile_approx(order, [k / parts for k in range(1, parts)]).alias("cuts")).first()["cuts"] or []
+    edges = [None, *sorted(set(cuts)), None]
+    for low, high in zip(edges, edges[1:]):
+        part = df if low is None else df.where(F.col(order) > low)
+        part = part if high is None else part.where(F.col(order) <= high)
+        if low is None:
+            part = part.union(df.where(F.col(order).isNull())) if high is not None else df
+        part.repartition(files).write.mode("append").parquet(f"{folder}/{table}.parquet")
+    return files
+
+
+class _LateRows(StreamingQueryListener):
+    """Adds up, batch by batch, the rows that state left out as too late."""
+
+    def __init__(self) -> None:
+        self.dropped: dict[str, int] = {}
+        self.batches: dict[str, int] = {}
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        run = str(event.progress.runId)
+        late = sum(op.numRowsDroppedByWatermark for op in event.progress.stateOperators)
+        self.dropped[run] = self.dropped.get(run, 0) + late
+        self.batches[run] = self.batches.get(run, 0) + 1
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        pass
 
 
 def start_to_folder(stream: DataFrame, folder: str, mode: str, checkpoint: str) -> StreamingQuery:
@@ -65,9 +102,16 @@ def drain(stream: DataFrame, mode: str, keys: Sequence[str] = (), late: list[int
     spark = stream.sparkSession
     use_rocksdb(spark)
     root = f"{checkpoint_dir(spark)}/newsloom-stream-{uuid.uuid4().hex}"
-    query = start_to_folder(stream, f"{root}/out", mode, f"{root}/checkpoint")
-    query.awaitTermination()
-    dropped = dropped_rows(query)
+    listener = _LateRows()
+    spark.streams.addListener(listener)
+    try:
+        query = start_to_folder(stream, f"{root}/out", mode, f"{root}/checkpoint")
+        query.awaitTermination()
+        # events of the last batches may still be on their way to the listener
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    finally:
+        spark.streams.removeListener(listener)
+    dropped = listener.dropped.get(str(query.runId), 0)
     if late is not None:
         late.append(dropped)
     elif dropped:

@@ -320,3 +320,58 @@ def test_fanout_falls_back_by_label(spark):
         0: [(3, 1)], 1: [(u, 1) for u in (1, 2, 3, 5)], 2: [(2, 2)], 3: [(1, 3), (3, 3)], 5: [(1, 1), (3, 1)], 6: [(1, 3), (3, 3)],
         7: [(1, 2), (3, 2)], 8: [(u, 1) for u in (1, 2, 3, 5)], 9: [(2, 3)],
     }
+
+
+def test_late_rows_are_counted_beyond_the_kept_progress(spark, tmp_path):
+    from newsloom.streaming import jobs
+    from newsloom.streaming.sinks import drain, file_stream
+
+    schema = "event_id long, event_type string, created_at timestamp"
+    # the first file sets the watermark, which holds for late rows from the third batch on
+    for k in range(6):
+        rows = [(k, "view", datetime(2024, 1, 20 + k)), (100 + k, "view", datetime(2024, 1, 1))]
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/events.parquet")
+    spark.conf.set("spark.sql.streaming.numRecentProgressUpdates", "1")
+    try:
+        late = []
+        stream = file_stream(spark, str(tmp_path), "events", spark.createDataFrame([], schema).schema, files_per_batch=1)
+        out = drain(jobs.stream_activity(stream, "1 hour"), "update", ["window_start", "window_end", "event_type"], late)
+    finally:
+        spark.conf.unset("spark.sql.streaming.numRecentProgressUpdates")
+    assert late == [4] and out.agg(F.sum("n")).first()[0] == 8
+
+
+def test_in_parts_keeps_rows_in_order(spark, tmp_path):
+    from newsloom.streaming.sinks import in_parts
+
+    df = spark.createDataFrame([(i % 50 if i % 10 else None, i) for i in range(200)], "at int, n int").repartition(2)
+    assert in_parts(df, "at", 4, str(tmp_path), "t") == 2
+    back = spark.read.parquet(f"{tmp_path}/t.parquet")
+    assert sorted(map(tuple, back.collect()), key=str) == sorted(map(tuple, df.collect()), key=str)
+    by_file = back.groupBy(F.col("_metadata.file_modification_time").alias("t")).agg(F.min("at").alias("a"), F.max("at").alias("b")).orderBy("t", "a").collect()
+    assert all(x["b"] <= y["b"] for x, y in zip(by_file, by_file[1:]))
+
+
+def test_ingest_sink_looks_up_the_days_around(spark, tmp_path):
+    from newsloom.streaming import jobs
+
+    schema = "raw_news_id long, source_url string, title string, raw_text string, published_at timestamp"
+    as_of = F.lit("2024-01-31 00:00:00").cast("timestamp")
+
+    def batch(*rows):
+        return spark.createDataFrame([(i, u, t, "text", d and datetime(2024, 1, d)) for i, u, t, d in rows], schema)
+
+    save = jobs.ingest_sink(str(tmp_path), "raw_news_id", as_of)
+    second = batch((4, "https://a/1", "again", 30), (5, "https://a/3", "c", 31), (6, "https://a/3", "c", 31), (7, "https://a/old", "o", 31), (8, "https://a/4", "d", None))
+    save(batch((2, "https://a/2", "b", 30), (1, "https://a/1", "a", 30), (3, None, "no", 30), (9, "https://a/old", "o", 10)), 0)
+    save(second, 1)
+
+    def stored():
+        return sorted((r["raw_news_id"], r["batch"]) for r in spark.read.parquet(f"{tmp_path}/rows").collect())
+
+    # within the days around, once; stored three weeks before, again
+    assert stored() == [(1, 0), (2, 0), (5, 1), (7, 1), (8, 1), (9, 0)]
+    save(second, 1)
+    save(batch(), 2)
+    save(batch((10, "https://a/4", "d", 31)), 3)
+    assert stored() == [(1, 0), (2, 0), (5, 1), (7, 1), (8, 1), (9, 0)]
