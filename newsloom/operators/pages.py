@@ -71,6 +71,11 @@ TODAY_WORDS, YESTERDAY_WORDS = ("today", "сегодня", "bugun"), ("yesterday
 HOURS_AGO = r"(\d+)\s*(?:hours|hour|час|часа|soat|soat oldin|oldin)"
 MINUTES_AGO = r"(\d+)\s*(?:minutes|min|минут|daqiqa)"
 LOCAL_ZONE = "Asia/Tashkent"
+# Month names as dates use them; the first three letters of those of a list in ABBREVIATED stand for them too.
+MONTHS_EN = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
+MONTHS_RU = ("января", "февраля", "марта", "апреля", "мая", "июня", "июля", "августа", "сентября", "октября", "ноября", "декабря")
+MONTHS_UZ = ("yanvar", "fevral", "mart", "aprel", "may", "iyun", "iyul", "avgust", "sentabr", "oktabr", "noyabr", "dekabr")
+ABBREVIATED = (MONTHS_EN, MONTHS_RU)
 SAMPLE_RATE = 0.2
 
 
@@ -226,8 +231,41 @@ def good_paragraph(text: Column) -> Column:
     return (F.length(low) >= 50) & ~X.contains_any(low, BAD_PARAGRAPH_PHRASES) & ~low.rlike(LICENSE_NUMBER)
 
 
+def _month_numbers() -> dict[str, int]:
+    """Number of each month name and abbreviation."""
+    found = {"sept": 9}
+    for names in (MONTHS_EN, MONTHS_RU, MONTHS_UZ):
+        for i, name in enumerate(names, 1):
+            found[name] = i
+            if names in ABBREVIATED:
+                found[name[:3]] = i
+    return found
+
+
+def _named_day(text: Column) -> Column:
+    """Day of the first date with a month name, day first or month first, with a year of four digits; null without one."""
+    months = _month_numbers()
+    name = "|".join(sorted(months, key=len, reverse=True))
+    day, year, after = r"(\d{1,2})(?:st|nd|rd|th)?", r"(\d{4})(?!\d)", r"\.?(?!\p{L})"
+    day_first = rf"(?<!\d){day}[\s.\-]+(?:of\s+)?({name}){after}[\s.,\-]*{year}"
+    month_first = rf"(?<!\p{{L}})({name}){after}[\s.\-]*{day}[\s.,\-]+{year}"
+    numbers = F.create_map(*[F.lit(x) for pair in months.items() for x in pair])
+
+    def dated(pattern: str, d: int, m: int) -> Column:
+        def read(match: Column) -> Column:
+            month = F.try_element_at(numbers, F.regexp_extract(match, pattern, m)).cast("string")
+            return F.try_to_timestamp(
+                F.concat_ws("-", F.regexp_extract(match, pattern, 3), month, F.regexp_extract(match, pattern, d)), F.lit("yyyy-M-d")
+            )
+
+        return X.bind(F.regexp_extract(low, pattern, 0), lambda match: F.when(match != "", read(match)))
+
+    low = F.lower(text)
+    return F.coalesce(dated(day_first, 1, 2), dated(month_first, 2, 1))
+
+
 def _absolute(text: Column, zone: str) -> Column:
-    """Instant of an ISO, day-first or mail-style date anywhere in the text; local unless it names an offset."""
+    """Instant of an ISO, day-first, mail-style or month-name date anywhere in the text; local unless it names an offset."""
     iso = F.regexp_extract(text, r"(\d{4}[-/]\d{1,2}[-/]\d{1,2}(?:[T ]\d{1,2}:\d{2}(?::\d{2})?(?:\.\d+)?(?:\s*(?:Z|[+-]\d{2}:?\d{2}))?)?)", 1)
     zoned = iso.rlike(r"(?:Z|[+-]\d{2}:?\d{2})$") & iso.rlike(r"\d:\d{2}")
     iso_text = F.regexp_replace(F.replace(F.replace(iso, F.lit("/"), F.lit("-")), F.lit("T"), F.lit(" ")), r"\s+([+-])", "$1")
@@ -247,6 +285,7 @@ def _absolute(text: Column, zone: str) -> Column:
         F.when(iso != "", F.when(zoned, iso_ts).otherwise(F.to_utc_timestamp(iso_ts, zone))),
         F.when(text.rlike(mail), mail_ts),
         F.when(year != "", F.to_utc_timestamp(dmy_ts, zone)),
+        F.to_utc_timestamp(_named_day(text), zone),
     )
 
 

@@ -1,8 +1,9 @@
 """User vectors, cosine top-k and similarity ranking.
 
-Products of two vector sets run in batches: the large side passes through where
-it is, and each task has the small side, which is bounded by contract.  No pair
-leaves the task unless it is among the k best.
+Products of two vector sets run in batches.  A small side of checked size is
+copied to each task and the large side passes through where it is; beyond that
+size both sides are packed into blocks, and blocks meet blocks.  No pair leaves
+the task unless it is among the k best.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 
 from newsloom.operators import feed as O
 from newsloom.operators.common import top_rows
+from newsloom.session import cut_lineage
 
 # Parts of a user's vector.
 PROFILE_WEIGHT, SAVED_WEIGHT = 1.8, 1.35
@@ -44,39 +46,78 @@ def _matrix(vectors: pd.Series) -> np.ndarray:
     return out
 
 
+# Numbers of the small side that may be copied to each task (64 MB), and vectors of a packed block.
+MAX_COPIED_NUMBERS = 8_000_000
+BLOCK_VECTORS = 4_096
+
+_PAIRS = "l_id long, s_id long, similarity double"
+
+
+def _best_pairs(l_ids: np.ndarray, a: np.ndarray, s_ids: np.ndarray, b: np.ndarray, k: int, by_large: bool) -> pd.DataFrame:
+    """The k best partners of each owner between two blocks; both come in order of their ids, so ties go to the lower one."""
+    norms = np.linalg.norm(a, axis=1)[:, None] * np.linalg.norm(b, axis=1)[None, :]
+    sims = np.round(np.divide(a @ b.T, norms, out=np.zeros(norms.shape), where=norms > 0), 6)
+    scores, ids, others = (sims, l_ids, s_ids) if by_large else (sims.T, s_ids, l_ids)
+    best = np.argsort(-scores, axis=1, kind="stable")[:, :k]
+    rows = np.repeat(np.arange(len(ids)), best.shape[1])
+    owner, partner = ids[rows], others[best.ravel()]
+    left, right = (owner, partner) if by_large else (partner, owner)
+    return pd.DataFrame({"l_id": left, "s_id": right, "similarity": scores[rows, best.ravel()]})
+
+
+def _beside_copy(left: DataFrame, small: DataFrame, k: int, by_large: bool) -> DataFrame:
+    found = small.orderBy("s_id").collect()
+    s_ids = np.array([r["s_id"] for r in found], np.int64)
+    b = _matrix(pd.Series([r["s_vec"] for r in found], dtype=object)) if found else np.zeros((0, 0))
+
+    def multiply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for lp in batches:
+            if not lp.empty and len(s_ids):
+                lp = lp.sort_values("l_id", ignore_index=True)
+                yield _best_pairs(lp["l_id"].to_numpy(), _matrix(lp["l_vec"]), s_ids, b, k, by_large)
+
+    return left.mapInPandas(multiply, _PAIRS)
+
+
+def _block_by_block(left: DataFrame, small: DataFrame, n_left: int, n_small: int, k: int, by_large: bool) -> DataFrame:
+    """Every block of one side meets every block of the other, by equal block numbers after the left ones are copied."""
+    n_blocks = -(-n_small // BLOCK_VECTORS)
+
+    def packed(df: DataFrame, side: str, blocks: int) -> DataFrame:
+        numbered = df.withColumn("block", F.pmod(F.xxhash64(f"{side}_id"), F.lit(blocks)))
+        rows = F.array_sort(F.collect_list(F.struct(f"{side}_id", f"{side}_vec")))
+        return numbered.groupBy("block").agg(rows.alias(side)).select("block", F.col(f"{side}.{side}_id").alias(f"{side}_ids"), F.col(f"{side}.{side}_vec").alias(f"{side}_vecs"))
+
+    def multiply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for row in batch.itertuples():
+                a, b = _matrix(pd.Series(list(row.l_vecs))), _matrix(pd.Series(list(row.s_vecs)))
+                yield _best_pairs(np.asarray(row.l_ids, np.int64), a, np.asarray(row.s_ids, np.int64), b, k, by_large)
+
+    lefts = packed(left, "l", -(-n_left // BLOCK_VECTORS)).drop("block")
+    copied = lefts.withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_blocks - 1).cast("bigint"))))
+    met = copied.join(packed(small, "s", n_blocks), "block").drop("block")
+    return met.mapInPandas(multiply, _PAIRS)
+
+
 def cosine_topk(large: DataFrame, small: DataFrame, large_id: str, small_id: str, k: int, per: str) -> DataFrame:
     """(large id, small id, similarity, rank): the k best partners of each ``per`` id.
 
-    Both inputs are (id, vector), vectors of equal length.  ``small`` must be
-    bounded, such as the candidate list or one vector per label: its vectors are
-    gathered and sent to each task.  ``large`` stays where it is and passes
-    through in batches; only winners move.  ``per`` is the side the top-k belongs
-    to.  Ties go to the lower id.
+    Both inputs are (id, vector), vectors of equal length.  ``small`` is meant to
+    be the side that fits into a task, such as the candidate list or one vector
+    per label; its size is read first, and a larger one is worked off block by
+    block, with the same result.  ``per`` is the side the top-k belongs to.  Ties
+    go to the lower id.
     """
-    found = small.select(F.col(small_id).alias("id"), "vector").orderBy("id").collect()
-    s_ids = np.array([r["id"] for r in found], np.int64)
-    b = _matrix(pd.Series([r["vector"] for r in found], dtype=object)) if found else np.zeros((0, 0))
-    bn = np.linalg.norm(b, axis=1)
+    left = large.select(F.col(large_id).cast("bigint").alias("l_id"), F.col("vector").alias("l_vec"))
+    right = cut_lineage(small.select(F.col(small_id).cast("bigint").alias("s_id"), F.col("vector").alias("s_vec")))
+    n_small, numbers = right.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("s_vec")), F.lit(0))).first()
     by_large = per == large_id
-
-    def multiply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for lp in batches:
-            if lp.empty or not len(s_ids):
-                continue
-            lp = lp.sort_values("l_id", ignore_index=True)
-            a = _matrix(lp["l_vec"])
-            norms = np.linalg.norm(a, axis=1)[:, None] * bn[None, :]
-            sims = np.round(np.divide(a @ b.T, norms, out=np.zeros(norms.shape), where=norms > 0), 6)
-            l_ids = lp["l_id"].to_numpy()
-            scores, ids, others = (sims, l_ids, s_ids) if by_large else (sims.T, s_ids, l_ids)
-            best = np.argsort(-scores, axis=1, kind="stable")[:, :k]
-            rows = np.repeat(np.arange(len(ids)), best.shape[1])
-            owner, partner = ids[rows], others[best.ravel()]
-            left, right = (owner, partner) if by_large else (partner, owner)
-            yield pd.DataFrame({"l_id": left, "s_id": right, "similarity": scores[rows, best.ravel()]})
-
-    left = large.select(F.col(large_id).alias("l_id"), F.col("vector").alias("l_vec"))
-    pairs = left.mapInPandas(multiply, "l_id long, s_id long, similarity double")
+    if numbers <= MAX_COPIED_NUMBERS:
+        pairs = _beside_copy(left, right, k, by_large)
+    else:
+        left = cut_lineage(left)
+        pairs = _block_by_block(left, right, left.count(), n_small, k, by_large)
     owner, partner = ("l_id", "s_id") if by_large else ("s_id", "l_id")
     ranked = top_rows(pairs, [owner], [F.col("similarity").desc(), F.col(partner)], k, "rank")
     return ranked.select(F.col("l_id").alias(large_id), F.col("s_id").alias(small_id), "similarity", "rank")

@@ -375,3 +375,26 @@ def test_ingest_sink_looks_up_the_days_around(spark, tmp_path):
     save(batch(), 2)
     save(batch((10, "https://a/4", "d", 31)), 3)
     assert stored() == [(1, 0), (2, 0), (5, 1), (7, 1), (8, 1), (9, 0)]
+
+
+@pytest.mark.parametrize(
+    "text, day",
+    [
+        ("12 April 2026", (2026, 4, 12)),
+        ("Apr 5, 2026", (2026, 4, 5)),
+        ("posted on March 3rd, 2025 by us", (2025, 3, 3)),
+        ("the 1st of May 2024", (2024, 5, 1)),
+        ("7 сентября 2023 г.", (2023, 9, 7)),
+        ("3-noyabr 2024", (2024, 11, 3)),
+        ("Sept. 9 2021", (2021, 9, 9)),
+        ("31 February 2024", None),
+        ("marched 5 2024 times", None),
+        ("may be 12 of 2000", None),
+        ("chapter 12 April", None),
+        ("no date at all", None),
+    ],
+)
+def test_dates_with_month_names(spark, text, day):
+    as_of = F.lit("2024-01-31 12:00:00").cast("timestamp")
+    [row] = one(spark, [(f"<p>{text}</p>",)], "h string", d=pages.publish_date(F.col("h"), as_of, zone="UTC"))
+    assert row["d"] == (day and datetime(*day))

@@ -177,7 +177,11 @@ def test_dedupe_is_idempotent(spark):
     assert once.count() == 7
 
 
-def test_cosine_topk_equals_expression(spark):
+@pytest.mark.parametrize("blocks", [False, True])
+def test_cosine_topk_equals_expression(spark, monkeypatch, blocks):
+    if blocks:
+        monkeypatch.setattr(vectors, "MAX_COPIED_NUMBERS", 0)
+        monkeypatch.setattr(vectors, "BLOCK_VECTORS", 4)
     rng = random.Random(5)
     vec = lambda: [rng.gauss(0, 1) for _ in range(8)]
     big = spark.createDataFrame([(i, vec()) for i in range(50)], "b long, vector array<double>")
