@@ -12,10 +12,13 @@ threshold rises as it goes; the tasks' lists are merged at the end.
 Queries meet shards block against block: the work is that of the stated query
 set against all rows, and no row is expanded into pairs outside a task's arrays.
 
-Rows without id take no part, nor do vectors that are null or hold a null, NaN,
-infinite or out-of-range component (2**27 or more once rounded, where scores
-would not fit 64 bits).  Of rows that share an id the smallest vector counts.
-Shorter vectors count as filled up with zeros.  Extra columns are ignored.
+Rows without id take no part, nor do vectors that are null or hold a null, NaN
+or infinite component (or one that is infinite once multiplied).  All other
+vectors count, whatever their size: a block's sums are taken in doubles, in 64
+bits or in Python's integers, whichever its largest values need to be exact, and
+a score beyond 64 bits counts as the largest or smallest one that fits.  Of rows
+that share an id the smallest vector counts.  Shorter vectors count as filled up
+with zeros.  Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,14 +32,33 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-LIMIT = 1 << 27
+#: Scores are kept within these bounds, so that their negative fits too.
+LARGEST = (1 << 63) - 1
 
 
 def rounded(vector: Column, factor: int = 1024) -> Column:
-    """floor(factor * x) of each component, in double precision; null if one cannot be used."""
-    values = F.transform(vector, lambda x: F.floor(F.lit(float(factor)) * x.cast("double")))
-    usable = F.forall(vector, lambda x: x.isNotNull() & (F.abs(F.lit(float(factor)) * x.cast("double")) < LIMIT))
-    return F.when(vector.isNotNull() & usable, values)
+    """floor(factor * x) of each component as whole doubles; null if one cannot be used."""
+
+    def floor(y: Column) -> Column:
+        # doubles from 2**53 on are whole numbers
+        return F.when(F.abs(y) < float(1 << 53), F.floor(y).cast("double")).otherwise(y)
+
+    values = F.transform(vector, lambda x: F.lit(float(factor)) * x.cast("double"))
+    usable = F.forall(vector, lambda x: x.isNotNull() & (F.abs(F.lit(float(factor)) * x.cast("double")) < float("inf")))
+    return F.when(vector.isNotNull() & usable, F.transform(values, floor))
+
+
+def whole(values: np.ndarray, kind: type) -> np.ndarray:
+    """Whole doubles or integers as doubles, 64-bit integers or Python's integers."""
+    if kind is object:
+        return np.array([int(x) for x in values.ravel()], object).reshape(values.shape)
+    return values.astype(kind)
+
+
+def kept_to_64_bits(scores: np.ndarray) -> np.ndarray:
+    if scores.dtype == object:
+        return np.array([min(max(x, -LARGEST), LARGEST) for x in scores], np.int64)
+    return scores.astype(np.int64)
 
 
 class TopK:
@@ -60,19 +82,30 @@ class Shard:
     """Postings of a block of rows, with each term's largest and smallest value."""
 
     def __init__(self, ids: np.ndarray, rows: np.ndarray):
-        self.ids, self.postings = ids, np.ascontiguousarray(rows.T)
-        self.top, self.low = rows.max(0), rows.min(0)
+        self.ids = ids
+        self.rows = np.ascontiguousarray(rows.T)
+        self.largest = float(np.abs(self.rows).max(initial=0))
+        self.forms: dict[type, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+
+    def form(self, kind: type) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Postings, largest and smallest values in numbers of one kind."""
+        if kind not in self.forms:
+            postings = whole(self.rows, kind)
+            self.forms[kind] = postings, postings.max(1), postings.min(1)
+        return self.forms[kind]
 
     def search(self, query: int, terms: np.ndarray, best: TopK, group: int = 8) -> None:
-        width = min(len(terms), len(self.postings))
-        terms = terms[:width]
-        high = np.maximum(terms * self.top[:width], terms * self.low[:width])
-        low = np.minimum(terms * self.top[:width], terms * self.low[:width])
+        width = min(len(terms), len(self.rows))
+        # a bound of all sums below, with room for the range of a term and rounding
+        bound = 4 * float(np.abs(terms).max(initial=0)) * max(self.largest, 1.0) * max(width, 1)
+        kind = np.float64 if bound < 2.0**53 else np.int64 if bound < 2.0**63 else object
+        postings, top, bottom = self.form(kind)
+        terms = whole(terms[:width], kind)
+        high = np.maximum(terms * top[:width], terms * bottom[:width])
+        low = np.minimum(terms * top[:width], terms * bottom[:width])
         order = np.argsort(low - high, kind="stable")
         # what the terms from a place on can add at most
         rest = np.append(np.cumsum(high[order][::-1])[::-1], 0)
-        exact = float(np.abs(terms).max(initial=0)) * float(max(np.abs(self.postings).max(initial=0), 1)) * max(width, 1) < 2**53
-        kind = np.float64 if exact else np.int64
         threshold = best.threshold(query)
         if threshold == -np.inf:
             essential = width
@@ -83,16 +116,16 @@ class Shard:
             essential = essential if spread[essential] < threshold - low.sum() else width
             essential = min(width, -(-max(essential, 1) // group) * group)
         used = order[:essential]
-        score = terms[used].astype(kind) @ self.postings[used].astype(kind)
+        score = terms[used] @ postings[used]
         alive = np.flatnonzero((score + rest[essential] >= threshold) & (self.ids != query))
         score = score[alive]
         for start in range(essential, width, group):
             used = order[start : start + group]
-            score = score + terms[used].astype(kind) @ self.postings[used][:, alive].astype(kind)
+            score = score + terms[used] @ postings[used][:, alive]
             stay = score + rest[min(start + group, width)] >= threshold
             alive, score = alive[stay], score[stay]
         if len(alive):
-            best.add(query, score.astype(np.int64), self.ids[alive])
+            best.add(query, kept_to_64_bits(score), self.ids[alive])
 
 
 def _packed(vectors: DataFrame, rows: int) -> DataFrame:
@@ -100,13 +133,15 @@ def _packed(vectors: DataFrame, rows: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids: list[int] = []
-        lists: list[list[int]] = []
+        lists: list[list[float]] = []
 
         def block() -> pa.RecordBatch:
             width = max(map(len, lists))
-            matrix = np.zeros((len(lists), width), np.int32)
+            matrix = np.zeros((len(lists), width))
             for i, x in enumerate(lists):
                 matrix[i, : len(x)] = x
+            if np.abs(matrix).max(initial=0) < 2.0**31:
+                matrix = matrix.astype(np.int32)
             data = [np.array(ids, np.int64).tobytes()], [matrix.tobytes()], [width]
             return pa.RecordBatch.from_arrays([pa.array(data[0], pa.binary()), pa.array(data[1], pa.binary()), pa.array(data[2], pa.int32())], names=["ids", "matrix", "width"])
 
@@ -126,7 +161,8 @@ def _packed(vectors: DataFrame, rows: int) -> DataFrame:
 
 def _unpacked(ids: bytes, matrix: bytes, width: int) -> tuple[np.ndarray, np.ndarray]:
     rows = np.frombuffer(ids, np.int64)
-    return rows, np.frombuffer(matrix, np.int32).reshape(len(rows), width).astype(np.int64)
+    wide = len(matrix) > 4 * len(rows) * width
+    return rows, np.frombuffer(matrix, np.float64 if wide else np.int32).reshape(len(rows), width)
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding",

@@ -1,6 +1,7 @@
 import glob
 import gzip
 import hashlib
+import math
 import random
 
 import numpy as np
@@ -97,3 +98,19 @@ def test_loser_tree_merges_runs():
 
 def test_no_pages(spark):
     assert warc.capture_histories(spark.createDataFrame([], PAGES)).count() == 0
+
+
+def test_large_finite_vectors_take_part(spark):
+    """Sums that leave doubles, and those that leave 64 bits, against Python's integers."""
+    rng = random.Random(9)
+    scales = [1.0, 200_000.0, 3e9, 1e25]
+    rows = [(i, [rng.uniform(-1, 1) * scales[i % 4] for _ in range(6)]) for i in range(80)]
+    rows += [(100, [131071.9] * 1024), (101, [131071.9] * 1024), (102, [float("inf")] + [0.0] * 5), (103, [1.0, None]), (104, None), (105, [])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = maxscore.top_k(df, F.col("vec_id") % 5 == 0, k=4, shard_rows=16, query_rows=7)
+    usable = {i: [math.floor(1024 * x) for x in v] for i, v in rows if i not in (102, 103, 104)}
+    want = []
+    for q in (i for i in usable if i % 5 == 0):
+        scored = [(min(max(sum(a * b for a, b in zip(usable[q], v)), -maxscore.LARGEST), maxscore.LARGEST), i) for i, v in usable.items() if i != q]
+        want += [(q, n, i, s) for n, (s, i) in enumerate(sorted(scored, key=lambda x: (-x[0], x[1]))[:4], 1)]
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want)
