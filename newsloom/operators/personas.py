@@ -136,7 +136,8 @@ def feed_fanout(articles: DataFrame, users: DataFrame, existing: DataFrame) -> D
     Tier 1 matches topic, profession, place and country; articles without any
     match try tier 2, where the topic may occur anywhere in the interests; the
     rest try tier 3: profession, place or country alone.  Rows already in the
-    feed are left out at the end.
+    feed are left out; a user's rows of one label are gathered for that, which
+    are no more than the label has articles.
 
     Tiers depend on an article's label and a user's attributes only.  So they
     are decided between distinct labels and distinct groups of like users, each
@@ -167,12 +168,13 @@ def feed_fanout(articles: DataFrame, users: DataFrame, existing: DataFrame) -> D
 
     tiers = [df.withColumn("tier", F.lit(i)) for i, df in enumerate((tier1, tier2, tier3), 1)]
     pairs = tiers[0].unionByName(tiers[1]).unionByName(tiers[2])
-    matched = (
-        pairs.join(targets.select("label_id", "ai_news_id", "ai_score"), "label_id")
-        .join(people.select("group_id", "user_id"), "group_id")
-        .select("user_id", "ai_news_id", "ai_score", "tier")
-    )
-    return matched.join(existing.select("user_id", "ai_news_id"), ["user_id", "ai_news_id"], "left_anti")
+    # what users already have, per label: then only (user, label) rows move, and the fan-out itself does not
+    served = existing.select("user_id", "ai_news_id").join(targets.select("label_id", "ai_news_id"), "ai_news_id")
+    served = served.groupBy("user_id", "label_id").agg(F.collect_set("ai_news_id").alias("served"))
+    asked = pairs.join(people.select("group_id", "user_id"), "group_id").select("user_id", "label_id", "tier")
+    matched = asked.join(served, ["user_id", "label_id"], "left").join(targets.select("label_id", "ai_news_id", "ai_score"), "label_id")
+    new = ~F.coalesce(F.array_contains("served", F.col("ai_news_id")), F.lit(False))
+    return matched.where(new).select("user_id", "ai_news_id", "ai_score", "tier")
 
 
 def audience_counts(articles: DataFrame, users: DataFrame, existing: DataFrame) -> DataFrame:
