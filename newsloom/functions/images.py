@@ -28,6 +28,7 @@ EXTRACTOR_BAD_WORDS = (
     "logo", "banner", "ads", "adserver", "icon", "avatar", "sprite", "thumb", "thumbnail", "placeholder",
 )
 EXTRACTOR_SUFFIXES = (".jpg", ".jpeg", ".png", ".webp", ".gif", ".avif")
+# The published lists of two rules together, each word once.
 REJECTED_WORDS = (
     "logo", "icon", "avatar", "banner", "ads", "sprite", "placeholder", "pixel", "badge", "doubleclick", "googlesyndication",
 )

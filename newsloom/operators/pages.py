@@ -47,6 +47,7 @@ REMOVED_PHRASES = (
 CUT_MARKERS = (
     "©", "Elektron manzil:", "Guvohnoma:", "Saytda e’lon qilingan", "Saytda e'lon qilingan", "Maxfiylik siyosati", "cookies",
 )
+# One published phrase is a pattern that plain text never equals and is left out.
 LEGAL_PHRASES = (
     "guvohnoma", "axborot va ommaviy kommunikatsiyalar agentligi", "o'zmaa", "o‘zmaa",
     "o‘zbekiston matbuot va axborot agentligi",
@@ -63,6 +64,7 @@ AD_KEYWORDS = (
     "reklama", "aksiya", "chegirma", "hamkorlik", "maxsus taklif", "promo", "sponsor", "sponsorlik", "реклама", "акция",
     "скидка", "партн", "партнёр", "партнер", "партнерство", "advertisement", "promotion", "trade-in", "trade in",
 )
+# Each published marker once.
 NAV_MARKERS = ("kabinet", "bosh sahifa", "tasma", "menyu", "videolar")
 COMMENT_MARKERS, MAKER_MARKERS = ("izoh", "ro'yxatdan", "ro‘yxatdan"), ("ishlab chiquvchi", "ishlab chiqaruvchi")
 RIGHTS_MARKERS, FOOTER_MARKERS = ("©", "copyright"), ("ishlab", "izoh")
