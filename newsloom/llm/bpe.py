@@ -38,7 +38,7 @@ WORD_END = "</w>"
 #: Bytes of a word that is merged whole; longer ones go through the stream.
 SHORT = 48
 #: Characters whose new words are merged together; bounds a task's memory.
-AT_ONCE = 1 << 21
+AT_ONCE = 1 << 20
 #: Separators that ``str.split`` knows besides Unicode white space.
 _CONTROL_GAPS = re.compile("[\x1c-\x1f]")
 _WHITE = regex.compile(r"\p{White_Space}+")
@@ -83,7 +83,7 @@ class WordBpe:
         self.known: dict[str, bytes] = {}
 
     def __reduce__(self):
-        return WordBpe, (self.spec, self.cache_words)
+        return shared_model, (self.spec, self.cache_words)
 
     def _read_merges(self, merges: list, vocab: dict[str, int]) -> int:
         """Fill the merge table; returns the sufficient lookahead in bytes.
@@ -220,15 +220,15 @@ class WordBpe:
         if buffer:
             yield from self.merged([*(self.inner[b] for b in buffer[:-1]), self.final[buffer[-1]]])
 
-    def _pieces(self, chunk: str) -> list[bytes | int]:
+    def _pieces(self, chunk: str) -> list[str | int]:
         """Words of a run without white space, and ids of special tokens in it."""
         if chunk.isascii():
             low = chunk.lower()
             if low.isalpha():
-                return [low.encode()]
+                return [low]
             if low[-1] in ".,;:!?" and low[:-1].isalpha():
-                return [low[:-1].encode(), low[-1].encode()]
-        out: list[bytes | int] = []
+                return [low[:-1], low[-1]]
+        out: list[str | int] = []
         for part in self.cut.split(chunk) if self.cut and "<" in chunk else (chunk,):
             if part in self.special:
                 out.append(self.special[part])
@@ -237,26 +237,34 @@ class WordBpe:
             # letter by letter: lower-casing a whole text would treat a final sigma apart
             low = part.lower() if part.isascii() or "Σ" not in part else "".join(map(str.lower, part))
             if low.isalpha():
-                out.append(low.encode())
+                out.append(low)
             else:
-                out += [m[0].encode() for m in self.pieces.finditer(low)]
+                out += self.pieces.findall(low)
         return out
 
-    def _learn(self, chunks: list[str]) -> dict[str, bytes]:
-        """Ids of runs without white space, as 32-bit integers."""
-        pieces = [self._pieces(c) for c in chunks]
-        short = list({p for x in pieces for p in x if isinstance(p, bytes) and len(p) <= SHORT})
-        known = dict(zip(short, self.merged_words(short)))
-        out = {}
-        for chunk, parts in zip(chunks, pieces):
-            ids = []
-            for p in parts:
-                found = known.get(p)
-                if found is None:
-                    found = array("i", [p] if isinstance(p, int) else self.stream((p,))).tobytes()
-                ids.append(found)
-            out[chunk] = b"".join(ids)
-        return out
+    def _learn(self, chunks: Iterable[str]) -> None:
+        """Put runs without white space, and the words in them, into the table of known ones.
+
+        A word alone is a run with that one word, so one table serves both.
+        """
+        known = self.known
+        pieces = {c: self._pieces(c) for c in chunks}
+        fresh = {p: p.encode() for x in pieces.values() for p in x if isinstance(p, str) and p not in known}
+        short = [p for p, data in fresh.items() if len(data) <= SHORT]
+        known.update(zip(short, self.merged_words([fresh.pop(p) for p in short])))
+        for p, data in fresh.items():
+            known[p] = array("i", self.stream((data,))).tobytes()
+        for chunk, parts in pieces.items():
+            if len(parts) != 1 or parts[0] != chunk:
+                known[chunk] = b"".join([known[p] if isinstance(p, str) else array("i", [p]).tobytes() for p in parts])
+
+    def _runs(self, part: str) -> list[str]:
+        """Runs without white space; lower-cased where that changes no result, so that fewer differ."""
+        if "<" not in part and "Σ" not in part:
+            low = part.lower()
+            if part.isascii() or unicodedata.is_normalized("NFC", part) and unicodedata.is_normalized("NFC", low):
+                part = low
+        return list(filter(None, _WHITE.split(part))) if _CONTROL_GAPS.search(part) else part.split()
 
     def encode_texts(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of whole texts; what is new among their words is merged together."""
@@ -268,16 +276,16 @@ class WordBpe:
             while stop < len(work) and (stop == start or size + len(work[stop][1]) <= AT_ONCE):
                 size += len(work[stop][1])
                 stop += 1
-            group = [(i, _WHITE.split(p) if _CONTROL_GAPS.search(p) else p.split()) for i, p in work[start:stop]]
-            used = set().union(*(chunks for _, chunks in group)) - {""}
-            table = {c: ids for c in used if (ids := self.known.get(c)) is not None}
-            table |= self._learn(list(used - table.keys()))
-            table[""] = b""
-            if len(self.known) > self.cache_words:
-                self.known = {}
-            self.known |= {c: ids for c, ids in table.items() if len(c) <= SHORT}
+            group = [(i, self._runs(p)) for i, p in work[start:stop]]
+            used = set().union(*(chunks for _, chunks in group))
+            fresh = used.difference(self.known)
+            if len(self.known) + len(fresh) > self.cache_words:
+                self.known = {c: self.known[c] for c in used - fresh}
+            self._learn(fresh)
             for i, chunks in group:
-                out[i].append(b"".join(map(table.__getitem__, chunks)))
+                out[i].append(b"".join(map(self.known.__getitem__, chunks)))
+            if max(map(len, fresh), default=0) > SHORT:
+                self.known = {c: ids for c, ids in self.known.items() if len(c) <= SHORT}
             start = stop
         return [np.frombuffer(b"".join(x), np.int32) for x in out]
 
@@ -285,6 +293,17 @@ class WordBpe:
         """Ids of a whole text."""
         return self.encode_texts([text])[0]
 
+    def byte_table(self) -> np.ndarray:
+        """What each id stands for in bytes: a word end is a blank, special tokens are themselves."""
+        byte = {c: bytes([b]) for b, c in enumerate(byte_letters())}
+        table = np.full(max(self.tokens) + 1, b"", dtype=object)
+        special = set(self.special.values())
+        for i, token in self.tokens.items():
+            word = token.removesuffix(WORD_END)
+            ended = b" " if word != token else b""
+            table[i] = token.encode() if i in special else b"".join(map(byte.__getitem__, word)) + ended
+        return table
+
     def token_table(self) -> np.ndarray:
         """Token texts by id."""
         table = np.full(max(self.tokens) + 1, "", dtype=object)
@@ -292,6 +311,20 @@ class WordBpe:
         return table
 
 
+_MODELS: dict[tuple[str, int], WordBpe] = {}
+
+
+def shared_model(spec: str, cache_words: int) -> WordBpe:
+    """The one model of a worker process, with the words that earlier tasks met.
+
+    One is kept, so a worker's memory does not grow with the models it has seen.
+    """
+    if (spec, cache_words) not in _MODELS:
+        _MODELS.clear()
+        _MODELS[spec, cache_words] = WordBpe(spec, cache_words)
+    return _MODELS[spec, cache_words]
+
+
 class TextDecoder:
     """Turns tokens into text bit by bit.
 
@@ -301,28 +334,19 @@ class TextDecoder:
     """
 
     def __init__(self, model: WordBpe, plain: bool = False):
-        self.table, self.plain, self.first = model.token_table(), plain, True
-        self.byte = {c: b for b, c in enumerate(byte_letters())}
-        self.special = set(model.special)
+        self.plain, self.first = plain, True
+        self.table = model.byte_table() if plain else model.token_table()
         self.chars = codecs.getincrementaldecoder("utf-8")("replace")
 
     def feed(self, ids: np.ndarray | list[int]) -> str:
         if not len(ids):
             return ""
         tokens = self.table[np.asarray(ids)].tolist()
-        if not self.plain:
-            lead, self.first = "" if self.first else " ", False
-            return lead + " ".join(tokens)
-        out = []
-        for token in tokens:
-            if token in self.special:
-                out.append(self.chars.decode(b"", True) + token)
-                continue
-            word = token.removesuffix(WORD_END)
-            out.append(self.chars.decode(bytes(self.byte[c] for c in word), word is not token and word != token))
-            if word != token:
-                out.append(" ")
-        return "".join(out)
+        if self.plain:
+            # the blank after a word and a special token's "<" also end an unfinished character
+            return self.chars.decode(b"".join(tokens))
+        lead, self.first = "" if self.first else " ", False
+        return lead + " ".join(tokens)
 
     def finish(self) -> str:
         self.first = True
