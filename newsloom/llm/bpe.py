@@ -21,6 +21,7 @@ import codecs
 import heapq
 import json
 import re
+import string
 import unicodedata
 from array import array
 from collections.abc import Iterable, Iterator
@@ -41,6 +42,8 @@ SHORT = 48
 AT_ONCE = 1 << 20
 #: Separators that ``str.split`` knows besides Unicode white space.
 _CONTROL_GAPS = re.compile("[\x1c-\x1f]")
+#: Signs that stay together after a word; special tokens begin with "<".
+_SIGNS = string.punctuation.replace("<", "")
 _WHITE = regex.compile(r"\p{White_Space}+")
 
 
@@ -222,12 +225,6 @@ class WordBpe:
 
     def _pieces(self, chunk: str) -> list[str | int]:
         """Words of a run without white space, and ids of special tokens in it."""
-        if chunk.isascii():
-            low = chunk.lower()
-            if low.isalpha():
-                return [low]
-            if low[-1] in ".,;:!?" and low[:-1].isalpha():
-                return [low[:-1], low[-1]]
         out: list[str | int] = []
         for part in self.cut.split(chunk) if self.cut and "<" in chunk else (chunk,):
             if part in self.special:
@@ -248,15 +245,32 @@ class WordBpe:
         A word alone is a run with that one word, so one table serves both.
         """
         known = self.known
-        pieces = {c: self._pieces(c) for c in chunks}
-        fresh = {p: p.encode() for x in pieces.values() for p in x if isinstance(p, str) and p not in known}
-        short = [p for p, data in fresh.items() if len(data) <= SHORT]
-        known.update(zip(short, self.merged_words([fresh.pop(p) for p in short])))
-        for p, data in fresh.items():
-            known[p] = array("i", self.stream((data,))).tobytes()
-        for chunk, parts in pieces.items():
-            if len(parts) != 1 or parts[0] != chunk:
-                known[chunk] = b"".join([known[p] if isinstance(p, str) else array("i", [p]).tobytes() for p in parts])
+        parts: dict[str, list[str | int]] = {}
+        ended: list[tuple[str, str, str]] = []
+        fresh: set[str] = set()
+        for c in chunks:
+            if c == c.lower() and (c.isascii() or unicodedata.is_normalized("NFC", c)):
+                # a word, or a word and the signs after it: most runs are
+                word = c.rstrip(_SIGNS)
+                if word.isalpha():
+                    fresh.add(word)
+                    if word != c:
+                        signs = c[len(word) :]
+                        fresh.add(signs)
+                        ended.append((c, word, signs))
+                    continue
+            parts[c] = self._pieces(c)
+            fresh.update(p for p in parts[c] if isinstance(p, str))
+        words = list(fresh.difference(known))
+        data = [p.encode() for p in words]
+        known.update((p, ids) for p, d, ids in zip(words, data, self.merged_words(data)) if len(d) <= SHORT)
+        for p, d in zip(words, data):
+            if len(d) > SHORT:
+                known[p] = array("i", self.stream((d,))).tobytes()
+        known.update((c, known[word] + known[signs]) for c, word, signs in ended)
+        for c, found in parts.items():
+            if found != [c]:
+                known[c] = b"".join([known[p] if isinstance(p, str) else array("i", [p]).tobytes() for p in found])
 
     def _runs(self, part: str) -> list[str]:
         """Runs without white space; lower-cased where that changes no result, so that fewer differ."""
