@@ -383,46 +383,54 @@ def _lists(rows: list[np.ndarray]) -> pa.Array:
 OUTPUT_ROWS = 256
 
 
-def encode(df: DataFrame, model: WordBpe, text_col: str = "text", ids_col: str = "token_ids") -> DataFrame:
-    """Add the token ids of ``text_col`` as ``ids_col`` (array<int>)."""
-    return _mapped(df, text_col, ids_col, T.ArrayType(T.IntegerType()), _Encode(model))
+def encode(df: DataFrame, model: WordBpe, text_col: str = "text", ids_col: str = "token_ids", decoded_col: str | None = None, plain: bool = False) -> DataFrame:
+    """Add the token ids of ``text_col`` as ``ids_col`` (array<int>).
+
+    With ``decoded_col`` the ids are decoded again in the same pass over the
+    rows, as ``decode`` does.
+    """
+    targets = {ids_col: T.ArrayType(T.IntegerType())} | ({decoded_col: T.StringType()} if decoded_col else {})
+    return _mapped(df, text_col, targets, _Encode(model, _Decode(model, plain) if decoded_col else None))
 
 
 def decode(df: DataFrame, model: WordBpe, ids_col: str = "token_ids", text_col: str = "decoded", plain: bool = False) -> DataFrame:
     """Add the text of ``ids_col`` as ``text_col``."""
-    return _mapped(df, ids_col, text_col, T.StringType(), _Decode(model, plain))
+    return _mapped(df, ids_col, {text_col: T.StringType()}, _Decode(model, plain))
 
 
 class _Encode:
-    def __init__(self, model):
-        self.model = model
+    def __init__(self, model, decoder):
+        self.model, self.decoder = model, decoder
 
-    def __call__(self, column: pa.Array) -> pa.Array:
-        return _lists(self.model.encode_texts([t or "" for t in column.to_pylist()]))
+    def __call__(self, column: pa.Array) -> list[pa.Array]:
+        ids = _lists(self.model.encode_texts([t or "" for t in column.to_pylist()]))
+        return [ids, *self.decoder(ids)] if self.decoder else [ids]
 
 
 class _Decode:
     def __init__(self, model, plain):
         self.model, self.plain, self.machine = model, plain, None
 
-    def __call__(self, column: pa.Array) -> pa.Array:
+    def __call__(self, column: pa.Array) -> list[pa.Array]:
         self.machine = self.machine or TextDecoder(self.model, self.plain)
         flat = column.cast(pa.list_(pa.int32()))
-        return pa.array([self.machine.feed(x.values.to_numpy() if x.is_valid else []) + self.machine.finish() for x in flat], pa.string())
+        texts = [self.machine.feed(x.values.to_numpy() if x.is_valid else []) + self.machine.finish() for x in flat]
+        return [pa.array(texts, pa.string())]
 
 
-def _mapped(df: DataFrame, source: str, target: str, kind: T.DataType, work) -> DataFrame:
-    if target in df.columns:
-        raise ValueError(f"column {target} exists already")
+def _mapped(df: DataFrame, source: str, targets: dict[str, T.DataType], work) -> DataFrame:
+    for name in targets:
+        if name in df.columns:
+            raise ValueError(f"column {name} exists already")
     at = df.columns.index(source)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for start in range(0, whole.num_rows, OUTPUT_ROWS):
                 batch = whole.slice(start, OUTPUT_ROWS)
-                yield pa.RecordBatch.from_arrays([*batch.columns, work(batch.column(at))], names=[*batch.schema.names, target])
+                yield pa.RecordBatch.from_arrays([*batch.columns, *work(batch.column(at))], names=[*batch.schema.names, *targets])
 
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(target, kind)]))
+    return df.mapInArrow(run, T.StructType([*df.schema.fields, *(T.StructField(n, t) for n, t in targets.items())]))
 
 
 def with_digests(df: DataFrame, ids_col: str, text_col: str) -> DataFrame:

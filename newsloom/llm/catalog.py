@@ -35,8 +35,8 @@ def op3_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts and digests of every document, encoded and decoded again."""
     model = bpe.load_model(tokenizer_path())
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    coded = bpe.encode(docs, model, "text", "token_ids").drop("text")
-    return bpe.with_digests(bpe.decode(coded, model), "token_ids", "decoded").select(
+    coded = bpe.encode(docs, model, "text", "token_ids", decoded_col="decoded")
+    return bpe.with_digests(coded, "token_ids", "decoded").select(
         "doc_id", "n_tokens", "ids_sha256", "decoded_sha256"
     )
 

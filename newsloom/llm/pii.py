@@ -1,7 +1,8 @@
 """Personal data in texts: fixed patterns, and more spans by weak supervision.
 
 The base patterns (email, ip, card, phone) always count.  Besides them, words
-with digits are candidates for secrets.  Several labelers - patterns, word lists
+with digits are candidates for secrets, and so are words without one that begin
+with a listed prefix or are assigned to a word for a secret.  Several labelers - patterns, word lists
 and context - each vote for, against or not at all; expectation-maximisation
 estimates how reliable each labeler is and how likely each voting pattern means
 personal data, without any labelled rows.  A logistic classifier on features of
@@ -49,10 +50,17 @@ MIN_CANDIDATE = 6
 # word lists of the labelers
 KEY_PREFIXES = ("AKIA", "ASIA", "ghp_", "gho_", "glpat-", "sk-", "sk_", "pk_", "xoxb-", "xoxp-", "eyJ", "AIza")
 SECRET_WORDS = re.compile(r"(?i)(?:token|passw(?:or)?d|pwd|secret|api.?key|access.?key|bearer|credential)")
+_ASSIGNED = re.compile(
+    r"(?:[tT]oken|TOKEN|[pP]assw(?:or)?d|PASSW(?:OR)?D|[pP]wd|PWD|[sS]ecret|SECRET|(?:[aA]pi|API|[aA]ccess|ACCESS)[ _-]?(?:[kK]ey|KEY)|[bB]earer|[cC]redential)s?"
+    r"[\"']?[ \t]*[=:][ \t]*[\"']?(?=([A-Za-z0-9_/+-]+))"
+)
+_PREFIXED = re.compile("(?<![A-Za-z0-9_/+-])(?=(?:" + "|".join(map(re.escape, KEY_PREFIXES)) + ")([A-Za-z0-9_/+-]*))")
 PLAIN_WORDS = re.compile(r"(?i)(?:version|chapter|section|page|figure|table|vol|isbn|doi|license|edition|rev)\W*\Z")
 
 LABELERS = ("prefix", "secret_word", "plain_word", "assigned", "entropy", "shape")
 FEATURES = 10
+#: Characters before a span that the context labelers read.
+CONTEXT = 24
 
 
 def luhn(digits: str) -> bool:
@@ -111,15 +119,22 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found, key=lambda x: (x[0], x[2]))
 
 
+def _words(text: str) -> Iterator[tuple[int, int]]:
+    """Words with a digit, and words without one that a prefix or an assignment points at; by start."""
+    found = [m.span() for m in _WORD.finditer(text)] if _DIGIT.search(text) else []
+    pointed = [(m.start(), m.end(1)) for m in _PREFIXED.finditer(text)]
+    if "=" in text or ":" in text:
+        pointed += [m.span(1) for m in _ASSIGNED.finditer(text)]
+    more = [(s, e) for s, e in pointed if not _DIGIT.search(text, s, e)]
+    return iter(sorted({*found, *more}) if more else found)
+
+
 def candidates(text: str, taken: list[tuple[int, int, int]]) -> Iterator[tuple[int, int]]:
-    """Words with digits that no base span cuts or covers; a word may hold base spans."""
-    if not _DIGIT.search(text):
-        return
+    """Words that may be secrets and that no base span cuts or covers; a word may hold base spans."""
     spans = sorted({(s, e) for s, e, _ in taken})
     ends = np.maximum.accumulate([e for _, e in spans]) if spans else []
     starts, same = [s for s, _ in spans], set(spans)
-    for m in _WORD.finditer(text):
-        start, end = m.start(), m.end()
+    for start, end in _words(text):
         while end > start and text[end - 1] in "_/+-":
             end -= 1
         if end - start < MIN_CANDIDATE:
@@ -138,12 +153,12 @@ def _entropy(word: str) -> float:
 
 def describe(text: str, start: int, end: int) -> tuple[int, int]:
     """Votes of the labelers as a base-3 number, and the feature bits."""
-    word, before = text[start:end], text[max(0, start - 24) : start]
+    word, before = text[start:end], text[max(0, start - CONTEXT) : start]
     n = len(word)
     digits, lower, upper = (sum(map(f, word)) for f in (str.isdigit, str.islower, str.isupper))
     mixed = digits >= 2 and lower + upper >= 2
     hexed = all(c in "0123456789abcdef" for c in word) or all(c in "0123456789ABCDEF" for c in word)
-    spread = _entropy(word[:256])
+    spread = _entropy(word)
     near, plain = SECRET_WORDS.search(before) is not None, PLAIN_WORDS.search(before) is not None
     assigned = before.rstrip(" \"'")[-1:] in ("=", ":") or before[-1:] in ("\"", "'")
     known = word.startswith(KEY_PREFIXES)
@@ -228,7 +243,7 @@ def fit(df: DataFrame, text_col: str = "text") -> SpanModel:
         found: Counter = Counter()
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                if text and _DIGIT.search(text):
+                if text:
                     base = base_spans(text)
                     found.update(describe(text, s, e) for s, e in candidates(text, base))
         rows = list(found.items())

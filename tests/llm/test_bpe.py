@@ -69,3 +69,33 @@ def test_merge_list_must_be_proper(model):
     vocab |= {"xq": 600, "zz": 601, "xqzz": 602}
     with pytest.raises(ValueError):
         bpe.WordBpe(bad % json.dumps(vocab))
+
+
+def test_encode_decodes_in_the_same_pass(spark, docs, model):
+    texts = [None, "", "naïve 🙂 It's 9 % <|endoftext|>", "x" * 3000, "Wörter, wörter."]
+    df = docs(list(enumerate(texts)))
+    for plain in (False, True):
+        want = bpe.decode(bpe.encode(df, model), model, plain=plain).orderBy("doc_id").collect()
+        got = bpe.encode(df, model, decoded_col="decoded", plain=plain).orderBy("doc_id").collect()
+        assert got == want
+    assert got[2]["decoded"].split() == "naïve 🙂 it 's 9 % <|endoftext|>".split()
+    with pytest.raises(ValueError):
+        bpe.encode(df, model, decoded_col="text")
+
+
+def test_plain_decoder_marks_bytes_without_a_character(model):
+    machine = bpe.TextDecoder(model, plain=True)
+    smile = "🙂".encode()
+    ids = [*(model.inner[b] for b in smile[:2]), model.special["<|endoftext|>"], *(model.inner[b] for b in smile[:3]), model.final[smile[3]], model.inner[smile[0]]]
+    assert "".join(machine.feed([i]) for i in ids) + machine.finish() == "�<|endoftext|>🙂 �"
+    assert machine.feed(ids) + machine.finish() == "�<|endoftext|>🙂 �"
+
+
+def test_word_table_stays_bounded(model, library):
+    small = bpe.WordBpe(model.spec, cache_words=50)
+    rng = random.Random(6)
+    texts = [" ".join("".join(rng.choices("abcdé.", k=rng.randint(1, 6))) for _ in range(40)) + " " + "z" * 60 for _ in range(30)]
+    for text in texts:
+        assert small.encode(text).tolist() == library.encode(text, add_special_tokens=False).ids
+        assert all(len(w) <= bpe.SHORT for w in small.known)
+    assert len(small.known) <= 50 + 3 * 41

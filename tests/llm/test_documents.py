@@ -343,3 +343,18 @@ def test_shards_hold_every_sequence_once(spark, docs):
     resumed = list(training_order.read_sequences(folder, length=32, stride=16, start=21))
     assert all((a == b).all() for a, b in zip(resumed, read[21:])) and len(resumed) == len(read) - 21
     assert training_order.write_shards(training_order.pack(docs([]), model, end), shared_path(spark, "none"), 7).count() == 0
+
+
+def test_secrets_without_digits_are_candidates():
+    text = "password = correcthorsebattery, ghp_abcdefghijkl, Token: 'opensesamenow' api_key=ab12cd34ef, a secret garden, plainwords"
+    found = [text[s:e] for s, e in pii.candidates(text, [])]
+    assert found == ["correcthorsebattery", "ghp_abcdefghijkl", "opensesamenow", "ab12cd34ef"]
+    start = text.index("correct")
+    code, bits = pii.describe(text, start, start + len("correcthorsebattery"))
+    votes = dict(zip(pii.LABELERS, pii._vote_matrix(np.array([code]))[0].tolist()))
+    assert votes["secret_word"] == votes["assigned"] == 2 and bits >> 8 & 1
+    # what a base span covers is none, and a long word counts whole
+    at = text.index("opensesamenow")
+    assert "opensesamenow" not in [text[s:e] for s, e in pii.candidates(text, [(at - 2, at + 5, 0)])]
+    word = "a1" * 200 + "".join(map(chr, range(65, 91))) * 20
+    assert pii._entropy(word) > 4 and pii.describe(word, 0, len(word))[1] >> 5 & 1

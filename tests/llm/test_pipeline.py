@@ -25,6 +25,8 @@ def test_stages_in_turn(spark):
     model = bpe.load_model(catalog.tokenizer_path())
     for r in kept.limit(50).collect():
         assert model.encode(texts[r["doc_id"]]).tolist() == list(r["token_ids"])
+        machine = bpe.TextDecoder(model, plain=True)
+        assert machine.feed(r["token_ids"]) + machine.finish() == r["decoded"]
     assert kept.count() == corpus_pipeline.run(spark, SF).count()
 
 
