@@ -36,9 +36,10 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each document."""
-    coded = bpe.encode(docs.select("doc_id", "lang", "source", "text"), bpe.load_model(catalog.tokenizer_path()))
-    return coded.select("doc_id", "lang", "source", F.size("token_ids").cast("bigint").alias("n_tokens"), "token_ids")
+    """Token ids of each document, and the text they decode to."""
+    model = bpe.load_model(catalog.tokenizer_path())
+    coded = bpe.encode(docs.select("doc_id", "lang", "source", "text"), model, decoded_col="decoded", plain=True)
+    return coded.select("doc_id", "lang", "source", F.size("token_ids").cast("bigint").alias("n_tokens"), "token_ids", "decoded")
 
 
 STAGES = [
