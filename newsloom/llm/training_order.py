@@ -5,9 +5,11 @@ length; a task packs what it reads, so only its last sequence is filled up.  The
 sequences are numbered by where the written table holds them.  A keyed Feistel
 permutation of that many numbers, with cycle walking, gives each sequence its
 slot in the training order: no two meet, none is missing, and neither a sort by
-random keys nor any table of the order is needed.  Slots are range-partitioned
-into shards of equal stride; record k of a run of shards lies at a fixed offset,
-so reading is sequential and can resume anywhere.
+random keys nor any table of the order is needed.  Slots are range-partitioned,
+several shards of equal stride to a part; record k of a run of shards lies at a
+fixed offset, so reading is sequential and can resume anywhere.  A manifest says
+how many sequences there are, and reading fails at a shard that is missing or
+too short.
 
 A shard's content follows from key and table alone.  It is written under another
 name and moved into place, so a task that runs twice does no harm.
@@ -20,6 +22,7 @@ columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import json
 import uuid
 from collections.abc import Iterator
 
@@ -35,6 +38,11 @@ from newsloom.llm.common import mix64, shared_path, write_table
 LENGTH = 1024
 #: Sequences per shard.
 STRIDE = 4096
+#: Shards that one task writes, one after another.
+SHARDS_PER_PART = 8
+#: Files of the sequence table up to which their offsets are copied to each task.
+COPIED_FILES = 100_000
+MANIFEST = "manifest.json"
 ROUNDS = 6
 
 
@@ -101,6 +109,13 @@ def shard_name(shard: int) -> str:
     return f"shard-{shard:08d}.bin"
 
 
+def _write_manifest(folder: str, count: int, stride: int, key: int) -> None:
+    store, base = _opened(folder)
+    store.create_dir(base, recursive=True)
+    with store.open_output_stream(f"{base}/{MANIFEST}", compression=None) as f:
+        f.write(json.dumps({"count": count, "stride": stride, "key": key}).encode())
+
+
 def write_shards(sequences: DataFrame, folder: str, key: int, stride: int = STRIDE) -> DataFrame:
     """Write ``sequences`` (first_id, n_ids, ids) in training order; one row per sequence says where it is.
 
@@ -122,11 +137,12 @@ def write_shards(sequences: DataFrame, folder: str, key: int, stride: int = STRI
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(slot), pa.array(slot // stride)], names=["first_id", "n_ids", "ids", "slot", "shard"])
 
     placed = (
-        table.join(F.broadcast(offsets), "file")
+        table.join(F.broadcast(offsets) if len(counts) <= COPIED_FILES else offsets, "file")
         .select("first_id", "n_ids", "ids", (F.col("start") + F.col("row")).alias("number"))
         .mapInArrow(place, "first_id bigint, n_ids int, ids binary, slot bigint, shard bigint")
     )
-    shards = max(1, -(-total // stride))
+    parts = max(1, -(-total // (stride * SHARDS_PER_PART)))
+    _write_manifest(folder, total, stride, key)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, base = _opened(folder)
@@ -154,19 +170,25 @@ def write_shards(sequences: DataFrame, folder: str, key: int, stride: int = STRI
         close()
 
     # a shard is whole within one part: parts are ranges of shards
-    ordered = placed.repartitionByRange(shards, "shard").sortWithinPartitions("slot")
+    ordered = placed.repartitionByRange(parts, "shard").sortWithinPartitions("slot")
     written = ordered.mapInArrow(write, "first_id bigint, n_ids int, slot bigint, shard bigint, ids_sha256 string")
     return written.withColumn("place", F.col("slot") % stride)
 
 
-def read_sequences(folder: str, length: int = LENGTH, stride: int = STRIDE, start: int = 0, kind: str = "<u2") -> Iterator[np.ndarray]:
-    """Sequences from slot ``start`` on, in order."""
+def read_sequences(folder: str, length: int = LENGTH, start: int = 0, kind: str = "<u2") -> Iterator[np.ndarray]:
+    """Sequences from slot ``start`` on, in order; fails if one that the manifest counts is not there."""
     store, base = _opened(folder)
+    with store.open_input_stream(f"{base}/{MANIFEST}", compression=None) as f:
+        manifest = json.loads(f.read())
+    count, stride = manifest["count"], manifest["stride"]
     size = length * np.dtype(kind).itemsize
-    shard, skip = divmod(start, stride)
-    while store.get_file_info(f"{base}/{shard_name(shard)}").type == fs.FileType.File:
+    while start < count:
+        shard, skip = divmod(start, stride)
+        end = min(count, (shard + 1) * stride)
         with store.open_input_file(f"{base}/{shard_name(shard)}") as f:
+            if f.size() != (end - shard * stride) * size:
+                raise ValueError(f"{shard_name(shard)} has {f.size()} bytes instead of {(end - shard * stride) * size}")
             f.seek(skip * size)
-            while data := f.read(size):
-                yield np.frombuffer(data, kind)
-        shard, skip = shard + 1, 0
+            for _ in range(start, end):
+                yield np.frombuffer(f.read(size), kind)
+        start = end

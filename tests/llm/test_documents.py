@@ -323,15 +323,39 @@ def test_permutation_is_one_to_one(size):
         assert abs(np.corrcoef(np.arange(size), out)[0, 1]) < 0.1
 
 
+def _slot(number, size, key):
+    """The keyed permutation with plain integers."""
+    full = 2**64
+
+    def mixed(x):
+        x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 % full
+        x = (x ^ (x >> 27)) * 0x94D049BB133111EB % full
+        return x ^ (x >> 31)
+
+    half = max(1, -(-max(size - 1, 1).bit_length() // 2))
+    while True:
+        left, right = divmod(number, 2**half)
+        for k in range(1, training_order.ROUNDS + 1):
+            left, right = right, left ^ (mixed((right + mixed((k * 0x9E3779B97F4A7C15 + key) % full)) % full) % 2**half)
+        number = left * 2**half + right
+        if number < size:
+            return number
+
+
+def test_slots_equal_plain_integers():
+    for size, key in ((1, 3), (777, 5), (4097, 2**63 + 11)):
+        assert training_order.permuted(np.arange(size), size, key).tolist() == [_slot(n, size, key) for n in range(size)]
+
+
 def test_shards_hold_every_sequence_once(spark, docs):
     model = bpe.load_model(catalog.tokenizer_path())
     rng = random.Random(5)
-    rows = [(i, " ".join(rng.choice(["alpha", "beta", "gamma"]) for _ in range(rng.randrange(0, 120)))) for i in range(80)] + [(200, None), (200, None), (None, "x")]
+    rows = [(i, " ".join(rng.choice(["alpha", "beta", "gamma"]) for _ in range(rng.randrange(0, 120)))) for i in range(80)] + [(200, None), (200, None), (None, "x"), (300, "long " * 90_000)]
     end = model.special["<|endoftext|>"]
     packed = training_order.pack(docs(rows).withColumn("ids", F.lit(1)).repartition(3), model, end, length=32)
     folder = shared_path(spark, "test-shards")
     out = training_order.write_shards(packed, folder, key=7, stride=16).collect()
-    read = list(training_order.read_sequences(folder, length=32, stride=16))
+    read = list(training_order.read_sequences(folder, length=32))
     assert sorted(r["slot"] for r in out) == list(range(len(read)))
     for r in out:
         assert hashlib.sha256(read[r["slot"]].tobytes()).hexdigest() == r["ids_sha256"]
@@ -340,9 +364,15 @@ def test_shards_hold_every_sequence_once(spark, docs):
     want = sorted(model.encode(t or "").tolist() for _, t in rows)
     flat = sum(len(x) + 1 for x in want)
     assert sum(r["n_ids"] for r in out) == flat
-    resumed = list(training_order.read_sequences(folder, length=32, stride=16, start=21))
+    resumed = list(training_order.read_sequences(folder, length=32, start=21))
     assert all((a == b).all() for a, b in zip(resumed, read[21:])) and len(resumed) == len(read) - 21
     assert training_order.write_shards(training_order.pack(docs([]), model, end), shared_path(spark, "none"), 7).count() == 0
+    # a shard that ends early and one that is not there are both told
+    short = len(read) + 1 if len(read) % 16 else len(read) + 16
+    for count in (short, (len(read) // 16 + 2) * 16):
+        training_order._write_manifest(folder, count, 16, 7)
+        with pytest.raises((ValueError, FileNotFoundError)):
+            list(training_order.read_sequences(folder, length=32))
 
 
 def test_secrets_without_digits_are_candidates():
