@@ -11,9 +11,9 @@ holds the same symbol.
 Each window is represented by the smallest symbol it is sure to hold, together
 with the stretch that made it (a window without one stands for itself).  Symbols
 that occur once cannot belong to a repeated window and drop out, which leaves a
-small part of the corpus; for the
-windows of shared symbols the whole word sequence is compared, and all but the
-first occurrence (by id, then place) are removed.
+small part of the corpus; the
+windows of shared symbols are compared by a 128-bit BLAKE2 digest of their words,
+and all but the first occurrence (by id, then place) are removed.
 
 Ids are taken to be unique; rows that repeat a row get its result.  Rows with a
 null id, a null text or fewer words than a window stay as they are and take no
@@ -23,19 +23,21 @@ part.  Extra columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.functions.texts import bind
-from newsloom.llm.common import WORD_GAP, mix64, release, staged
+from newsloom.llm.common import WORD_GAP, mix64, release, staged, text_slices
 
 WINDOW = 20
 LEVELS = 2
 _STEP = np.uint64(0x9E3779B97F4A7C15)
-_BASES = (0x5851F42D4C957F2D, 0xD1342543DE82EF95)
+_BASE = 0x5851F42D4C957F2D
+_BLANK = 0x20
 
 
 def words(text: Column) -> Column:
@@ -44,6 +46,32 @@ def words(text: Column) -> Column:
     return F.when(body == "", F.array().cast("array<string>")).otherwise(F.split(body, WORD_GAP))
 
 
+def word_line(text: str) -> bytes:
+    """Words of a text in UTF-8 with one blank between; ``bytes.split`` knows the same gaps as WORD_GAP."""
+    return b" ".join(filter(None, (b" ".join(part.encode().split()) for part in text_slices(text))))
+
+
+def word_codes(text: str) -> np.ndarray:
+    """64-bit hash of each word."""
+    return np.concatenate([np.fromiter(map(xxhash.xxh3_64_intdigest, part.encode().split()), np.uint64) for part in text_slices(text)])
+
+
+def window_digests(line: bytes, at: np.ndarray, window: int) -> np.ndarray:
+    """Digest of the words of the windows that start at the words ``at``, each as two 64-bit numbers."""
+    gaps = np.flatnonzero(np.frombuffer(line, np.uint8) == _BLANK)
+    starts, ends = np.r_[0, gaps + 1], np.r_[gaps, len(line)]
+    view = memoryview(line)
+    found = [blake2b(view[a:b], digest_size=16).digest() for a, b in zip(starts[at].tolist(), ends[at + window - 1].tolist())]
+    return np.frombuffer(b"".join(found), np.int64).reshape(-1, 2)
+
+
+def without_words(line: bytes, gone: np.ndarray) -> str:
+    """What is left of a line once the words marked in ``gone`` are out."""
+    data = np.frombuffer(line + b" ", np.uint8)
+    sizes = np.diff(np.r_[0, np.flatnonzero(data == _BLANK) + 1])
+    return data[np.repeat(~gone, sizes)].tobytes()[:-1].decode()
+
+
 def _joined(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Codes of several documents in one array, a gap before, between and after; and where each starts."""
     sizes = np.array([len(p) for p in parts])
@@ -82,7 +110,7 @@ def symbols(codes: np.ndarray, gaps: np.ndarray, levels: int = LEVELS) -> tuple[
     return name[~gap], np.minimum.accumulate(first[::-1])[::-1][~gap], np.maximum.accumulate(end)[~gap]
 
 
-def stretch_keys(codes: np.ndarray, first: np.ndarray, end: np.ndarray, base: int) -> np.ndarray:
+def stretch_keys(codes: np.ndarray, first: np.ndarray, end: np.ndarray, base: int = _BASE) -> np.ndarray:
     """64-bit hash of the words in each stretch."""
     power = np.cumprod(np.r_[np.uint64(1), np.full(len(codes), base, np.uint64)])
     back = np.cumprod(np.r_[np.uint64(1), np.full(len(codes), pow(base, -1, 2**64), np.uint64)])
@@ -116,7 +144,7 @@ def anchors(parts: list[np.ndarray], window: int = WINDOW, levels: int = LEVELS)
     # neighbouring windows with the same occurrence of a symbol make one row
     new = np.flatnonzero(np.r_[True, (which[1:] != which[:-1]) | alone[1:] | (doc[1:] != doc[:-1])]) if len(at) else np.empty(0, int)
     length = np.diff(np.r_[new, len(at)])
-    keys = stretch_keys(mix64(codes + _STEP), lo[new], hi[new], _BASES[0])
+    keys = stretch_keys(mix64(codes + _STEP), lo[new], hi[new])
     return doc[new], keys, (at - starts[doc])[new], length
 
 
@@ -127,7 +155,7 @@ _AT_ONCE = 1 << 19
 def _grouped(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, list[np.ndarray]]]:
     parts, start, held = [], 0, 0
     for i in range(batch.num_rows):
-        parts.append(batch.column(column)[i].values.to_numpy().view(np.uint64))
+        parts.append(word_codes(batch.column(column)[i].as_py()))
         held += len(parts[-1])
         if held >= _AT_ONCE or i + 1 == batch.num_rows:
             yield start, parts
@@ -158,24 +186,38 @@ def _window_rows(held: DataFrame, window: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, codes, spans = batch.columns
+            ids, texts, spans = batch.columns
             for i in range(batch.num_rows):
-                words = mix64(codes[i].values.to_numpy().view(np.uint64) + _STEP)
                 first, length = np.divmod(spans[i].values.to_numpy(), window)
                 length = length + 1
                 at = np.unique(np.repeat(first - np.cumsum(length) + length, length) + np.arange(int(length.sum())))
-                keys = [stretch_keys(words, at, at + window, b) for b in _BASES]
+                keys = window_digests(word_line(texts[i].as_py()), at, window).T
                 order = np.lexsort((at, *keys))
                 again = np.zeros(len(at), bool)
-                again[order[1:]] = (keys[0][order[1:]] == keys[0][order[:-1]]) & (keys[1][order[1:]] == keys[1][order[:-1]])
+                again[order[1:]] = (keys[:, order[1:]] == keys[:, order[:-1]]).all(0)
                 yield pa.RecordBatch.from_arrays(
-                    [*(pa.array(k.view(np.int64)) for k in keys), pa.array(np.full(len(at), ids[i].as_py())), pa.array(at.astype(np.int32)), pa.array(again)],
+                    [*map(pa.array, keys), pa.array(np.full(len(at), ids[i].as_py())), pa.array(at.astype(np.int32)), pa.array(again)],
                     names=["key", "key2", "id", "place", "again"],
                 )
 
     return held.mapInArrow(run, "key bigint, key2 bigint, id bigint, place int, again boolean")
 
 
+def _sizes(docs: DataFrame, window: int) -> DataFrame:
+    """(id, n_words, copy) of documents with a window; ``copy`` is the digest of all their words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lines = (word_line(t.as_py()) for t in batch.column(1))
+            found = [(line.count(b" ") + 1 if line else 0, blake2b(line, digest_size=16).digest()) for line in lines]
+            sized = pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array([n for n, _ in found], pa.int64()), pa.array([d for _, d in found], pa.binary())], names=["id", "n_words", "copy"]
+            )
+            yield sized.filter(pa.array([n >= window for n, _ in found], pa.bool_()))
+
+    return docs.mapInArrow(run, "id bigint, n_words bigint, copy binary")
+
+
 def without_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """Documents that lose words: id, n_words, n_removed and ``kept_text`` (kept words, one blank between).
 
@@ -184,21 +226,19 @@ def without_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Documents that keep all their words have no row.
     """
     docs = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).where(F.col("id").isNotNull() & F.col("text").isNotNull())
-    sized = docs.select("id", bind(words(F.col("text")), lambda w: F.struct(F.size(w).alias("n_words"), F.unhex(F.md5(F.array_join(w, " "))).alias("copy"))).alias("w"))
-    sized = staged(sized.select("id", "w.*").where(F.col("n_words") >= window), "sized")
+    sized = staged(_sizes(docs, window), "sized")
     heads = sized.groupBy("copy").agg(F.min("id").alias("head"), F.max("id").alias("last")).where("head <> last")
     # all words of a later copy go, and what it repeats its first copy repeats as well
     copies = staged(sized.join(heads, "copy").where("id <> head").select("id", "n_words"), "copies")
     rest = docs.join(copies.select("id"), "id", "left_anti")
-    coded = rest.select("id", F.transform(words(F.col("text")), lambda w: F.xxhash64(w)).alias("codes")).where(F.size("codes") >= window)
-    rows = staged(_anchor_rows(coded, window), "anchors")
+    rows = staged(_anchor_rows(rest, window), "anchors")
     # a table of its own, not a sum inside the join: then the join can split a frequent symbol
     shared = staged(rows.groupBy("symbol").agg(F.count("*").alias("n")).where("n > 1").select("symbol"), "shared")
     spans = staged(rows.join(shared, "symbol", "left_semi").groupBy("id").agg(F.collect_list("span").alias("spans")), "spans")
     release(rows, shared, sized)
     # only documents with shared symbols go on
-    held = staged(docs.join(spans, "id"), "held").withColumn("words", words(F.col("text")))
-    windows = staged(_window_rows(held.select("id", F.transform("words", lambda w: F.xxhash64(w)).alias("codes"), "spans"), window), "windows")
+    held = staged(docs.join(spans, "id"), "held")
+    windows = staged(_window_rows(held.select("id", "text", "spans"), window), "windows")
     fresh = windows.where("NOT again")
     first = staged(fresh.groupBy("key", "key2").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low <> high").drop("high"), "first")
     later = fresh.join(first, ["key", "key2"]).where("id <> low").select("id", "place").union(windows.where("again").select("id", "place"))
@@ -210,19 +250,19 @@ def without_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
             ids, texts, places = batch.columns
             total, removed, kept = [], [], []
             for i in range(batch.num_rows):
-                all_words = texts[i].as_py()
+                line = word_line(texts[i].as_py())
                 at = places[i].values.to_numpy()
-                step = np.zeros(len(all_words) + 1, np.int64)
+                step = np.zeros(line.count(b" ") + 2, np.int64)
                 np.add.at(step, at, 1)
                 np.add.at(step, at + window, -1)
                 gone = np.cumsum(step[:-1]) > 0
-                total.append(len(all_words))
+                total.append(len(gone))
                 removed.append(int(gone.sum()))
-                kept.append(" ".join(w for w, g in zip(all_words, gone.tolist()) if not g))
+                kept.append(without_words(line, gone))
             yield pa.RecordBatch.from_arrays(
                 [ids, pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], names=["id", "n_words", "n_removed", "kept_text"]
             )
 
-    changed = held.select("id", "words").join(places, "id").mapInArrow(run, "id bigint, n_words bigint, n_removed bigint, kept_text string")
-    gone = copies.select("id", F.col("n_words").cast("bigint").alias("n_words"), F.col("n_words").cast("bigint").alias("n_removed"), F.lit("").alias("kept_text"))
+    changed = held.select("id", "text").join(places, "id").mapInArrow(run, "id bigint, n_words bigint, n_removed bigint, kept_text string")
+    gone = copies.select("id", "n_words", F.col("n_words").alias("n_removed"), F.lit("").alias("kept_text"))
     return changed.union(gone).withColumnRenamed("id", id_col)

@@ -128,6 +128,25 @@ def test_repeats_equal_brute_force(docs):
     assert got == want
 
 
+def test_word_lines_and_digests_of_long_and_odd_texts():
+    rng = random.Random(4)
+    gaps = [" ", "\n", "\t", "\x0b", "\r\n", "  "]
+    words = [rng.choice(["a", "é\xa0b", "\x1cx", "\u2028", "w" * 300]) + str(rng.randrange(50)) for _ in range(20_000)]
+    text = "\n " + "".join(w + rng.choice(gaps) for w in words)
+    line = recompression.word_line(text)
+    assert line.decode().split(" ") == words == WORDS.findall(text)
+    codes = recompression.word_codes(text)
+    assert len(codes) == len(words) and len(set(zip(codes.tolist(), words))) == len(set(words)) == len(set(codes.tolist()))
+    at = np.array([0, 7, 19_980])
+    digests = recompression.window_digests(line, at, 20)
+    other = recompression.window_digests(" ".join(words[7:27]).encode(), np.array([0]), 20)
+    assert (digests[1] == other[0]).all() and (digests[0] != other[0]).any()
+    gone = np.array([rng.random() < 0.5 for _ in words])
+    assert recompression.without_words(line, gone) == " ".join(w for w, g in zip(words, gone) if not g)
+    assert recompression.without_words(b"a b", np.array([True, True])) == ""
+    assert recompression.word_line(" \n") == b"" and len(recompression.word_codes("")) == 0
+
+
 def test_repeats_of_odd_tables(docs):
     text = " ".join(map(str, range(30)))
     df = docs([(1, text), (1, text), (None, text), (4, text)]).withColumn("id", F.lit(9)).withColumn("words", F.lit("mine"))
