@@ -371,15 +371,21 @@ def seed_new_user_feed(users: DataFrame, enriched: DataFrame, existing: DataFram
         per_raw = top_rows(df, [*keys, "raw_news_id"], [F.col("pos")], 1)
         return top_rows(per_raw, keys, [F.col("pos")], cap, "rank")
 
-    people = users.select("user_id", user_topics(F.col("interests")).alias("topics"))
-    wanted = people.select("user_id", F.explode("topics").alias("topic"))
-    own = distinct_raw(wanted.join(latest, "topic"), ["user_id"], SEED_CAPS[1]).select("user_id", "ai_news_id", "ai_score", "rank", F.lit(1).alias("tier"))
+    # users with the same topics get the same picks, made once per distinct set of topics
+    people = users.select("user_id", F.array_sort(F.array_distinct(user_topics(F.col("interests")))).alias("topics"))
+    wanted = people.select("topics").distinct().select("topics", F.explode("topics").alias("topic"))
+    own = distinct_raw(wanted.join(latest, "topic"), ["topics"], SEED_CAPS[1]).withColumn("tier", F.lit(1))
+    pick = F.struct("ai_news_id", "ai_score", "rank", "tier")
+    picks = own.groupBy("topics").agg(F.collect_list(pick).alias("_own"))
     shared = latest.withColumn("all", F.lit(1))
     general = distinct_raw(shared.where("topic = 'general'"), ["all"], SEED_CAPS[2]).withColumn("tier", F.lit(2))
     anything = distinct_raw(shared, ["all"], SEED_CAPS[3]).withColumn("tier", F.lit(3))
     fallback = general.unionByName(anything)
     fallback = fallback.withColumn("best", F.min("tier").over(Window.partitionBy("all"))).where("tier = best")
-    packed = fallback.agg(F.collect_list(F.struct("ai_news_id", "ai_score", "rank", "tier")).alias("rows"))
-    without = people.select("user_id").join(own.select("user_id").distinct(), "user_id", "left_anti")
-    rest = without.withColumn("_rows", packed.scalar()).select("user_id", F.inline("_rows"))
-    return own.unionByName(rest).join(existing.select("user_id", "ai_news_id"), ["user_id", "ai_news_id"], "left_anti")
+    packed = fallback.agg(F.collect_list(pick).alias("rows"))
+    # users meet their sets first, and only then the picks that fan out
+    served = existing.groupBy("user_id").agg(F.collect_set("ai_news_id").alias("_served"))
+    given = people.join(served, "user_id", "left").join(picks, "topics", "left")
+    given = given.withColumn("_rows", F.coalesce("_own", packed.scalar())).select("user_id", "_served", F.inline("_rows"))
+    new = ~F.coalesce(F.array_contains("_served", F.col("ai_news_id")), F.lit(False))
+    return given.where(new).drop("_served")
