@@ -27,6 +27,10 @@ def _ranked(t):
     return plan.ranked_feed(*_tables(t), limit=LIMIT)
 
 
+def _shortlist(t):
+    return feed.shortlist(plan.slim_ranked(*_tables(t), limit=LIMIT)[0], LIMIT)
+
+
 def _seen(t):
     return profiles.seen_items(profiles.merge_interactions(t.v_interactions), t.as_of)
 
@@ -188,13 +192,13 @@ def _once(ctes: str, *names: str) -> str:
 
 # --- assembly ------------------------------------------------------------------------------------
 register("preference_slots",
-         lambda t: shape(feed.preference_slots(_ranked(t), LIMIT).where("slot_pos IS NOT NULL").select("user_id", "slot_pos", "slot_step", "ai_news_id")), VIEWS,
+         lambda t: shape(feed.preference_slots(_shortlist(t), LIMIT).where("slot_pos IS NOT NULL").select("user_id", "slot_pos", "slot_step", "ai_news_id")), VIEWS,
          "SELECT user_id, slot_pos, CAST(step AS BIGINT) AS slot_step, ai_news_id FROM slots WHERE slot_pos IS NOT NULL", f"{RANKED}, {SLOTS}")
 register("region_quota",
-         lambda t: shape(feed.region_quota(feed.preference_slots(_ranked(t), LIMIT), LIMIT).where("feed_pos IS NOT NULL").select("user_id", "feed_pos", "ai_news_id", "region")), VIEWS,
+         lambda t: shape(feed.region_quota(feed.preference_slots(_shortlist(t), LIMIT), LIMIT).where("feed_pos IS NOT NULL").select("user_id", "feed_pos", "ai_news_id", "region")), VIEWS,
          "SELECT user_id, feed_pos, ai_news_id, region FROM quota", f"{RANKED}, {SLOTS}, {QUOTA}")
 register("diversity_swaps",
-         lambda t: shape(feed.diversity_swaps(feed.region_quota(feed.preference_slots(_ranked(t), LIMIT), LIMIT), LIMIT).where("feed_pos IS NOT NULL").select(
+         lambda t: shape(plan.place(plan.slim_ranked(*_tables(t), limit=LIMIT)[0], LIMIT).select(
              "user_id", "feed_pos", "ai_news_id", "category")), VIEWS,
          "SELECT user_id, feed_pos, ai_news_id, category FROM swapped WHERE feed_pos IS NOT NULL", _once(f"{RANKED}, {SLOTS}, {QUOTA}, {SWAPS}", "ranked", "slots", "quota", "w1"))
 register("sanitize_feed", lambda t: shape(plan.assemble(_ranked(t), LIMIT, swaps=False).select("user_id", "position", "ai_news_id")), VIEWS,
