@@ -120,22 +120,31 @@ def stream_sessions(events: DataFrame, articles: DataFrame, topics: Sequence[str
     return sessions.select("user_id", F.col("s.start").alias("started_at"), F.col("s.end").alias("ended_at"), "n", *[f"n_{t}" for t in topics])
 
 
-class _ClampedCounter(StatefulProcessor):
-    """Counter that never falls below zero, with the time of its last change."""
+#: Shares of the profile keys that a user's counters are kept in.
+PROFILE_SHARES = 4
+
+
+class _ClampedCounters(StatefulProcessor):
+    """Counters that never fall below zero, with the time of their last change: those of a user in one share of the keys."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.counter = handle.getValueState("counter", "count long, last_seen timestamp")
+        self.counters = handle.getValueState("counters", "kinds array<string>, keys array<string>, counts array<long>, seen_us array<long>")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        # the moves of one key in one micro-batch, in log order
+        # the moves of one micro-batch, in log order
         moves = pd.concat(list(rows)).sort_values("seq")
-        count, last_seen = self.counter.get() if self.counter.exists() else (0, None)
-        for delta in moves["delta"]:
-            count = max(count + int(delta), 0)
-        newest = moves["created_at"].max()
-        last_seen = newest if last_seen is None else max(pd.Timestamp(last_seen), newest)
-        self.counter.update((count, last_seen.to_pydatetime()))
-        yield pd.DataFrame({"user_id": [key[0]], "kind": [key[1]], "key": [key[2]], "count": [count], "last_seen": [last_seen]})
+        held = self.counters.get() if self.counters.exists() else ([], [], [], [])
+        counters = {(kind, name): (count, seen) for kind, name, count, seen in zip(*held)}
+        moved = {}
+        for kind, name, delta, seen in zip(moves["kind"], moves["key"], moves["delta"], moves["seen_us"]):
+            count, last = counters.get((kind, name), (0, seen))
+            counters[kind, name] = moved[kind, name] = max(count + int(delta), 0), max(last, seen)
+        names, values = list(zip(*counters)), list(zip(*counters.values()))
+        self.counters.update((list(names[0]), list(names[1]), [int(c) for c in values[0]], [int(s) for s in values[1]]))
+        yield pd.DataFrame(
+            [(key[0], kind, name, count, seen) for (kind, name), (count, seen) in moved.items()],
+            columns=["user_id", "kind", "key", "count", "seen_us"],
+        )
 
     def close(self) -> None:
         pass
@@ -144,14 +153,26 @@ class _ClampedCounter(StatefulProcessor):
 def stream_profiles(deltas: DataFrame) -> DataFrame:
     """Clamped interest counters per (user, kind, key); update mode.
 
-    State is one small value per key, so a busy user spreads over tasks.
+    A call and a state value per key would cost far more than its few moves.  So
+    a state value holds the counters of a user in one of ``PROFILE_SHARES`` shares
+    of the keys: few calls, and a busy user still spreads over tasks.
     """
-    return deltas.groupBy("user_id", "kind", "key").transformWithStateInPandas(
-        statefulProcessor=_ClampedCounter(),
-        outputStructType="user_id long, kind string, key string, count long, last_seen timestamp",
+    shared = deltas.select(
+        "user_id",
+        F.pmod(F.xxhash64("kind", "key"), F.lit(PROFILE_SHARES)).cast("int").alias("share"),
+        "kind",
+        "key",
+        "seq",
+        F.col("delta").cast("long").alias("delta"),
+        F.unix_micros("created_at").alias("seen_us"),
+    )
+    counted = shared.groupBy("user_id", "share").transformWithStateInPandas(
+        statefulProcessor=_ClampedCounters(),
+        outputStructType="user_id long, kind string, key string, count long, seen_us long",
         outputMode="Update",
         timeMode="None",
     )
+    return counted.select("user_id", "kind", "key", "count", F.timestamp_micros("seen_us").alias("last_seen"))
 
 
 class _StaleJobs(StatefulProcessor):

@@ -2,11 +2,13 @@
 
 from datetime import datetime
 
+import pandas as pd
 from pyspark.sql import functions as F
 from sample_data import SF_DIR
 
 from newsloom import catalog
 from newsloom.operators import feed, personas, profiles
+from newsloom.streaming import jobs
 
 
 def plan_of(df):
@@ -54,3 +56,35 @@ def test_first_feeds_are_picked_per_topics_not_per_user(spark):
 def test_swaps_read_the_shortlist(spark):
     plan = plan_of(catalog.QUERIES["diversity_swaps"](spark, SF_DIR))
     assert "_topic_n" not in plan and "final_title" not in plan.split("_tail_rank")[0]
+
+
+def test_one_call_counts_all_keys_of_a_share():
+    class Value:
+        held = None
+
+        def exists(self):
+            return self.held is not None
+
+        def get(self):
+            return self.held
+
+        def update(self, value):
+            self.held = value
+
+    class Handle:
+        def getValueState(self, name, schema):
+            return Value()
+
+    counters = jobs._ClampedCounters()
+    counters.init(Handle())
+
+    def call(*moves):
+        rows = pd.DataFrame(moves, columns=["kind", "key", "seq", "delta", "seen_us"])
+        out = pd.concat(counters.handleInputRows((7, 0), iter([rows[:1], rows[1:]]), None))
+        return sorted(tuple(r) for r in out.itertuples(index=False))
+
+    # in log order: topic a goes to 0 and up again, never below
+    assert call(("topic", "a", 3, 2, 30), ("topic", "a", 1, -1, 50), ("keyword", "b", 2, 1, 20)) == [(7, "keyword", "b", 1, 20), (7, "topic", "a", 2, 50)]
+    # a later batch returns what it moved only, and knows the rest
+    assert call(("topic", "a", 4, -1, 40)) == [(7, "topic", "a", 1, 50)]
+    assert call(("keyword", "b", 5, 1, 60)) == [(7, "keyword", "b", 2, 60)]
