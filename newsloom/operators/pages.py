@@ -272,7 +272,8 @@ def _absolute(text: Column, zone: str) -> Column:
     zoned = iso.rlike(r"(?:Z|[+-]\d{2}:?\d{2})$") & iso.rlike(r"\d:\d{2}")
     iso_text = F.regexp_replace(F.replace(F.replace(iso, F.lit("/"), F.lit("-")), F.lit("T"), F.lit(" ")), r"\s+([+-])", "$1")
     iso_ts = F.try_to_timestamp(iso_text)
-    dmy = r"(\d{1,2})[./](\d{1,2})[./](\d{4}|\d{2})"
+    # no part of a longer run of numbers, such as a network address
+    dmy = r"(?<!\d)(?<!\d[./])(\d{1,2})[./](\d{1,2})[./](\d{4}|\d{2})(?![./]?\d)"
     year = F.regexp_extract(text, dmy, 3)
     year = F.when(F.length(year) == 2, F.concat(F.lit("20"), year)).otherwise(year)
     dmy_ts = F.try_to_timestamp(

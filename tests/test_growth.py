@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from sample_data import SF_DIR
 
 from newsloom import catalog
-from newsloom.operators import feed, personas, profiles
+from newsloom.operators import feed, pages, personas, profiles
 from newsloom.streaming import jobs
 
 
@@ -88,3 +88,10 @@ def test_one_call_counts_all_keys_of_a_share():
     # a later batch returns what it moved only, and knows the rest
     assert call(("topic", "a", 4, -1, 40)) == [(7, "topic", "a", 1, 50)]
     assert call(("keyword", "b", 5, 1, 60)) == [(7, "keyword", "b", 2, 60)]
+
+
+def test_network_address_is_no_date(spark):
+    texts = [("at 40.120.12.54 by", None), ("as 85.225.12.24 of", None), ("am 24.12.2023.", datetime(2023, 12, 23, 19)), ("(5/1/24) x", datetime(2024, 1, 4, 19)), ("v 1.2.24/7", None)]
+    df = spark.createDataFrame([(i, f"<p>{t}</p>") for i, (t, _) in enumerate(texts)], "i int, html string")
+    got = df.select("i", pages.publish_date(F.col("html"), F.lit("2024-01-31").cast("timestamp")).alias("at")).orderBy("i").collect()
+    assert [r["at"] for r in got] == [at for _, at in texts]
