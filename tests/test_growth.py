@@ -1,13 +1,14 @@
 """Plans whose shuffles must not grow with what users fan out into."""
 
 from datetime import datetime
+from hashlib import sha256
 
 import pandas as pd
 from pyspark.sql import functions as F
 from sample_data import SF_DIR
 
 from newsloom import catalog
-from newsloom.operators import feed, pages, personas, profiles
+from newsloom.operators import feed, pages, personas, profiles, text
 from newsloom.streaming import jobs
 
 
@@ -95,3 +96,12 @@ def test_network_address_is_no_date(spark):
     df = spark.createDataFrame([(i, f"<p>{t}</p>") for i, (t, _) in enumerate(texts)], "i int, html string")
     got = df.select("i", pages.publish_date(F.col("html"), F.lit("2024-01-31").cast("timestamp")).alias("at")).orderBy("i").collect()
     assert [r["at"] for r in got] == [at for _, at in texts]
+
+
+def test_feature_index_reads_the_digits_that_decide(spark):
+    words = ["tok:a", "bi:b:c", "tri:d:e:ü", ""]
+    df = spark.createDataFrame([(w,) for w in words], "f string")
+    for dim in (16, 64, 256, 4096, 100, 768):
+        got = [r[0] for r in df.select(text.feature_index(F.col("f"), dim)).collect()]
+        assert got == [int(sha256(w.encode()).hexdigest()[:16], 16) % dim for w in words]
+    assert str(text.feature_index(F.col("f"), 256)).count("conv") == 1
