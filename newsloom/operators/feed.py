@@ -134,12 +134,16 @@ def candidate_keys(candidates: DataFrame) -> DataFrame:
 def profile_maps(profile: DataFrame, keys: DataFrame, as_of: Column) -> DataFrame:
     """One row per user: decayed counts of the profile keys by slot, a map per kind.
 
-    Rows of a profile that lie with their user stay there: both sums are by user.
+    Rows of a profile that lie with their user stay there: both sums are by user,
+    and the places, which are those of one bounded candidate list, are copied to
+    each task whatever the planner's threshold is.
     """
     codes = F.create_map(*[x for i, kind in enumerate(KINDS) for x in (F.lit(kind), F.lit(i))])
     weights = profile.select("user_id", "kind", "key", decayed(F.col("count"), F.col("last_seen"), as_of).alias("w"))
-    places = keys.select("kind", "key", (F.col("slot") * len(KINDS) + F.element_at(codes, F.col("kind"))).alias("place"))
-    sums = weights.join(places, ["kind", "key"]).groupBy("user_id", "place").agg(F.sum("w").alias("w"))
+    place = (F.col("slot") * len(KINDS) + F.element_at(codes, F.col("kind"))).alias("place")
+    places = F.broadcast(keys.groupBy("kind", "key").agg(F.collect_list(place).alias("places")))
+    placed = weights.join(places, ["kind", "key"]).select("user_id", "w", F.explode("places").alias("place"))
+    sums = placed.groupBy("user_id", "place").agg(F.sum("w").alias("w"))
     slot = F.struct(F.floor(F.col("place") / len(KINDS)).cast("int"), "w")
 
     def held(i: int) -> Column:
@@ -174,10 +178,10 @@ def user_context(
     context = users.select("user_id")
     for part in (flags, maps, unseen, cold.select("user_id", F.lit(True).alias("cold_start"))):
         context = context.join(part, "user_id", "left")
-    # user rows are small but fan out 250-fold: a fixed number of partitions keeps
-    # adaptive coalescing from putting whole user ranges into one task
+    # user rows are small but fan out 250-fold: a number of partitions that follows
+    # the rows to come keeps adaptive coalescing from putting whole user ranges into one task
     context = context.withColumns(session_facts(F.col("touched"))).drop("touched")
-    return context.repartition(spread_partitions(users.sparkSession), "user_id")
+    return context.repartition(spread_partitions(users.sparkSession, users.count() * candidates.count()), "user_id")
 
 
 def user_candidates(context: DataFrame, facts: DataFrame, parity: bool = False, slim: bool = False) -> DataFrame:

@@ -88,11 +88,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 FAN_OUT_FACTOR = 4
 
 
-def spread_partitions(spark: SparkSession) -> int:
-    """Partitions for rows that are small now and fan out later.
+# Rows that one task may get from a fan-out: its sorts hold them in memory.
+FAN_OUT_ROWS = 500_000
+
+
+def spread_partitions(spark: SparkSession, rows: int = 0) -> int:
+    """Partitions for rows that are small now and fan out later, into ``rows`` in all where that is known.
 
     A count other than the session's own also keeps the planner from dropping
     the repartition as redundant, after which adaptive coalescing would put all
     small rows, and their fan-out, into one task.
     """
-    return int(spark.conf.get("spark.sql.shuffle.partitions")) * FAN_OUT_FACTOR
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")) * FAN_OUT_FACTOR, -(-rows // FAN_OUT_ROWS))

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 from sample_data import SF_DIR
 
-from newsloom import catalog
+from newsloom import catalog, session
 from newsloom.operators import feed, pages, personas, profiles, text
 from newsloom.streaming import jobs
 
@@ -33,6 +33,27 @@ def test_profile_of_wanted_keys_moves_likes_only(spark):
     assert found and "Exchange hashpartitioning" not in above
 
 
+def test_profile_keys_meet_their_places_without_a_shuffle(spark):
+    profile = spark.createDataFrame([(1, "keyword", "bravo", 2, datetime(2024, 1, 20)), (2, "topic", "sport", 1, datetime(2024, 1, 20))], "user_id long, kind string, key string, count long, last_seen timestamp")
+    keys = spark.createDataFrame([("keyword", "bravo", 1), ("keyword", "bravo", 2), ("topic", "sport", 1)], "kind string, key string, slot int")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        maps = feed.profile_maps(profile.repartition(3, "user_id"), keys, F.lit("2024-01-31").cast("timestamp"))
+        plan = plan_of(maps)
+        got = {r["user_id"]: (sorted(r["overlaps"]), sorted(r["topic_weights"])) for r in maps.collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert got == {1: ([1, 2], []), 2: ([], [1])}
+    assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+
+
+def test_fan_out_partitions_follow_its_rows(spark):
+    least = int(spark.conf.get("spark.sql.shuffle.partitions")) * session.FAN_OUT_FACTOR
+    assert session.spread_partitions(spark) == session.spread_partitions(spark, 10) == least
+    assert session.spread_partitions(spark, session.FAN_OUT_ROWS * 10 * least + 1) == 10 * least + 1
+
+
 def test_drop_seen_leaves_rows_with_their_user(spark):
     rows = spark.createDataFrame([(1, 1), (1, 2), (2, 1), (3, None)], "user_id long, ai_news_id long").repartition(7, "user_id")
     seen = spark.createDataFrame([(1, 2), (2, 1), (4, 1)], "user_id long, ai_news_id long")
