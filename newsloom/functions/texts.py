@@ -38,6 +38,12 @@ def sentences(c: Column, enders: str = ".!?") -> Column:
     return F.filter(F.transform(parts, strip), lambda s: s != "")
 
 
+def sentence_count(c: Column, enders: str = ".!?") -> Column:
+    """How many ``sentences`` a text has: one more than the gaps between them."""
+    gaps = F.regexp_count(c, F.lit(rf"(?<=[{enders}]){L.SPACE}+(?!{L.SPACE}|\z)"))
+    return F.when(c.rlike(rf"[^{L.SPACE}]"), gaps + 1).otherwise(0)
+
+
 def word_tokens(c: Column) -> Column:
     return F.regexp_extract_all(c, F.lit(f"({L.WORD}+)"), F.lit(1))
 
@@ -119,10 +125,33 @@ def strip_artifacts(c: Column) -> Column:
     for old, new in L.ARTIFACT_REPLACEMENTS:
         text = F.replace(text, F.lit(old), F.lit(new))
     text = F.regexp_replace(text, "(?i)" + L.TRUNCATION_MARK, "")
-    text = F.regexp_replace(text, rf"(?iU)\b(?:{L.LABEL_WORDS})\b\s*:?", "")
-    text = F.regexp_replace(text, rf"(?iU)(^|\n)\s*(?:{L.LINE_LABELS})\s*:\s*", "$1")
-    lines = F.transform(F.split(F.translate(text, "\r", "\n"), "\n"), lambda x: strip(collapse_space(x)))
-    return F.array_join(F.filter(lines, lambda x: x != ""), "\n")
+    text = F.regexp_replace(text, _LABELS + r"\s*:?", "")
+    text = F.regexp_replace(text, _LINE_LABELS + r"\s*", "$1")
+    return tidy_lines(F.translate(text, "\r", "\n"))
+
+
+_LABELS = rf"(?iU)\b(?:{L.LABEL_WORDS})\b"
+_LINE_LABELS = rf"(?iU)(^|\n)\s*(?:{L.LINE_LABELS})\s*:"
+
+
+def tidy_lines(c: Column) -> Column:
+    """Each line stripped, its white space collapsed, blank lines dropped; all lines in one pass."""
+    gap, other = f"[{L.SPACE}&&[^\\n]]", f"[{L.SPACE}&&[^\\n ]]"
+    # a single blank stays as it is, so that it costs no replacement
+    blanks = F.regexp_replace(c, f"{other}{gap}*| {gap}+", " ")
+    return F.btrim(F.regexp_replace(blanks, " ?\\n[ \\n]+| \\n", "\n"), F.lit(" \n"))
+
+
+def has_artifacts(c: Column) -> Column:
+    """Whether ``strip_artifacts`` may change what it returned before."""
+    marks = contains_any(c, ("&", "\xa0", "\r", "[+", *(old for old, _ in L.ARTIFACT_REPLACEMENTS)))
+    return marks | c.rlike(_LABELS) | c.rlike(_LINE_LABELS)
+
+
+def paragraph_count(c: Column) -> Column:
+    """How many ``paragraphs`` a text has that ``strip_artifacts`` returned: its lines are stripped and none is blank."""
+    again = F.when(has_artifacts(c), strip_artifacts(c)).otherwise(c)
+    return bind(again, lambda x: F.when(x == "", 0).otherwise(bind(F.size(F.split(x, "\n")), lambda n: F.when(n >= 3, n).otherwise(1))))
 
 
 def paragraphs(c: Column) -> Column:

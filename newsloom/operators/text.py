@@ -178,8 +178,8 @@ def quality_score(df: DataFrame, text: str, raw_text: str, persona: str, geo: st
         {
             "_lowered": F.lower("_clean"),
             "_words": X.word_tokens(F.lower("_clean")),
-            "_n_sent": F.size(X.sentences(F.col("_clean"), ".!?;")),
-            "_n_par": F.size(X.paragraphs(F.col("_clean"))),
+            "_n_sent": X.sentence_count(F.col("_clean"), ".!?;"),
+            "_n_par": X.paragraph_count(F.col("_clean")),
             "sentiment": news_sentiment(F.concat_ws(" ", F.coalesce(F.col(raw_text), F.lit("")), F.coalesce(F.col(text), F.lit("")))),
             "_hint": X.language_hint(F.concat_ws(" ", *[F.coalesce(F.col(c), F.lit("")) for c in (raw_text, persona, geo)])),
         }

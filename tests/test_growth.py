@@ -1,5 +1,6 @@
 """Plans whose shuffles must not grow with what users fan out into."""
 
+import random
 from datetime import datetime
 from hashlib import sha256
 
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 from sample_data import SF_DIR
 
 from newsloom import catalog, session
+from newsloom.functions import texts
 from newsloom.operators import feed, pages, personas, profiles, text
 from newsloom.streaming import jobs
 
@@ -126,3 +128,27 @@ def test_feature_index_reads_the_digits_that_decide(spark):
         got = [r[0] for r in df.select(text.feature_index(F.col("f"), dim)).collect()]
         assert got == [int(sha256(w.encode()).hexdigest()[:16], 16) % dim for w in words]
     assert str(text.feature_index(F.col("f"), 256)).count("conv") == 1
+
+
+def test_counts_of_clean_texts_equal_their_lists(spark):
+    pieces = [" ", "  ", "\n", "\r", "\t", "\x85", "\u3000", "\x1c", "a", "Bc.", "d!", "; ", "lid", "Yangilik:", "NEWS :", "&amp;", "&lid;", "[+3 chars]", "Ã", "\xa0", "e?"]
+    dealt = random.Random(3)
+    odd = ["", " ", "\n \n", "a", " a. b; c\n\n d. ", "Lid: x\n\ny\nz", "li&amp;d", "la[+1 chars]lid\nnewsÃ:"]
+    rows = odd + ["".join(dealt.choices(pieces, k=dealt.randrange(1, 25))) for _ in range(3000)]
+    df = spark.createDataFrame([(x,) for x in rows], "x string")
+
+    def by_line(c):
+        lines = F.transform(F.split(c, "\n"), lambda x: texts.strip(texts.collapse_space(x)))
+        return F.array_join(F.filter(lines, lambda x: x != ""), "\n")
+
+    flat = F.translate("x", "\r", "\n")
+    df = df.select("x", by_line(flat).alias("lines"), texts.tidy_lines(flat).alias("tidy"), texts.strip_artifacts(F.col("x")).alias("clean"))
+    got = df.select(
+        "*", F.size(texts.paragraphs(F.col("clean"))).alias("p"), texts.paragraph_count(F.col("clean")).alias("pn"),
+        *[F.size(texts.sentences(F.col(c), ".!?;")).alias(f"s_{c}") for c in ("x", "clean")],
+        *[texts.sentence_count(F.col(c), ".!?;").alias(f"n_{c}") for c in ("x", "clean")],
+    ).collect()
+    for r in got:
+        assert (r["lines"], r["p"], r["s_x"], r["s_clean"]) == (r["tidy"], r["pn"], r["n_x"], r["n_clean"]), r
+    # texts without artifacts are not cleaned again
+    assert [r[0] for r in spark.createDataFrame([("a b",), ("a lid",), ("news: a",), ("a&",)], "x string").select(texts.has_artifacts(F.col("x"))).collect()] == [False, True, True, True]
