@@ -24,6 +24,9 @@ COUNTER_LIKE, COUNTER_VIEW, COUNTER_SKIP = 2, 1, -1
 # Log positions per slice of a counter walk: bounds the rows one task sorts.
 WALK_SLICE = 1_000_000
 
+# What liked articles have of the wanted keys is copied to each task up to so many entries.
+COPIED_ENTRIES = 4_000_000
+
 
 def effective_interactions(log: DataFrame) -> DataFrame:
     """Rows that change state, with ``viewed`` as the write path stores it.
@@ -160,12 +163,13 @@ def profile_from_likes(
     Keywords are the distinct tokens longer than three characters of each
     liked text.  Texts are tokenised once per liked article, not per like.
 
-    ``wanted`` (kind, key) limits the profile to those keys.  Likes then move to
-    their user before they fan out into keys, and what each article has of the
-    keys is written once: where that is small enough to copy, no key is shuffled.
+    ``wanted`` (kind, key) limits the profile to those keys; they are those of a
+    bounded list, and stand as numbers until counts are made.
     """
     recent = F.col("created_at") >= as_of - F.expr(f"INTERVAL {PROFILE_DAYS} DAYS")
     likes = interactions.where(F.col("liked") & recent).select("user_id", "ai_news_id", "created_at")
+    if wanted is not None:
+        likes = cut_lineage(likes)
     liked_ids = likes.select("ai_news_id").distinct()
     meta = article_hosts(articles, raw)
     keys = articles.select("ai_news_id", "final_text").join(liked_ids, "ai_news_id", "left_semi").join(meta, "ai_news_id")
@@ -178,16 +182,31 @@ def profile_from_likes(
     )
     words = F.transform(keyword_set(F.coalesce("final_text", F.lit(""))), lambda w: entry("keyword", w))
     keys = keys.select("ai_news_id", F.concat(scalar, words).alias("entries"))
-    if wanted is not None:
-        found = keys.select("ai_news_id", F.inline("entries")).join(wanted.select("kind", "key").distinct(), ["kind", "key"], "left_semi")
-        keys = cut_lineage(found.groupBy("ai_news_id").agg(F.collect_list(F.struct("kind", "key")).alias("entries")))
-        likes = likes.repartition(spread_partitions(likes.sparkSession), "user_id")
-    return (
-        likes.join(keys, "ai_news_id")
-        .select("user_id", "created_at", F.inline("entries"))
-        .groupBy("user_id", "kind", "key")
-        .agg(F.count(F.lit(1)).alias("count"), F.max("created_at").alias("last_seen"))
-    )
+    counted = F.count(F.lit(1)).alias("count"), F.max("created_at").alias("last_seen")
+    if wanted is None:
+        rows = likes.join(keys, "ai_news_id").select("user_id", "created_at", F.inline("entries"))
+        return rows.groupBy("user_id", "kind", "key").agg(*counted)
+    numbered = wanted.select("kind", "key").distinct().withColumn("code", F.row_number().over(Window.orderBy("kind", "key")))
+    numbered = cut_lineage(numbered)
+    found = keys.select("ai_news_id", F.inline("entries")).join(F.broadcast(numbered), ["kind", "key"])
+    found = cut_lineage(found.groupBy("ai_news_id").agg(F.collect_list("code").alias("code")))
+    rows = _likes_by_user(likes, found).select("user_id", "created_at", F.arrays_zip("code").alias("entries"))
+    counts = rows.select("user_id", "created_at", F.inline("entries")).groupBy("user_id", "code").agg(*counted)
+    return counts.join(F.broadcast(numbered), "code").select("user_id", "kind", "key", "count", "last_seen")
+
+
+def _likes_by_user(likes: DataFrame, keys: DataFrame) -> DataFrame:
+    """Likes with the array ``code`` of their article, all rows of a user in one place.
+
+    The arrays fan out after that, so no row per key is shuffled.  They are
+    copied to where the likes lie while they are few; beyond that each like
+    takes its array along to its user.
+    """
+    articles, entries = keys.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("code")), F.lit(0))).first()
+    parts = spread_partitions(likes.sparkSession, likes.count() * entries // max(1, articles))
+    if entries <= COPIED_ENTRIES:
+        return likes.repartition(parts, "user_id").join(F.broadcast(keys), "ai_news_id")
+    return likes.join(keys, "ai_news_id").repartition(parts, "user_id")
 
 
 def counter_deltas(log: DataFrame, article_keys: DataFrame) -> DataFrame:

@@ -35,6 +35,27 @@ def test_profile_of_wanted_keys_moves_likes_only(spark):
     assert found and "Exchange hashpartitioning" not in above
 
 
+def test_keys_of_many_articles_fan_out_where_their_user_is(spark, monkeypatch):
+    when = datetime(2024, 1, 20)
+    log = spark.createDataFrame([(1, 1, True, when), (1, 2, True, when), (2, 2, True, when), (3, 3, True, when)], "user_id long, ai_news_id long, liked boolean, created_at timestamp")
+    articles = spark.createDataFrame([(1, 1, "Sport", "alpha bravo alpha"), (2, 1, "Sport", "bravo charlie"), (3, 1, "", "none of them")], "ai_news_id long, raw_news_id long, category string, final_text string")
+    raw = spark.createDataFrame([(1, "https://a.uz/1")], "raw_news_id long, source_url string")
+    as_of = F.lit("2024-01-31").cast("timestamp")
+    wanted = spark.createDataFrame([("keyword", "bravo", 1), ("keyword", "alpha", 2), ("topic", "sport", 1), ("source", "b.uz", 2)], "kind string, key string, slot int")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for most in (0, 1000):
+            monkeypatch.setattr(profiles, "COPIED_ENTRIES", most, raising=False)
+            got = profiles.profile_from_likes(log, articles, raw, as_of, wanted=wanted)
+            rows = {(r["user_id"], r["kind"], r["key"]): r["count"] for r in got.collect()}
+            assert rows == {(1, "keyword", "bravo"): 2, (1, "keyword", "alpha"): 1, (1, "topic", "sport"): 2, (2, "keyword", "bravo"): 1, (2, "topic", "sport"): 1}
+            above, found, _ = plan_of(feed.profile_maps(got, wanted, as_of)).partition("Generate inline(entries")
+            assert found and "Exchange hashpartitioning" not in above
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_profile_keys_meet_their_places_without_a_shuffle(spark):
     profile = spark.createDataFrame([(1, "keyword", "bravo", 2, datetime(2024, 1, 20)), (2, "topic", "sport", 1, datetime(2024, 1, 20))], "user_id long, kind string, key string, count long, last_seen timestamp")
     keys = spark.createDataFrame([("keyword", "bravo", 1), ("keyword", "bravo", 2), ("topic", "sport", 1)], "kind string, key string, slot int")
