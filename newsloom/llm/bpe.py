@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from newsloom.llm.common import text_slices
+from newsloom.llm.common import HELD, in_worker, text_slices
 
 WORD_END = "</w>"
 #: Bytes of a word that is merged whole; longer ones go through the stream.
@@ -325,18 +325,15 @@ class WordBpe:
         return table
 
 
-_MODELS: dict[tuple[str, int], WordBpe] = {}
-
-
 def shared_model(spec: str, cache_words: int) -> WordBpe:
     """The one model of a worker process, with the words that earlier tasks met.
 
     One is kept, so a worker's memory does not grow with the models it has seen.
     """
-    if (spec, cache_words) not in _MODELS:
-        _MODELS.clear()
-        _MODELS[spec, cache_words] = WordBpe(spec, cache_words)
-    return _MODELS[spec, cache_words]
+    held = HELD.get("bpe")
+    if held is None or (held.spec, held.cache_words) != (spec, cache_words):
+        held = HELD["bpe"] = WordBpe(spec, cache_words)
+    return held
 
 
 class TextDecoder:
@@ -379,10 +376,6 @@ def _lists(rows: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, pa.int32()))
 
 
-#: Output rows per Arrow batch; texts of a batch are bounded in bytes by Spark.
-OUTPUT_ROWS = 256
-
-
 def encode(df: DataFrame, model: WordBpe, text_col: str = "text", ids_col: str = "token_ids", decoded_col: str | None = None, plain: bool = False) -> DataFrame:
     """Add the token ids of ``text_col`` as ``ids_col`` (array<int>).
 
@@ -425,12 +418,10 @@ def _mapped(df: DataFrame, source: str, targets: dict[str, T.DataType], work) ->
     at = df.columns.index(source)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for start in range(0, whole.num_rows, OUTPUT_ROWS):
-                batch = whole.slice(start, OUTPUT_ROWS)
-                yield pa.RecordBatch.from_arrays([*batch.columns, *work(batch.column(at))], names=[*batch.schema.names, *targets])
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns, *work(batch.column(at))], names=[*batch.schema.names, *targets])
 
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, *(T.StructField(n, t) for n, t in targets.items())]))
+    return df.mapInArrow(in_worker(run, "bpe"), T.StructType([*df.schema.fields, *(T.StructField(n, t) for n, t in targets.items())]))
 
 
 def with_digests(df: DataFrame, ids_col: str, text_col: str) -> DataFrame:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from newsloom.session import checkpoint_dir
@@ -59,6 +61,39 @@ def release(*tables: DataFrame) -> None:
         path.getFileSystem(t.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
+#: What a worker process holds beyond a task, by the operator it is for.
+HELD: dict = {}
+#: Rows whose texts are Python objects at once.
+ROWS_AT_ONCE = 256
+
+Batches = Iterator[pa.RecordBatch]
+
+
+def in_worker(run: Callable[[Batches], Batches], owner: str | None = None) -> Callable[[Batches], Batches]:
+    """``run`` for ``mapInArrow``, over batches of few rows, leaving a small worker behind.
+
+    Spark keeps workers for later steps.  What another operator than ``owner``
+    holds in one is dropped first, and at the end freed memory goes back to the
+    system.
+    """
+
+    def whole(batches: Batches) -> Batches:
+        for name in [n for n in HELD if n != owner]:
+            del HELD[name]
+        yield from run(batch.slice(at, ROWS_AT_ONCE) for batch in batches for at in range(0, batch.num_rows, ROWS_AT_ONCE))
+        give_back()
+
+    return whole
+
+
+def give_back() -> None:
+    """Return the memory that this process has freed to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """The splitmix64 finaliser on unsigned 64-bit values."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

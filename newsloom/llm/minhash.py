@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from newsloom.llm.common import WORD_GAP, mix64, staged
+from newsloom.llm.common import WORD_GAP, in_worker, mix64, staged
 
 WORDS_PER_SHINGLE = 5
 SIMILARITY = 0.8
@@ -137,7 +137,7 @@ def _sketched(docs: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([ids.slice(start, n), keys.slice(start, n), pa.ListArray.from_arrays(ends, bands)], names=["id", "copy", "bands"])
                     bags, start, held = [], i + 1, 0
 
-    return docs.mapInArrow(run, "id bigint, copy binary, bands array<bigint>")
+    return docs.mapInArrow(in_worker(run), "id bigint, copy binary, bands array<bigint>")
 
 
 def _verified(pairs: DataFrame, bags: DataFrame) -> DataFrame:
@@ -161,7 +161,7 @@ def _verified(pairs: DataFrame, bags: DataFrame) -> DataFrame:
         .join(bags.select(F.col("id").alias("a"), F.col("codes").alias("codes_a")), "a")
         .select("a", "b", "codes_a", "codes_b")
     )
-    return wide.mapInArrow(run, "a bigint, b bigint")
+    return wide.mapInArrow(in_worker(run), "a bigint, b bigint")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -205,7 +205,7 @@ def _elements(bags: DataFrame) -> DataFrame:
                     names=["id", "class", "n", "element"],
                 )
 
-    return bags.mapInArrow(run, "id bigint, class bigint, n int, element bigint")
+    return bags.mapInArrow(in_worker(run), "id bigint, class bigint, n int, element bigint")
 
 
 def _missing_pairs(buckets: DataFrame, classes: DataFrame, bags: DataFrame) -> DataFrame:

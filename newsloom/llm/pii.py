@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from newsloom.llm.common import staged
+from newsloom.llm.common import in_worker, staged
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "secret")
@@ -252,7 +252,7 @@ def fit(df: DataFrame, text_col: str = "text") -> SpanModel:
             names=["votes", "bits", "n"],
         )
 
-    spans = df.select(text_col).mapInArrow(run, "votes bigint, bits bigint, n bigint")
+    spans = df.select(text_col).mapInArrow(in_worker(run), "votes bigint, bits bigint, n bigint")
     spans = staged(spans.groupBy("votes", "bits").agg(F.sum("n").alias("n")), "votes")
     # at most 3**LABELERS and 2**FEATURES rows
     patterns = spans.groupBy("votes").agg(F.sum("n").alias("n")).orderBy("votes").toPandas()
@@ -311,7 +311,7 @@ def find(df: DataFrame, model: SpanModel, text_col: str = "text", spans_col: str
                 columns[at] = pa.array([_masked(t, x) if x else t for t, x in zip(texts, found)], pa.string())
             yield pa.RecordBatch.from_arrays([*columns.values(), named], names=[*(batch.schema.names[i] for i in kept), spans_col])
 
-    return df.mapInArrow(run, T.StructType([*(df.schema.fields[i] for i in kept), T.StructField(spans_col, _SPAN)]))
+    return df.mapInArrow(in_worker(run), T.StructType([*(df.schema.fields[i] for i in kept), T.StructField(spans_col, _SPAN)]))
 
 
 def listed(spans: Column) -> Column:

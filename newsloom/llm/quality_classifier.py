@@ -26,6 +26,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from newsloom.llm.common import in_worker
+
 #: Labelled rows that a fit may use; which ones a hash of the id decides.
 MAX_TRAINING_ROWS = 20_000
 
@@ -159,7 +161,7 @@ def _featured(df: DataFrame, text_col: str, target: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(c for _, c in others), rows], names=[*(n for n, _ in others), target])
 
     fields = [f for f in df.schema.fields if f.name != text_col]
-    return df.mapInArrow(run, T.StructType([*fields, T.StructField(target, T.ArrayType(T.DoubleType()))]))
+    return df.mapInArrow(in_worker(run), T.StructType([*fields, T.StructField(target, T.ArrayType(T.DoubleType()))]))
 
 
 def score(df: DataFrame, model: Ranking, text_col: str = "text", score_col: str = "score", drop_text: bool = False) -> DataFrame:
@@ -175,4 +177,4 @@ def score(df: DataFrame, model: Ranking, text_col: str = "text", score_col: str
             rest = batch.select(kept)
             yield pa.RecordBatch.from_arrays([*rest.columns, pa.array(model.scores(x), pa.float64())], names=[*rest.schema.names, score_col])
 
-    return df.mapInArrow(run, T.StructType([*(df.schema.fields[i] for i in kept), T.StructField(score_col, T.DoubleType())]))
+    return df.mapInArrow(in_worker(run), T.StructType([*(df.schema.fields[i] for i in kept), T.StructField(score_col, T.DoubleType())]))
