@@ -173,3 +173,25 @@ def test_counts_of_clean_texts_equal_their_lists(spark):
         assert (r["lines"], r["p"], r["s_x"], r["s_clean"]) == (r["tidy"], r["pn"], r["n_x"], r["n_clean"]), r
     # texts without artifacts are not cleaned again
     assert [r[0] for r in spark.createDataFrame([("a b",), ("a lid",), ("news: a",), ("a&",)], "x string").select(texts.has_artifacts(F.col("x"))).collect()] == [False, True, True, True]
+
+
+def test_fan_out_shuffles_no_row_per_user_and_label(spark, monkeypatch):
+    users = spark.createDataFrame(
+        [(1, '{"all_topics":["tech","sports"],"profession":"cook"}'), (2, '{"all_topics":["sports"]}'), (3, '{"all_topics":["none"]}')], "user_id long, interests string"
+    ).selectExpr("*", "'Iran' AS location", "'IR' AS country_code", "user_id > 0 AS is_active")
+    rows = [(1, "tech", 1.0), (2, "tech", 2.0), (3, "sports", 3.0), (4, "general|cook", 4.0), (5, "port", 5.0), (6, "chess||ran", 6.0), (3, "sports", 3.5), (None, "tech", 0.0)]
+    articles = spark.createDataFrame(rows, "ai_news_id long, target_persona string, ai_score double")
+    had = spark.createDataFrame([(1, 2), (1, 3), (2, 3), (3, 9), (1, None), (9, 1)], "user_id long, ai_news_id long")
+    wanted = [(1, 1, 1), (1, 4, 1), (1, 5, 2), (1, 6, 3), (1, None, 1), (2, 5, 2), (2, 6, 3), (3, 6, 3)]
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for most in (0, 1000):
+            monkeypatch.setattr(personas, "COPIED_ROWS", most, raising=False)
+            got = personas.feed_fanout(articles, users, had)
+            found = [(r["user_id"], r["ai_news_id"], r["tier"]) for r in got.collect()]
+            assert sorted(found, key=str) == sorted(wanted, key=str)
+        dealt = [x for x in plan_of(got).splitlines() if "Exchange hashpartitioning(" in x]
+        assert dealt and not [x for x in dealt if "tier" in x or "hashpartitioning(label_id" in x]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
