@@ -80,9 +80,12 @@ class WordBpe:
         self.window = max(4 * self.lookahead, 1024)
         pairs = np.array([a << 32 | b for a, b in self.merges], np.int64)
         order = np.argsort(pairs)
-        self.pairs, self.ranks = np.r_[pairs[order], 2**63 - 1], np.r_[np.array(list(self.merges.values()), np.int64)[order], 0]
-        self.made_ids = np.array(self.made, np.int64)
-        self.inner_ids, self.final_ids = np.array(self.inner, np.int64), np.array(self.final, np.int64)
+        self.pairs, self.ranks = np.r_[pairs[order], 2**63 - 1], np.r_[np.array(list(self.merges.values()), np.int32)[order], np.int32(0)]
+        self.made_ids = np.array(self.made, np.int32)
+        self.inner_ids, self.final_ids = np.array(self.inner, np.int32), np.array(self.final, np.int32)
+        # ranks of two bytes side by side, inside a word and at its end
+        self.inner_ranks = self._rank(self.inner_ids[:, None], self.inner_ids[None, :])
+        self.final_ranks = self._rank(self.inner_ids[:, None], self.final_ids[None, :])
         self.known: dict[str, bytes] = {}
 
     def __reduce__(self):
@@ -154,24 +157,27 @@ class WordBpe:
 
     def _rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Ranks of pairs; the number of merges where there is none."""
-        pair = left << 32 | right
+        pair = left.astype(np.int64) << 32 | right
         at = np.searchsorted(self.pairs, pair)
-        return np.where(self.pairs[at] == pair, self.ranks[at], len(self.made))
+        return np.where(self.pairs[at] == pair, self.ranks[at], np.int32(len(self.made)))
 
     def merged_words(self, words: list[bytes]) -> list[bytes]:
         """Ids (as 32-bit integers) of whole words of at most SHORT bytes, merged side by side."""
         out: list[bytes] = [b""] * len(words)
         sizes = np.fromiter(map(len, words), np.int64, len(words))
-        for low, high in ((0, 8), (8, 16), (16, SHORT)):
+        for low, high in ((0, 6), (6, 9), (9, 12), (12, 16), (16, 24), (24, SHORT)):
             mine = np.flatnonzero((sizes > low) & (sizes <= high))
             if not len(mine):
                 continue
             n, size = len(mine), sizes[mine]
             data = np.frombuffer(b"".join(words[i].ljust(high, b"\0") for i in mine), np.uint8).reshape(n, high)
             units = self.inner_ids[data]
-            units[np.arange(n), size - 1] = self.final_ids[data[np.arange(n), size - 1]]
+            last = data[np.arange(n), size - 1]
+            units[np.arange(n), size - 1] = self.final_ids[last]
             units[np.arange(high) >= size[:, None]] = -1
-            rank = self._rank(units[:, :-1], units[:, 1:])
+            rank = self.inner_ranks[data[:, :-1], data[:, 1:]]
+            longer = np.flatnonzero(size > 1)
+            rank[longer, size[longer] - 2] = self.final_ranks[data[longer, size[longer] - 2], last[longer]]
             rank[units[:, 1:] < 0] = len(self.made)
             left = np.arange(n)
             place = np.arange(high)
@@ -196,9 +202,10 @@ class WordBpe:
                     ok = np.flatnonzero((first >= 0) & (first < high - 1))
                     a, b = units[ok, first[ok]], units[ok, first[ok] + 1]
                     rank[ok, first[ok]] = np.where(b < 0, len(self.made), self._rank(a, np.maximum(b, 0)))
-            count = (done >= 0).sum(1)
-            for i, row, c in zip(mine.tolist(), done, count.tolist()):
-                out[i] = row[:c].tobytes()
+            kept = done >= 0
+            flat, ends = done[kept].tobytes(), (4 * kept.sum(1).cumsum()).tolist()
+            for i, begin, end in zip(mine.tolist(), [0, *ends], ends):
+                out[i] = flat[begin:end]
         return out
 
     def stream(self, parts: Iterable[bytes]) -> Iterator[int]:
@@ -239,25 +246,28 @@ class WordBpe:
                 out += self.pieces.findall(low)
         return out
 
-    def _learn(self, chunks: Iterable[str]) -> None:
+    def _learn(self, chunks: Iterable[str], plain: bool = False) -> None:
         """Put runs without white space, and the words in them, into the table of known ones.
 
         A word alone is a run with that one word, so one table serves both.
+        ``plain`` says that all are lower-case and composed (NFC) already.
         """
         known = self.known
         parts: dict[str, list[str | int]] = {}
         ended: list[tuple[str, str, str]] = []
         fresh: set[str] = set()
         for c in chunks:
-            if c == c.lower() and (c.isascii() or unicodedata.is_normalized("NFC", c)):
+            if plain or c == c.lower() and (c.isascii() or unicodedata.is_normalized("NFC", c)):
                 # a word, or a word and the signs after it: most runs are
+                if c.isalpha():
+                    fresh.add(c)
+                    continue
                 word = c.rstrip(_SIGNS)
                 if word.isalpha():
+                    signs = c[len(word) :]
                     fresh.add(word)
-                    if word != c:
-                        signs = c[len(word) :]
-                        fresh.add(signs)
-                        ended.append((c, word, signs))
+                    fresh.add(signs)
+                    ended.append((c, word, signs))
                     continue
             parts[c] = self._pieces(c)
             fresh.update(p for p in parts[c] if isinstance(p, str))
@@ -272,13 +282,14 @@ class WordBpe:
             if found != [c]:
                 known[c] = b"".join([known[p] if isinstance(p, str) else array("i", [p]).tobytes() for p in found])
 
-    def _runs(self, part: str) -> list[str]:
-        """Runs without white space; lower-cased where that changes no result, so that fewer differ."""
+    def _runs(self, part: str) -> tuple[list[str], bool]:
+        """Runs without white space; lower-cased where that changes no result, so that fewer differ, and whether they are."""
+        plain = False
         if "<" not in part and "Σ" not in part:
             low = part.lower()
             if part.isascii() or unicodedata.is_normalized("NFC", part) and unicodedata.is_normalized("NFC", low):
-                part = low
-        return list(filter(None, _WHITE.split(part))) if _CONTROL_GAPS.search(part) else part.split()
+                part, plain = low, True
+        return list(filter(None, _WHITE.split(part))) if _CONTROL_GAPS.search(part) else part.split(), plain
 
     def encode_texts(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of whole texts; what is new among their words is merged together."""
@@ -290,15 +301,25 @@ class WordBpe:
             while stop < len(work) and (stop == start or size + len(work[stop][1]) <= AT_ONCE):
                 size += len(work[stop][1])
                 stop += 1
-            group = [(i, self._runs(p)) for i, p in work[start:stop]]
-            used = set().union(*(chunks for _, chunks in group))
-            fresh = used.difference(self.known)
-            if len(self.known) + len(fresh) > self.cache_words:
-                self.known = {c: self.known[c] for c in used - fresh}
-            self._learn(fresh)
-            for i, chunks in group:
-                out[i].append(b"".join(map(self.known.__getitem__, chunks)))
-            if max(map(len, fresh), default=0) > SHORT:
+            group = []
+            # runs that are not known, by whether they are plain
+            fresh: dict[bool, set[str]] = {True: set(), False: set()}
+            for i, p in work[start:stop]:
+                chunks, plain = self._runs(p)
+                got = list(map(self.known.get, chunks))
+                missing = [at for at, ids in enumerate(got) if ids is None]
+                fresh[plain].update(map(chunks.__getitem__, missing))
+                group.append((i, chunks, got, missing))
+            fresh[False] -= fresh[True]
+            if len(self.known) + sum(map(len, fresh.values())) > self.cache_words:
+                self.known = {c: ids for _, chunks, got, _ in group for c, ids in zip(chunks, got) if ids is not None}
+            for plain, chunks in fresh.items():
+                self._learn(chunks, plain)
+            for i, chunks, got, missing in group:
+                for at in missing:
+                    got[at] = self.known[chunks[at]]
+                out[i].append(b"".join(got))
+            if max((len(c) for chunks in fresh.values() for c in chunks), default=0) > SHORT:
                 self.known = {c: ids for c, ids in self.known.items() if len(c) <= SHORT}
             start = stop
         return [np.frombuffer(b"".join(x), np.int32) for x in out]

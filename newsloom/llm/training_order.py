@@ -5,7 +5,7 @@ length; a task packs what it reads, so only its last sequence is filled up.  The
 sequences are numbered by where the written table holds them.  A keyed Feistel
 permutation of that many numbers, with cycle walking, gives each sequence its
 slot in the training order: no two meet, none is missing, and neither a sort by
-random keys nor any table of the order is needed.  Slots are range-partitioned,
+random keys nor any table of the order is needed.  Slots are dealt out by range,
 several shards of equal stride to a part; record k of a run of shards lies at a
 fixed offset, so reading is sequential and can resume anywhere.  A manifest says
 how many sequences there are, and reading fails at a shard that is missing or
@@ -169,8 +169,9 @@ def write_shards(sequences: DataFrame, folder: str, key: int, stride: int = STRI
             )
         close()
 
-    # a shard is whole within one part: parts are ranges of shards
-    ordered = placed.repartitionByRange(parts, "shard").sortWithinPartitions("slot")
+    # a shard is whole within one part: parts are ranges of shards, known beforehand, so nothing is sampled for them
+    part = F.floor(F.col("shard") / SHARDS_PER_PART).cast("int")
+    ordered = placed.repartitionById(parts, part).sortWithinPartitions("slot")
     written = ordered.mapInArrow(write, "first_id bigint, n_ids int, slot bigint, shard bigint, ids_sha256 string")
     return written.withColumn("place", F.col("slot") % stride)
 

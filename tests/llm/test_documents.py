@@ -407,3 +407,27 @@ def test_secrets_without_digits_are_candidates():
     assert "opensesamenow" not in [text[s:e] for s, e in pii.candidates(text, [(at - 2, at + 5, 0)])]
     word = "a1" * 200 + "".join(map(chr, range(65, 91))) * 20
     assert pii._entropy(word) > 4 and pii.describe(word, 0, len(word))[1] >> 5 & 1
+
+
+def test_shards_are_dealt_out_without_a_sample(spark, docs):
+    model = bpe.load_model(catalog.tokenizer_path())
+    end = model.special["<|endoftext|>"]
+    packed = training_order.pack(docs([(i, "a b c " * 40) for i in range(30)]).repartition(3), model, end, length=32)
+    folder = shared_path(spark, "shards")
+    out = training_order.write_shards(packed, folder, key=7, stride=2)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning" not in plan
+    rows = out.collect()
+    assert len(rows) > 2 * training_order.SHARDS_PER_PART * 2  # several parts
+    assert sorted(r["slot"] for r in rows) == list(range(len(rows)))
+    by_slot = {r["slot"]: r["ids_sha256"] for r in rows}
+    assert [hashlib.sha256(x.tobytes()).hexdigest() for x in training_order.read_sequences(folder, length=32)] == [by_slot[i] for i in range(len(rows))]
+
+
+def test_known_and_new_words_among_odd_ones():
+    model = bpe.load_model(catalog.tokenizer_path())
+    fresh = bpe.WordBpe(model.spec, 50)
+    texts = ["Tab\x1ca TAB tab. ab! É é İ x", "Σ ΑΣ tab. <|endoftext|>tab É", "tab. é ab! a", "z" * 60 + " tab. b c", ""] * 3
+    together = [x.tolist() for x in fresh.encode_texts(texts)]
+    alone = [model.encode(t).tolist() for t in texts]
+    assert together == alone == [x.tolist() for x in fresh.encode_texts(texts)]
