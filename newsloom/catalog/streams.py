@@ -11,7 +11,7 @@ from newsloom.catalog.events import COUNTERS, HOSTS, KEYWORDS, MERGED
 from newsloom.catalog.ingest import GATE, _gate_input
 from newsloom.fixtures import Tables
 from newsloom.operators import profiles, text
-from newsloom.session import checkpoint_dir
+from newsloom.session import checkpoint_dir, cut_lineage
 from newsloom.streaming import jobs
 from newsloom.streaming.sinks import drain, file_stream, in_parts
 
@@ -100,7 +100,8 @@ islands AS (SELECT *, sum(CASE WHEN gap IS NULL OR gap > INTERVAL 30 MINUTE THEN
 
 
 def _profiles(t):
-    keys = profiles.article_counter_keys(t.v_ai_news, t.v_raw_news, text.keyword_arrays(t.v_ai_news, "ai_news_id", "final_text"))
+    # every micro-batch reads the articles' keys: made once
+    keys = cut_lineage(profiles.article_counter_keys(t.v_ai_news, t.v_raw_news, text.keyword_arrays(t.v_ai_news, "ai_news_id", "final_text")))
     return drain(jobs.stream_profiles(profiles.counter_deltas(_live(t).v_interactions, keys)), "update", ["user_id", "kind", "key"])
 
 

@@ -120,30 +120,33 @@ def stream_sessions(events: DataFrame, articles: DataFrame, topics: Sequence[str
     return sessions.select("user_id", F.col("s.start").alias("started_at"), F.col("s.end").alias("ended_at"), "n", *[f"n_{t}" for t in topics])
 
 
-#: Shares of the profile keys that a user's counters are kept in.
+#: Shares of a user's counters, and the groups that all shares of all users are dealt to.
 PROFILE_SHARES = 4
+PROFILE_GROUPS = 2048
 
 
 class _ClampedCounters(StatefulProcessor):
-    """Counters that never fall below zero, with the time of their last change: those of a user in one share of the keys."""
+    """Counters that never fall below zero, with the time of their last change: those of one group, or of one user where rows name none."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.counters = handle.getValueState("counters", "kinds array<string>, keys array<string>, counts array<long>, seen_us array<long>")
+        self.counters = handle.getValueState(
+            "counters", "users array<long>, kinds array<string>, keys array<string>, counts array<long>, seen_us array<long>"
+        )
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         # the moves of one micro-batch, in log order
         moves = pd.concat(list(rows)).sort_values("seq")
-        held = self.counters.get() if self.counters.exists() else ([], [], [], [])
-        counters = {(kind, name): (count, seen) for kind, name, count, seen in zip(*held)}
+        users = moves["user_id"].tolist() if "user_id" in moves else [key[0]] * len(moves)
+        held = self.counters.get() if self.counters.exists() else ([], [], [], [], [])
+        counters = dict(zip(zip(*held[:3]), zip(*held[3:])))
         moved = {}
-        for kind, name, delta, seen in zip(moves["kind"], moves["key"], moves["delta"], moves["seen_us"]):
-            count, last = counters.get((kind, name), (0, seen))
-            counters[kind, name] = moved[kind, name] = max(count + int(delta), 0), max(last, seen)
-        names, values = list(zip(*counters)), list(zip(*counters.values()))
-        self.counters.update((list(names[0]), list(names[1]), [int(c) for c in values[0]], [int(s) for s in values[1]]))
+        for *name, delta, seen in zip(users, moves["kind"].tolist(), moves["key"].tolist(), moves["delta"].tolist(), moves["seen_us"].tolist()):
+            name = tuple(name)
+            count, last = counters.get(name, (0, seen))
+            counters[name] = moved[name] = max(count + delta, 0), max(last, seen)
+        self.counters.update(tuple(list(column) for column in (*zip(*counters), *zip(*counters.values()))))
         yield pd.DataFrame(
-            [(key[0], kind, name, count, seen) for (kind, name), (count, seen) in moved.items()],
-            columns=["user_id", "kind", "key", "count", "seen_us"],
+            [(*name, *state) for name, state in moved.items()], columns=["user_id", "kind", "key", "count", "seen_us"]
         )
 
     def close(self) -> None:
@@ -153,20 +156,23 @@ class _ClampedCounters(StatefulProcessor):
 def stream_profiles(deltas: DataFrame) -> DataFrame:
     """Clamped interest counters per (user, kind, key); update mode.
 
-    A call and a state value per key would cost far more than its few moves.  So
-    a state value holds the counters of a user in one of ``PROFILE_SHARES`` shares
-    of the keys: few calls, and a busy user still spreads over tasks.
+    A call and a state value per key or user would cost far more than its few
+    moves.  So the counters of a user fall into ``PROFILE_SHARES`` shares, by key,
+    which spreads a busy user, and all shares into ``PROFILE_GROUPS`` groups with
+    one state value each.  A micro-batch makes at most so many calls, however
+    many users there are, and rewrites the values of the groups it moves.
     """
-    shared = deltas.select(
+    share = F.pmod(F.xxhash64("kind", "key"), F.lit(PROFILE_SHARES))
+    grouped = deltas.select(
+        F.pmod(F.xxhash64("user_id", share), F.lit(PROFILE_GROUPS)).cast("int").alias("group"),
         "user_id",
-        F.pmod(F.xxhash64("kind", "key"), F.lit(PROFILE_SHARES)).cast("int").alias("share"),
         "kind",
         "key",
         "seq",
         F.col("delta").cast("long").alias("delta"),
         F.unix_micros("created_at").alias("seen_us"),
     )
-    counted = shared.groupBy("user_id", "share").transformWithStateInPandas(
+    counted = grouped.groupBy("group").transformWithStateInPandas(
         statefulProcessor=_ClampedCounters(),
         outputStructType="user_id long, kind string, key string, count long, seen_us long",
         outputMode="Update",

@@ -135,6 +135,36 @@ def test_one_call_counts_all_keys_of_a_share():
     assert call(("keyword", "b", 5, 1, 60)) == [(7, "keyword", "b", 2, 60)]
 
 
+def test_one_call_counts_all_users_of_a_group():
+    class Value:
+        held = None
+
+        def exists(self):
+            return self.held is not None
+
+        def get(self):
+            return self.held
+
+        def update(self, value):
+            self.held = value
+
+    class Handle:
+        def getValueState(self, name, schema):
+            return Value()
+
+    counters = jobs._ClampedCounters()
+    counters.init(Handle())
+
+    def call(*moves):
+        rows = pd.DataFrame(moves, columns=["user_id", "kind", "key", "seq", "delta", "seen_us"])
+        out = pd.concat(counters.handleInputRows((5,), iter([rows]), None))
+        return sorted(tuple(r) for r in out.itertuples(index=False))
+
+    assert call((1, "topic", "a", 2, 2, 20), (2, "topic", "a", 1, 1, 10)) == [(1, "topic", "a", 2, 20), (2, "topic", "a", 1, 10)]
+    assert call((2, "topic", "a", 4, -1, 40), (2, "topic", "a", 3, -1, 30)) == [(2, "topic", "a", 0, 40)]
+    assert call((1, "topic", "a", 5, -1, 5)) == [(1, "topic", "a", 1, 20)]
+
+
 def test_network_address_is_no_date(spark):
     texts = [("at 40.120.12.54 by", None), ("as 85.225.12.24 of", None), ("am 24.12.2023.", datetime(2023, 12, 23, 19)), ("(5/1/24) x", datetime(2024, 1, 4, 19)), ("v 1.2.24/7", None)]
     df = spark.createDataFrame([(i, f"<p>{t}</p>") for i, (t, _) in enumerate(texts)], "i int, html string")
