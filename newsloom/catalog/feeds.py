@@ -220,8 +220,7 @@ register("user_feed",
 
 
 def _preload(t):
-    ranked = _ranked(t)
-    return shape(feed.preload_ids(ranked, plan.assemble(ranked, LIMIT)).withColumn("preload", F.array_join(F.col("preload").cast("array<string>"), ",")))
+    return shape(plan.preload(*_tables(t), limit=LIMIT).withColumn("preload", F.array_join(F.col("preload").cast("array<string>"), ",")))
 
 
 register("preload_ids", _preload, VIEWS, """

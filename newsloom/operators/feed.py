@@ -157,6 +157,10 @@ def decayed(count: Column, last_seen: Column, as_of: Column) -> Column:
     return count * F.pow(F.lit(DECAY_PER_HOUR), hours)
 
 
+# What a user brings to ranking besides ``cold_start``; all null where nothing is known.
+USER_MAPS = ("flags", *KINDS.values(), "seen_ids")
+
+
 def user_context(
     users: DataFrame, state: DataFrame, profile: DataFrame, keys: DataFrame, seen: DataFrame, cold: DataFrame, candidates: DataFrame, as_of: Column
 ) -> DataFrame:
@@ -577,8 +581,14 @@ def display_defaults(df: DataFrame, source: str = "raw") -> DataFrame:
     )
 
 
-def preload_ids(ranked: DataFrame, feed: DataFrame, n: int = 3) -> DataFrame:
-    """(user, preload): the next ``n`` ranked ids that the feed does not show."""
+def preload_ids(ranked: DataFrame, feed: DataFrame, n: int = 3, shown: int | None = None) -> DataFrame:
+    """(user, preload): the next ``n`` ranked ids that the feed does not show.
+
+    ``shown`` is the most rows that a feed holds: of the first ``shown + n``
+    ranks at least ``n`` are then not in it, so the others need not be looked at.
+    """
+    if shown is not None:
+        ranked = ranked.where(F.col("rank_pos") <= shown + n)
     rest = drop_seen(ranked, feed)
     nxt = top_rows(rest, ["user_id"], [F.col("rank_pos")], n)
     packed = F.array_sort(F.collect_list(F.struct("rank_pos", "ai_news_id")))

@@ -11,6 +11,7 @@ from sample_data import SF_DIR
 from newsloom import catalog, session
 from newsloom.functions import texts
 from newsloom.operators import feed, pages, personas, profiles, text
+from newsloom.plans import user_feed
 from newsloom.streaming import jobs
 
 
@@ -165,6 +166,21 @@ def test_one_call_counts_all_users_of_a_group():
     assert call((1, "topic", "a", 5, -1, 5)) == [(1, "topic", "a", 1, 20)]
 
 
+def test_users_without_history_share_one_row(spark):
+    schema = "user_id long, flags map<long,int>, overlaps map<int,double>, topic_weights map<int,double>, source_weights map<int,double>, seen_ids array<long>, cold_start boolean"
+    rows = [(i, None, None, None, None, None, i % 2 == 0 or None) for i in range(10)]
+    rows += [(10, {1: 1}, None, None, None, None, True), (11, None, None, None, None, [1], None)]
+    asked = []
+
+    def build(users):
+        asked.extend(r[0] for r in users.select("user_id").collect())
+        return users.select("user_id", F.coalesce("cold_start", F.lit(False)).alias("cold"), F.col("seen_ids").isNotNull().alias("seen"))
+
+    got = user_feed.for_like_users(spark.createDataFrame(rows, schema), 250, build).collect()
+    assert sorted(asked) == [0, 1, 10, 11]
+    assert sorted(map(tuple, got)) == [(i, i % 2 == 0, i == 11) for i in range(12)]
+
+
 def test_network_address_is_no_date(spark):
     texts = [("at 40.120.12.54 by", None), ("as 85.225.12.24 of", None), ("am 24.12.2023.", datetime(2023, 12, 23, 19)), ("(5/1/24) x", datetime(2024, 1, 4, 19)), ("v 1.2.24/7", None)]
     df = spark.createDataFrame([(i, f"<p>{t}</p>") for i, (t, _) in enumerate(texts)], "i int, html string")
