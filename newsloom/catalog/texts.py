@@ -228,8 +228,9 @@ p3 AS (SELECT doc_id, w, sum(len(w)) OVER (PARTITION BY doc_id ORDER BY i ROWS B
   SELECT doc_id, {D.words('x')} AS w, i FROM (SELECT doc_id, unnest(ps) AS x, generate_subscripts(ps, 1) AS i FROM p2)) WHERE len(w) > 0),
 p4 AS (SELECT doc_id, string_agg(array_to_string(w[1:CAST(250 - coalesce(used, 0) AS INT)], ' '), chr(10) || chr(10) ORDER BY i) AS fitted FROM p3 WHERE coalesce(used, 0) < 250 GROUP BY 1)"""
 register("fit_paragraphs",
-         lambda t: shape(t.documents.select("doc_id", F.size(X.paragraphs(F.col("text"))).alias("n_paragraphs"), text.fit_word_bounds(F.col("text")).alias("fitted"),
-                                            text.structured_text(F.col("text"), F.lit("untitled")).alias("structured"))),
+         lambda t: shape(t.documents.withColumn("ps", X.paragraphs(F.col("text"))).select(
+             "doc_id", F.size("ps").alias("n_paragraphs"), text.fit_words(F.col("ps")).alias("fitted"),
+             text.structured_text(F.col("text"), F.lit("untitled")).alias("structured"))),
          "", """SELECT doc_id, CAST(len(ps) AS BIGINT) AS n_paragraphs, coalesce(fitted, '') AS fitted,
   coalesce(nullif(array_to_string(qs[1:3], chr(10) || chr(10)), ''), nullif(ca, ''), 'untitled') AS structured FROM p2 LEFT JOIN p4 USING (doc_id)""", FIT)
 

@@ -24,12 +24,17 @@ def collapse_space(c: Column) -> Column:
 
 def strip(c: Column) -> Column:
     """Trim Unicode white space on both ends."""
-    return F.regexp_replace(c, f"^{L.SPACE}+|{L.SPACE}+$", "")
+    return F.regexp_replace(c, f"{_NO_MARK}(?:^{L.SPACE}+|{L.SPACE}+$)", "")
 
 
-def words(c: Column) -> Column:
-    """White-space separated pieces."""
-    return F.filter(F.split(c, L.SPACE + "+"), lambda w: w != "")
+# Most characters are no white space, and this says so at once where the class of all white space goes through its parts.
+_NO_MARK = "(?![!-~])"
+
+
+def words(c: Column, first: int = 0) -> Column:
+    """White-space separated pieces; of the ``first`` if given at least, and what comes after may be one piece."""
+    # a blank start makes one more piece, the rest another
+    return F.filter(F.split(c, L.SPACE + "+", first + 2 if first else -1), lambda w: w != "")
 
 
 def sentences(c: Column, enders: str = ".!?") -> Column:
@@ -125,11 +130,26 @@ def strip_artifacts(c: Column) -> Column:
     for old, new in L.ARTIFACT_REPLACEMENTS:
         text = F.replace(text, F.lit(old), F.lit(new))
     text = F.regexp_replace(text, "(?i)" + L.TRUNCATION_MARK, "")
-    text = F.regexp_replace(text, _LABELS + r"\s*:?", "")
-    text = F.regexp_replace(text, _LINE_LABELS + r"\s*", "$1")
-    return tidy_lines(F.translate(text, "\r", "\n"))
+    return tidy_lines(F.replace(drop_labels(text), F.lit("\r"), F.lit("\n")))
+
+
+def drop_labels(c: Column) -> Column:
+    """Template labels cut; texts that hold none of their first words skip the patterns."""
+
+    def cut(x: Column) -> Column:
+        bare = F.regexp_replace(F.regexp_replace(x, _LABELS + r"\s*:?", ""), _LINE_LABELS + r"\s*", "$1")
+        return F.when(may_hold_labels(x), bare).otherwise(x)
+
+    return bind(c, cut)
 
 
+def may_hold_labels(c: Column) -> Column:
+    """Whether a label's first word occurs anywhere, ignoring case; without it no label pattern matches."""
+    # the only other letters that the patterns take for i, s and k
+    return bind(F.lower(c), lambda low: contains_any(low, _LABEL_STARTS)) | contains_any(c, ("\u0131", "\u0130", "\u017f", "\u212a"))
+
+
+_LABEL_STARTS = sorted({w.split(r"\s")[0] for w in f"{L.LABEL_WORDS}|{L.LINE_LABELS}".split("|")})
 _LABELS = rf"(?iU)\b(?:{L.LABEL_WORDS})\b"
 _LINE_LABELS = rf"(?iU)(^|\n)\s*(?:{L.LINE_LABELS})\s*:"
 
@@ -138,14 +158,14 @@ def tidy_lines(c: Column) -> Column:
     """Each line stripped, its white space collapsed, blank lines dropped; all lines in one pass."""
     gap, other = f"[{L.SPACE}&&[^\\n]]", f"[{L.SPACE}&&[^\\n ]]"
     # a single blank stays as it is, so that it costs no replacement
-    blanks = F.regexp_replace(c, f"{other}{gap}*| {gap}+", " ")
+    blanks = F.regexp_replace(c, f"{_NO_MARK}(?:{other}{gap}*| {gap}+)", " ")
     return F.btrim(F.regexp_replace(blanks, " ?\\n[ \\n]+| \\n", "\n"), F.lit(" \n"))
 
 
 def has_artifacts(c: Column) -> Column:
     """Whether ``strip_artifacts`` may change what it returned before."""
     marks = contains_any(c, ("&", "\xa0", "\r", "[+", *(old for old, _ in L.ARTIFACT_REPLACEMENTS)))
-    return marks | c.rlike(_LABELS) | c.rlike(_LINE_LABELS)
+    return marks | (may_hold_labels(c) & (c.rlike(_LABELS) | c.rlike(_LINE_LABELS)))
 
 
 def paragraph_count(c: Column) -> Column:
@@ -170,10 +190,17 @@ def paragraphs(c: Column) -> Column:
         whole = F.when(cleaned != "", F.array(cleaned)).otherwise(none)
         return bind(filled(F.split(cleaned, "\n")), lambda x: F.when(F.size(x) >= 3, x).otherwise(whole))
 
-    raw = strip(F.translate(F.coalesce(c, F.lit("")), "\r", "\n"))
+    raw = strip(F.replace(F.coalesce(c, F.lit("")), F.lit("\r"), F.lit("\n")))
     return bind(raw, lambda r: F.coalesce(blocks(r), bind(strip_artifacts(r), lines)))
 
 
+def clean_paragraphs(c: Column) -> Column:
+    """``paragraphs`` of a text that ``strip_artifacts`` returned: it has no blank lines, and mostly nothing to remove again."""
+    again = F.when(has_artifacts(c), strip_artifacts(c)).otherwise(c)
+    none = F.array().cast("array<string>")
+    return bind(again, lambda x: bind(F.split(x, "\n"), lambda ls: F.when(x == "", none).when(F.size(ls) >= 3, ls).otherwise(F.array(x))))
+
+
 def tokenize(c: Column) -> Column:
     """Lower-case tokens of at least two characters that are not stopwords."""
     tokens = F.regexp_extract_all(F.lower(normalize_text(c)), F.lit(r"([\p{L}\p{N}_']+)"), F.lit(1))

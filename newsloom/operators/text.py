@@ -437,23 +437,30 @@ def drop_cut_word(text: Column) -> Column:
 
 def fit_word_bounds(text: Column, max_words: int = 250) -> Column:
     """Paragraphs joined by blank lines, cut where the running word count reaches the limit."""
-    lists = F.filter(F.transform(X.paragraphs(text), X.words), lambda ws: F.size(ws) > 0)
+    return fit_words(X.paragraphs(text), max_words)
+
+
+def fit_words(paragraphs: Column, max_words: int = 250) -> Column:
+    """``fit_word_bounds`` of paragraphs at hand; no more words are split off than there is room for."""
     start = F.struct(F.array().cast("array<string>").alias("kept"), F.lit(0).alias("used"))
 
-    def step(acc: Column, ws: Column) -> Column:
+    def step(acc: Column, p: Column) -> Column:
         room = F.lit(max_words) - acc["used"]
-        taken = F.slice(ws, 1, F.greatest(room, F.lit(0)))
-        grown = F.concat(acc["kept"], F.array(F.array_join(taken, " ")))
-        return F.when(room > 0, F.struct(grown.alias("kept"), (acc["used"] + F.size(taken)).alias("used"))).otherwise(acc)
 
-    return F.array_join(F.aggregate(lists, start, step)["kept"], "\n\n")
+        def grown(taken: Column) -> Column:
+            kept = F.concat(acc["kept"], F.array(F.array_join(taken, " ")))
+            return F.when(F.size(taken) > 0, F.struct(kept.alias("kept"), (acc["used"] + F.size(taken)).alias("used"))).otherwise(acc)
+
+        return F.when(room > 0, X.bind(F.slice(X.words(p, max_words), F.lit(1), room), grown)).otherwise(acc)
+
+    return F.array_join(F.aggregate(paragraphs, start, step)["kept"], "\n\n")
 
 
 def structured_text(text: Column, title: Column, max_paragraphs: int = 3, max_chars: int = 0) -> Column:
     """First paragraphs of the cleaned text; the title when nothing is left."""
 
     def finish(cleaned: Column) -> Column:
-        joined = F.array_join(F.slice(X.paragraphs(cleaned), 1, max_paragraphs), "\n\n")
+        joined = F.array_join(F.slice(X.clean_paragraphs(cleaned), 1, max_paragraphs), "\n\n")
         if max_chars > 0:
             joined = F.substring(joined, 1, max_chars)
         return F.coalesce(F.nullif(joined, F.lit("")), F.nullif(cleaned, F.lit("")), title)

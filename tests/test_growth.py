@@ -166,6 +166,36 @@ def test_one_call_counts_all_users_of_a_group():
     assert call((1, "topic", "a", 5, -1, 5)) == [(1, "topic", "a", 1, 20)]
 
 
+def test_labels_are_looked_for_where_they_may_be(spark):
+    labels = ["lid:", "L\u0131D x", "l\u0130d :", "NEW\u017f: a", "\u212aasbiy nuqtai nazar: b", "SARLAVHA", "Asosiy  yangilik: c", "solid news", "amaliy qadamlar", "none", ""]
+    cases = labels + [f"a\r{x}\nb" for x in labels]
+    df = spark.createDataFrame([(c,) for c in cases], "c string")
+    bare = F.regexp_replace(F.regexp_replace("c", texts._LABELS + r"\s*:?", ""), texts._LINE_LABELS + r"\s*", "$1")
+    rows = df.select("c", texts.drop_labels(F.col("c")).alias("got"), bare.alias("want"), texts.may_hold_labels(F.col("c")).alias("may")).collect()
+    assert [r["got"] for r in rows] == [r["want"] for r in rows]
+    assert not rows[9]["may"] and not rows[10]["may"]
+
+
+def test_no_more_words_are_split_off_than_needed(spark):
+    pieces = [" ", "a", "b ", "\n", "\n\n", "\u3000", "cd", " e", "\r", "lid"]
+    draw = random.Random(7)
+    cases = ["", " ", " a b c", "a b c d"] + ["".join(draw.choice(pieces) for _ in range(draw.randrange(1, 30))) for _ in range(150)]
+    df = spark.createDataFrame([(c,) for c in cases], "c string")
+    paras = texts.paragraphs(F.col("c"))
+    again = texts.strip_artifacts(F.col("c"))
+    rows = df.select(
+        paras.alias("paras"), text.fit_words(paras, 4).alias("got"), F.size(texts.words(F.col("c"), 2)).alias("n"),
+        texts.clean_paragraphs(again).alias("clean"), texts.paragraphs(again).alias("clean_want"),
+    ).collect()
+    for r in rows:
+        want, room = [], 4
+        for words in (p.split() for p in r["paras"]):
+            if room and words:
+                want.append(" ".join(words[:room]))
+                room -= len(words[:room])
+        assert r["got"] == "\n\n".join(want) and r["n"] <= 4 and r["clean"] == r["clean_want"]
+
+
 def test_users_without_history_share_one_row(spark):
     schema = "user_id long, flags map<long,int>, overlaps map<int,double>, topic_weights map<int,double>, source_weights map<int,double>, seen_ids array<long>, cold_start boolean"
     rows = [(i, None, None, None, None, None, i % 2 == 0 or None) for i in range(10)]
