@@ -166,6 +166,19 @@ def test_one_call_counts_all_users_of_a_group():
     assert call((1, "topic", "a", 5, -1, 5)) == [(1, "topic", "a", 1, 20)]
 
 
+def test_fan_out_walks_lists_of_articles(spark, monkeypatch):
+    monkeypatch.setattr(personas, "LISTED_IDS", 4)
+    users = spark.createDataFrame([(1, '{"all_topics":["tech"]}'), (2, '{"all_topics":["tech"]}')], "user_id long, interests string").selectExpr(
+        "*", "'' AS location", "'' AS country_code", "true AS is_active"
+    )
+    articles = spark.createDataFrame([(i, "tech", float(i)) for i in range(10)], "ai_news_id long, target_persona string, ai_score double")
+    had = spark.createDataFrame([(1, 3), (2, 9)], "user_id long, ai_news_id long")
+    got = personas.feed_fanout(articles, users, had)
+    assert "Generate inline(articles" in plan_of(got)
+    found = sorted((r["user_id"], r["ai_news_id"], r["ai_score"], r["tier"]) for r in got.collect())
+    assert found == [(u, i, float(i), 1) for u in (1, 2) for i in range(10) if (u, i) not in {(1, 3), (2, 9)}]
+
+
 def test_labels_are_looked_for_where_they_may_be(spark):
     labels = ["lid:", "L\u0131D x", "l\u0130d :", "NEW\u017f: a", "\u212aasbiy nuqtai nazar: b", "SARLAVHA", "Asosiy  yangilik: c", "solid news", "amaliy qadamlar", "none", ""]
     cases = labels + [f"a\r{x}\nb" for x in labels]
